@@ -23,6 +23,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meridia.llm.minhash import NearDuplicates
+
+    return NearDuplicates()(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meridia.llm.quality import quality_rules
 
@@ -30,7 +36,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op4_toxicity, op10_quality_rules)
+    f.__name__: f for f in (op1_token_counts, op4_toxicity, op7_minhash_near_dedup, op10_quality_rules)
 }
 
 ORACLE: dict[str, str] = {}

@@ -20,7 +20,7 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -68,7 +68,7 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 
 def prefix_sums(buf: np.ndarray) -> np.ndarray:
     """Polynomial sums; with :func:`span_hash` any substring hashes in constant time."""
-    size = 1 << max(21, int(len(buf) + 1).bit_length())
+    size = 1 << max(19, int(len(buf) + 1).bit_length())
     up, _ = _powers(size)
     acc = np.zeros(len(buf) + 1, U64)
     np.cumsum((buf.astype(U64) + U64(1)) * up[: len(buf)], out=acc[1:])
@@ -76,7 +76,7 @@ def prefix_sums(buf: np.ndarray) -> np.ndarray:
 
 
 def span_hash(acc: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
-    size = 1 << max(21, int(len(acc)).bit_length())
+    size = 1 << max(19, int(len(acc)).bit_length())
     _, down = _powers(size)
     raw = (acc[end] - acc[start]) * down[start]
     return mix(raw + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93), salt)
@@ -117,3 +117,32 @@ def per_row_sum(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
 def row_of(first: np.ndarray) -> np.ndarray:
     """Row index of every item, from each row's first item index."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Groups of rows equal in ``keys`` (numbers without nulls) from batches sorted by them."""
+    held: list[pa.Table] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        cols = [t.column(k).to_numpy() for k in keys]
+        change = np.zeros(len(t), bool)
+        for c in cols:
+            change[1:] |= c[1:] != c[:-1]
+        change[0] = last is not None and any(c[0] != x for c, x in zip(cols, last))
+        last = [c[-1] for c in cols]
+        at = 0
+        for cut in np.flatnonzero(change).tolist():
+            if cut > at:
+                held.append(t.slice(at, cut - at))
+            yield pa.concat_tables(held)
+            held, at = [], cut
+        held.append(t.slice(at))
+    if held:
+        yield pa.concat_tables(held)
+
+
+def binary_array(blobs: list[bytes]) -> pa.Array:
+    return pa.array(blobs, pa.binary())
