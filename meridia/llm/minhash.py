@@ -130,17 +130,20 @@ class NearDuplicates:
     def _sets(self, batches):
         width = self.sketch
         for batch in batches:
-            blobs, marks, n = [], [], []
+            blobs, marks, bands, n = [], [], [], []
             for _, _, buf, offs in textkit.chunks(textkit.text_column(batch, "text")):
                 keys, first = shingle_sets(buf, offs)
-                sig = signatures(keys, first, width).astype(np.uint8)
+                sig = signatures(keys, first, width)
+                own, sig = band_hashes(sig[:, : self.bands * self.rows], self.rows), sig.astype(np.uint8)
                 full = iter(range(len(sig)))
                 for i in range(len(offs) - 1):
                     blobs.append(keys[first[i] : first[i + 1]].tobytes())
-                    marks.append(sig[next(full)].tobytes() if first[i + 1] > first[i] else b"")
+                    at = next(full) if first[i + 1] > first[i] else -1
+                    marks.append(sig[at].tobytes() if at >= 0 else b"")
+                    bands.append(own[at].tobytes() if at >= 0 else b"")
                 n += np.diff(first).tolist()
-            arrays = [batch.column("doc_id"), pa.array(n, pa.int64()), textkit.binary_array(blobs), textkit.binary_array(marks)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc", "n", "keys", "marks"])
+            arrays = [batch.column("doc_id"), pa.array(n, pa.int64()), *map(textkit.binary_array, (blobs, marks, bands))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc", "n", "keys", "marks", "bands"])
 
     def _confirm(self, batches):
         for group in textkit.sorted_groups(batches, ["c", "salt"]):
@@ -171,8 +174,10 @@ class NearDuplicates:
         for group in textkit.sorted_groups(batches, ["bucket", "i", "j"]):
             group = group.filter(pa.compute.greater(pa.compute.binary_length(group.column("marks")), 0))
             marks = np.frombuffer(b"".join(group.column("marks").to_pylist()), np.uint8).reshape(len(group), -1)
+            bands = np.frombuffer(b"".join(group.column("bands").to_pylist()), np.int64).reshape(len(group), -1)
             doc, comp, n, blk = (group.column(c).to_numpy() for c in ("doc", "comp", "n", "blk"))
             i, j = (group.column(c)[0].as_py() for c in ("i", "j")) if len(group) else (0, 0)
+            bucket = group.column("bucket")[0].as_py() if len(group) else 0
             left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
             a, b = [], []
             for x in left.tolist():
@@ -180,6 +185,8 @@ class NearDuplicates:
                 y = y[(comp[y] != comp[x]) & (100 * np.minimum(n[y], n[x]) >= self.percent * np.maximum(n[y], n[x]))]
                 same = (marks[y] == marks[x]).mean(axis=1) if len(y) else np.zeros(0)
                 y = y[(same - 1 / 256) / (1 - 1 / 256) >= least]
+                if len(y):  # a pair is told once, by the first bucket that it shares
+                    y = y[bands[x, (bands[y] == bands[x]).argmax(axis=1)] == bucket]
                 a += np.minimum(doc[y], doc[x]).tolist()
                 b += np.maximum(doc[y], doc[x]).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["c", "m"])
@@ -193,7 +200,7 @@ class NearDuplicates:
         rows = held.join(materialize(mixed), "bucket").withColumn("blk", F.pmod(F.hash("doc"), F.col("nb")))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
         rows = rows.select("bucket", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "doc", "comp")
-        rows = rows.join(sets.select("doc", "n", "marks"), "doc").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+        rows = rows.join(sets.select("doc", "n", "marks", "bands"), "doc").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
         return rows.mapInArrow(self._block_pairs, "c long, m long").distinct()
 
     def __call__(self, docs: DataFrame) -> DataFrame:
@@ -216,7 +223,7 @@ class NearDuplicates:
         pairs = pairs.where("m <> c").select(F.greatest("m", "c").alias("m"), F.least("m", "c").alias("c"))
         pairs = materialize(pairs.distinct())
         candidates = sized(shared.select(F.col("doc").alias("doc_id")).distinct(), BROADCAST_ROWS)
-        sets = materialize(narrow.join(candidates, "doc_id").mapInArrow(self._sets, "doc long, n long, keys binary, marks binary"))
+        sets = materialize(narrow.join(candidates, "doc_id").mapInArrow(self._sets, "doc long, n long, keys binary, marks binary, bands binary"))
         links = materialize(self.confirmed(pairs, sets))
         rest = materialize(self.remaining(shared.select("bucket", "doc"), links, sets).join(pairs, ["c", "m"], "left_anti"))
         links = links.union(materialize(self.confirmed(rest, sets)))
