@@ -17,6 +17,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TokenCounts(public_tokenizers.path("byte_bpe_50k.json"), limit=512)(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meridia.llm.suffix_dedup import SuffixDedup
+
+    return SuffixDedup(length=50).digest(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meridia.llm.toxicity import toxicity
 
@@ -36,7 +42,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op4_toxicity, op7_minhash_near_dedup, op10_quality_rules)
+    f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op4_toxicity, op7_minhash_near_dedup, op10_quality_rules)
 }
 
 ORACLE: dict[str, str] = {}
