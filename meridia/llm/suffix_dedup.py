@@ -33,6 +33,7 @@ from meridia.llm.support import BROADCAST_ROWS, materialize
 U64 = np.uint64
 SEED = 24
 _PIECE = 1 << 22
+_TIE_BYTES = 8 << 20  # text whose ties are settled before the shuffle
 _ROW = "bucket int, kind int, doc long, blob binary"
 
 
@@ -127,7 +128,7 @@ class SuffixDedup:
         length, before = self.length, self.before
 
         def batches(batches):
-            for batch in batches:
+            for batch in _slices(batches, _TIE_BYTES):
                 batch = batch.filter(batch.column("doc_id").is_valid())
                 batch = batch.take(pa.array(np.argsort(batch.column("doc_id").to_numpy(), kind="stable")))
                 ids = batch.column("doc_id").to_numpy()
@@ -201,7 +202,7 @@ class SuffixDedup:
                     continue
                 cuts = np.flatnonzero(np.diff(doc[at])) + 1
                 parts = np.split(at, cuts)
-                blobs = [(pos[p] if kind == 3 else np.c_[pos[p], seed[p].view(np.int64)]).astype(np.int64).tobytes() for p in parts]
+                blobs = [pos[p].astype(np.int64 if kind == 3 else np.uint32).tobytes() for p in parts]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([kind] * len(parts), pa.int32()), pa.array([int(doc[p[0]]) for p in parts], pa.int64()), textkit.binary_array(blobs)],
                     names=["kind", "doc", "blob"],
@@ -216,12 +217,13 @@ class SuffixDedup:
             for i, (doc, blob) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("blob").to_pylist())):
                 raw = np.concatenate([np.zeros(before, np.uint8), data[offs[i] : offs[i + 1]], np.zeros(length, np.uint8)])
                 n = int(offs[i + 1] - offs[i])
-                wanted = np.frombuffer(blob, np.int64).reshape(-1, 2)
-                pos = wanted[:, 0]
+                pos = np.frombuffer(blob, np.uint32).astype(np.int64)
+                own = data[offs[i] : offs[i + 1]]
+                seed = textkit.span_hash(textkit.prefix_sums(own), pos, pos + SEED, 3)
                 text = raw[pos[:, None] + np.arange(before + length)[None, :]]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(wanted[:, 1]),
+                        pa.array(seed.view(np.int64)),
                         pa.array(np.full(len(pos), doc, np.int64)),
                         pa.array(pos),
                         pa.array(np.minimum(pos, before).astype(np.int32)),
@@ -341,6 +343,13 @@ class SuffixDedup:
         return rows.mapInArrow(batches, docs.schema)
 
 
+def _slices(batches, limit: int):
+    """Record batches of about ``limit`` bytes of text, in whole rows."""
+    for batch in batches:
+        for lo, hi, _, _ in textkit.chunks(textkit.text_column(batch, "text"), limit):
+            yield batch.slice(lo, hi - lo)
+
+
 def _pack(seed: np.ndarray, ctx: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> bytes:
     """Planes: count, seeds, contexts, document steps (ascending), positions in halves."""
     step = np.diff(doc, prepend=doc[:1])
