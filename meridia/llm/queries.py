@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from meridia.llm.mixing import Raking
 from meridia.llm.support import table
 
 
@@ -23,18 +24,36 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SuffixDedup(length=50).digest(table(spark, sf_dir, "documents"))
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meridia.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meridia.llm.toxicity import toxicity
 
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Raking().sample(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meridia.llm.minhash import NearDuplicates
 
     return NearDuplicates()(table(spark, sf_dir, "documents"))
 
 
+def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from meridia.llm.piece_codec import digest
+
+    return digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meridia.llm.quality import quality_rules
 
@@ -42,7 +61,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op4_toxicity, op7_minhash_near_dedup, op10_quality_rules)
+    f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_html_extract, op4_toxicity, op5_mixing, op7_minhash_near_dedup, op9_piece_codec, op10_quality_rules)
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op5_mixing": Raking().sql()}
