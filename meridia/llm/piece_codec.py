@@ -39,8 +39,9 @@ class PieceCodec:
         self.byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         special = {i for i in range(size) if model.is_control(i) or model.is_unknown(i) or model.is_byte(i)}
         self.byte_of = {i: b for b, i in enumerate(self.byte_ids)}
-        self.silent = {i for i in special if i not in self.byte_of}
+        self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in special else p.encode() for i, p in enumerate(self.pieces)]
         self.ids = {p: i for i, p in enumerate(self.pieces) if i not in special}
+        self.packed = {p: np.int32(i).tobytes() for p, i in self.ids.items()}
         self.rank = {p: -model.get_score(i) for p, i in self.ids.items()}
         self.limit, self.known = words, {}
         self.longest = max(map(len, self.ids))
@@ -82,9 +83,9 @@ class PieceCodec:
         self.goto[state, c] = s
         return s
 
-    def encode_words(self, words: list[str]) -> dict[str, list[int]]:
-        """Ids of ``words`` (distinct, sorted, all of characters with a piece)."""
-        goto, ends, follows, ids, out = self.goto, self.ends, self.follows, self.ids, {}
+    def encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids (native int32) of ``words`` (distinct, sorted, all of characters with a piece)."""
+        goto, ends, follows, ids, out = self.goto, self.ends, self.follows, self.packed, {}
         state, last = [""], [""]  # by depth: automaton state, last piece of the prefix
         before = ""
         for word in words:
@@ -114,12 +115,12 @@ class PieceCodec:
                 else:
                     raise ValueError(f"no segmentation of {word!r}")
             before = word
-            at, back = len(word), []
+            at, back = len(word), b""
             while at:
                 t = last[at]
-                back.append(ids[t])
+                back = ids[t] + back
                 at -= len(t)
-            out[word] = back[::-1]
+            out[word] = back
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -135,18 +136,12 @@ class PieceCodec:
             if w[-1] in self.ids:
                 plain.append(w)
             else:
-                known[w] = [self.byte_ids[b] for b in w.encode()]
+                known[w] = np.array([self.byte_ids[b] for b in w.encode()], np.int32).tobytes()
         known.update(self.encode_words(sorted(plain)))
-        return [np.array([i for w in words for i in known[w]], np.int32) for words in cut]
+        return [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in cut]
 
     def decode(self, ids: np.ndarray) -> str:
-        out: list[bytes] = []
-        for i in ids.tolist():
-            if i in self.byte_of:
-                out.append(bytes([self.byte_of[i]]))
-            elif i not in self.silent:
-                out.append(self.pieces[i].encode())
-        text = b"".join(out).decode("utf-8", "replace").replace(MARK, " ")
+        text = b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
 
