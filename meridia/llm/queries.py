@@ -46,6 +46,12 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NearDuplicates()(table(spark, sf_dir, "documents"))
 
 
+def op8_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meridia.llm.nn_descent import NNDescent
+
+    return NNDescent()(table(spark, sf_dir, "embeddings"))
+
+
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -61,7 +67,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_html_extract, op4_toxicity, op5_mixing, op7_minhash_near_dedup, op9_piece_codec, op10_quality_rules)
+    f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_html_extract, op4_toxicity, op5_mixing, op7_minhash_near_dedup, op8_nn_descent, op9_piece_codec, op10_quality_rules)
 }
 
 ORACLE: dict[str, str] = {"op5_mixing": Raking().sql()}
