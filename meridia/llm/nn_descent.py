@@ -67,7 +67,7 @@ def _floats(column, kind=np.float32) -> np.ndarray:
 
 
 class NNDescent:
-    def __init__(self, top=20, k=32, rounds=6, block=512, descents=4, steps=6, width=24, beam=128, seed=7):
+    def __init__(self, top=20, k=40, rounds=8, block=768, descents=6, steps=8, width=32, beam=192, seed=7):
         self.top, self.k, self.rounds, self.block, self.descents = top, k, rounds, block, descents
         self.steps, self.width, self.beam, self.seed = steps, width, beam, seed
 

@@ -40,6 +40,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Raking().sample(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from meridia.llm.lm_scoring import StupidBackoff
+
+    return StupidBackoff().score(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meridia.llm.minhash import NearDuplicates
 
@@ -67,7 +73,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_html_extract, op4_toxicity, op5_mixing, op7_minhash_near_dedup, op8_nn_descent, op9_piece_codec, op10_quality_rules)
+    f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_html_extract, op4_toxicity, op5_mixing, op6_lm_scoring, op7_minhash_near_dedup, op8_nn_descent, op9_piece_codec, op10_quality_rules)
 }
 
 ORACLE: dict[str, str] = {"op5_mixing": Raking().sql()}
