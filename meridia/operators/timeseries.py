@@ -212,13 +212,15 @@ def _fit_rows(pl: Pipeline, df: DataFrame, x: str, key: tuple[str, ...], name: s
     key_fields = [df.schema[k] for k in key]
     model = T._parse_datatype_string(A.MODEL_SCHEMA)
     schema = T.StructType([*key_fields, T.StructField(name, model)])
-    sort = [o.lstrip("-") for o in pl.order if o.lstrip("-") in df.columns]
+    ties = [o for o in pl.order if o.lstrip("-") in df.columns]
+    sort, up, when = [o.lstrip("-") for o in ties], [not o.startswith("-") for o in ties], str(at)
+    n_key = len(key)
 
     def fit(k, pdf):
-        pdf = pdf.sort_values([TIME, *sort], ascending=[True, *(not o.startswith("-") for o in pl.order if o.lstrip("-") in df.columns)], kind="stable")
-        ident = hashlib.sha256(repr((k, str(at), spec, x)).encode()).hexdigest()[:16]
+        pdf = pdf.sort_values([TIME, *sort], ascending=[True, *up], kind="stable")
+        ident = hashlib.sha256(repr((k, when, spec, x)).encode()).hexdigest()[:16]
         out = A.fit(pdf[x].to_numpy(float, na_value=np.nan), order, seasonal, mean, model_id=ident)
-        return pd.DataFrame([[*k[: len(key)], out]], columns=[*key, name])
+        return pd.DataFrame([[*k[:n_key], out]], columns=[*key, name])
 
     rows = df.select(TIME, x, *key, *[s for s in sort if s not in (x, *key)])
     groups = rows.groupBy(*key) if key else rows.groupBy(F.lit(0))
@@ -399,13 +401,13 @@ def fit_model(model: Any, predictors: list[str], response: str, name: str = "mod
 
     def build(pl: Pipeline) -> Pipeline:
         def step(df, span):
-            rows = df.na.drop(subset=[*predictors, response]).select(*names(key), *predictors, response)
+            rows, by = df.na.drop(subset=[*predictors, response]).select(*names(key), *predictors, response), names(key)
             schema = T.StructType([*[df.schema[k] for k in names(key)], T.StructField(name, T.BinaryType())])
 
             def one(k, pdf):
                 m = pickle.loads(blob)
                 m.fit(pdf[predictors].to_numpy(float), pdf[response].to_numpy(float))
-                return pd.DataFrame([[*k[: len(names(key))], pickle.dumps(m)]], columns=[*names(key), name])
+                return pd.DataFrame([[*k[: len(by)], pickle.dumps(m)]], columns=[*by, name])
 
             out = (rows.groupBy(*names(key)) if key else rows.groupBy(F.lit(0))).applyInPandas(one, schema)
             return out.select(literal(span.stop).cast(dict(df.dtypes)[TIME]).alias(TIME), "*")
