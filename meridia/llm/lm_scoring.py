@@ -53,14 +53,14 @@ def _split(bucket: np.ndarray):
 
 
 class StupidBackoff:
-    def __init__(self, alpha: float = 0.4, least: int = 2, frequent: int = 200_000, slice_bytes: int = 8 << 20):
+    def __init__(self, alpha: float = 0.4, least: int = 2, frequent: int = 500_000, slice_bytes: int = 2 << 20):
         self.alpha, self.least, self.frequent, self.slice_bytes = alpha, least, frequent, slice_bytes
 
-    def _slices(self, batches):
+    def _slices(self, batches, slice_bytes: int):
         for batch in batches:
             column = textkit.text_column(batch, "text")
             ids = batch.column("doc_id").to_numpy()
-            for lo, hi, _, _ in textkit.chunks(column, self.slice_bytes):
+            for lo, hi, _, _ in textkit.chunks(column, slice_bytes):
                 hashes, rows = [], []
                 for a, b, buf, offs in textkit.chunks(column.slice(lo, hi - lo)):
                     starts, ends, first = textkit.words(buf, offs)
@@ -70,7 +70,7 @@ class StupidBackoff:
 
     def _words(self, buckets: int):
         def batches(batches):
-            for _, h, _ in self._slices(batches):
+            for _, h, _ in self._slices(batches, 4 * self.slice_bytes):
                 words, counts = np.unique(h, return_counts=True)
                 lot = [(b, 0, pack(words[p], counts[p].astype(np.uint32))) for b, p in _split((words % U64(buckets)).astype(np.int64))]
                 yield _rows(lot)
@@ -84,16 +84,21 @@ class StupidBackoff:
             words, at = np.unique(h, return_inverse=True)
             yield _rows([(group.column("bucket")[0].as_py(), 0, pack(words, np.bincount(at, c).astype(np.int64)))])
 
-    def _top(self, batches):
-        """Each partition's own most frequent words: at most ``frequent`` rows of each can be in the result."""
-        for batch in batches:
-            for blob in batch.column("blob"):
-                h, c = unpack(blob.as_buffer(), U64, np.int64)
-                keep = np.argsort(-c, kind="stable")[: self.frequent]
-                keep = keep[c[keep] > 1]
-                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(c[keep])], names=["h", "c"])
+    def _top(self, words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes (ascending) and counts of the most frequent words: all above a cutoff that ``frequent`` words pass at most."""
+        rows = words.mapInArrow(_word_rows, "h long, c long")
+        passed, cutoff = 0, None
+        for r in rows.groupBy("c").count().orderBy(F.desc("c")).toLocalIterator():  # one row per distinct count
+            passed += r["count"]
+            if passed > self.frequent:
+                break
+            cutoff = r["c"]
+        got = rows.where(F.col("c") >= (cutoff if cutoff is not None else 1 << 62)).toArrow()
+        h, c = got.column("h").to_numpy().view(U64), got.column("c").to_numpy()
+        order = np.argsort(h)
+        return h[order], c[order]
 
-    def _pairs(self, buckets: int, top: np.ndarray, counts: np.ndarray, total: float):
+    def _pairs(self, buckets: int, spread: int, top: np.ndarray, counts: np.ndarray, total: float):
         log_top = np.log(counts / total) if len(counts) else np.zeros(0)
 
         def code(h):
@@ -101,7 +106,7 @@ class StupidBackoff:
             return np.where(top[at] == h, at, _RARE) if len(top) else np.full(len(h), _RARE)
 
         def batches(batches):
-            for ids, h, row in self._slices(batches):
+            for ids, h, row in self._slices(batches, self.slice_bytes):
                 lot: list[tuple[int, int, bytes]] = []
                 own = code(h)
                 # First words, and a row for every document.
@@ -113,8 +118,7 @@ class StupidBackoff:
                 for b, p in _split((h[late] % U64(buckets)).astype(np.int64)):
                     lot.append((b, 3, pack(h[late[p]], ids[row[late[p]]], np.ones(len(p)))))
                 for b, p in _split(ids % buckets):
-                    zero = np.zeros(len(p), np.int64)
-                    lot.append((b, 1, pack(ids[p], base[p], n_words[p].astype(np.int64), zero)))
+                    lot.append((b, 4, pack(ids[p], base[p], n_words[p].astype(np.int64))))
                 at = np.flatnonzero(row[:-1] == row[1:]) if len(row) else np.zeros(0, np.int64)
                 key, r = textkit.mix(h[at] * _MUL + h[at + 1]), row[at]
                 order = np.lexsort((key, r))
@@ -123,7 +127,7 @@ class StupidBackoff:
                 first = np.flatnonzero(new)
                 times = np.diff(np.append(first, len(at)))
                 at, key, r = at[first], key[first], r[first]
-                for b, p in _split((key % U64(buckets)).astype(np.int64)):
+                for b, p in _split((key % U64(buckets * spread)).astype(np.int64)):
                     one, two = own[at[p]], own[at[p] + 1]
                     codes = [((c >> s) & 0xFF).astype(np.uint8) for c in (one, two) for s in (0, 8, 16)]
                     step = np.diff(r[p], prepend=0)
@@ -140,6 +144,20 @@ class StupidBackoff:
         miss = np.log(self.alpha) - np.log(total)
 
         def batches(batches):
+            # What a task's buckets have to send is gathered first: sums are added up, and words leave together.
+            held: list[tuple] = []
+            waits: list[tuple] = []
+            size = 0
+
+            def leave():
+                nonlocal held, waits, size
+                lot = _partials(*map(np.concatenate, zip(*held)), buckets) if held else []
+                if waits:
+                    w, d, x = map(np.concatenate, zip(*waits))
+                    lot += [(b, 2, pack(w[p], d[p], x[p])) for b, p in _split((w % U64(buckets)).astype(np.int64))]
+                held, waits, size = [], [], 0
+                return _rows(lot)
+
             for group in textkit.sorted_groups(batches, ["bucket", "kind"]):
                 if group.column("kind")[0].as_py():
                     yield from group.combine_chunks().to_batches()
@@ -168,12 +186,14 @@ class StupidBackoff:
                 near = look != _RARE
                 value[near] += sign[near] * log_top[look[near]]
                 docs, at = np.unique(doc, return_inverse=True)
-                sums, backed = np.bincount(at, value * times), np.bincount(at, ~seen * times).astype(np.int64)
-                lot = [(b, 1, pack(docs[p], sums[p], np.zeros(len(p), np.int64), backed[p])) for b, p in _split(docs % buckets)]
+                held.append((docs, np.bincount(at, value * times), np.bincount(at, ~seen * times)))
                 far = np.flatnonzero(~near)
-                for b, p in _split((word[far] % U64(buckets)).astype(np.int64)):
-                    lot.append((b, 2, pack(word[far[p]], doc[far[p]], (sign * times)[far[p]])))
-                yield _rows(lot)
+                waits.append((word[far], doc[far], (sign * times)[far]))
+                size += len(docs) + len(far)
+                if size > 2_000_000:
+                    yield leave()
+            if size:
+                yield leave()
 
         return batches
 
@@ -192,16 +212,24 @@ class StupidBackoff:
                 value = weight * np.log(counts[np.searchsorted(words, w)])
                 if kind == 3:
                     value -= np.log(total)
-                docs, at = np.unique(doc, return_inverse=True)
-                sums, zero = np.bincount(at, value), np.zeros(len(docs), np.int64)
-                yield _rows([(b, 1, pack(docs[p], sums[p], zero[p], zero[p])) for b, p in _split(docs % buckets)])
+                yield _rows(_partials(doc, value, np.zeros(len(doc)), buckets))
 
         return batches
 
     @staticmethod
     def _sum(batches):
         for group in textkit.sorted_groups(batches, ["bucket"]):
-            doc, s, n, backed = map(np.concatenate, zip(*[unpack(x.as_buffer(), np.int64, np.float64, np.int64, np.int64) for x in group.column("blob")]))
+            doc, s, n, backed = [], [], [], []
+            for kind, x in zip(group.column("kind").to_pylist(), group.column("blob")):
+                if kind == 4:
+                    d, v, w = unpack(x.as_buffer(), np.int64, np.float64, np.int64)
+                    k = np.zeros(len(d), np.int64)
+                else:
+                    d, v, k = unpack(x.as_buffer(), np.int64, np.float64, np.uint32)
+                    d, w = np.cumsum(d), np.zeros(len(d), np.int64)
+                for o, a in zip((doc, s, n, backed), (d, v, w, k)):
+                    o.append(a)
+            doc, s, n, backed = map(np.concatenate, (doc, s, n, backed))
             docs, at = np.unique(doc, return_inverse=True)
             arrays = [pa.array(docs), *(pa.array(np.bincount(at, x).astype(np.int64)) for x in (n, backed)), pa.array(np.bincount(at, s))]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "n_backoff", "log_score"])
@@ -214,22 +242,33 @@ class StupidBackoff:
         """
         spark = docs.sparkSession
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        buckets, spread = int(spark.conf.get("spark.sql.shuffle.partitions")), 4
         deal = lambda df, *by: df.repartition("bucket").sortWithinPartitions(*by)
         counted = texts.fillna({"doc_id": 0}).mapInArrow(self._words(buckets), ROW)
         words = materialize(deal(counted, "bucket").mapInArrow(self._count, ROW))
         total = float(words.mapInArrow(_totals, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) or 1.0
-        top = words.mapInArrow(self._top, "h long, c long").orderBy(F.desc("c"), "h").limit(self.frequent).toPandas()
-        h, c = top["h"].to_numpy(np.int64).view(U64), top["c"].to_numpy(np.int64)
-        order = np.argsort(h)
-        args = (buckets, h[order], c[order], total)
-        known = texts.where("doc_id is not null").mapInArrow(self._pairs(*args), ROW)
-        met = materialize(deal(known, "bucket", "kind").mapInArrow(self._meet(*args), ROW))
-        late = deal(words.union(met.where("kind >= 2")), "bucket", "kind").mapInArrow(self._late(buckets, total), ROW)
-        sums = deal(met.where("kind = 1").union(late), "bucket").mapInArrow(self._sum, "doc_id long, n_words long, n_backoff long, log_score double")
+        top = self._top(words)
+        known = texts.where("doc_id is not null").mapInArrow(self._pairs(buckets, spread, *top, total), ROW)
+        met = materialize(deal(known, "bucket", "kind").mapInArrow(self._meet(buckets, *top, total), ROW))
+        late = deal(words.union(met.where("kind in (2, 3)")), "bucket", "kind").mapInArrow(self._late(buckets, total), ROW)
+        sums = deal(met.where("kind in (1, 4)").union(late), "bucket").mapInArrow(self._sum, "doc_id long, n_words long, n_backoff long, log_score double")
         return sums.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
 
 
+def _word_rows(batches):
+    for batch in batches:
+        for blob in batch.column("blob"):
+            h, c = unpack(blob.as_buffer(), U64, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], names=["h", "c"])
+
+
+def _partials(doc: np.ndarray, value: np.ndarray, backed: np.ndarray, buckets: int) -> list[tuple[int, int, bytes]]:
+    """Sums per document, by the document's bucket, as steps of ids."""
+    docs, at = np.unique(doc, return_inverse=True)
+    sums, backs = np.bincount(at, value), np.bincount(at, backed).astype(np.uint32)
+    return [(b, 1, pack(np.diff(docs[p], prepend=0), sums[p], backs[p])) for b, p in _split(docs % buckets)]
+
+
 def _totals(batches):
     for batch in batches:
         n = [int(unpack(x.as_buffer(), U64, np.int64)[1].sum()) for x in batch.column("blob")]
