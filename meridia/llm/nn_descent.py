@@ -63,11 +63,17 @@ def _merge(k: int):
 
 
 def _floats(column, kind=np.float32) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+    if not len(column):
+        return np.zeros((0, 1), kind)
+    offs = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offs[0] : offs[-1]]  # all of one width
+    return data.view(kind).reshape(len(column), -1)
 
 
 class NNDescent:
-    def __init__(self, top=20, k=40, rounds=8, block=768, descents=6, steps=8, width=32, beam=192, seed=7):
+    def __init__(self, top=20, k=40, rounds=6, block=640, descents=6, steps=6, width=24, beam=160, seed=7):
         self.top, self.k, self.rounds, self.block, self.descents = top, k, rounds, block, descents
         self.steps, self.width, self.beam, self.seed = steps, width, beam, seed
 
@@ -208,24 +214,26 @@ class NNDescent:
 
     # search
     def _adjacent(self, batches):
-        """Neighbour lists with the neighbours' vectors."""
-        out = [[], [], []]
+        """Neighbour lists with the neighbours' vectors in half precision, a few neighbours a row so that batches stay small."""
+        out: list[list] = [[], [], []]
         for group in textkit.sorted_groups(batches, ["u"]):
-            for o, x in zip(out, (group.column("u")[0].as_py(), group.column("node").to_numpy().tobytes(), b"".join(group.column("vec").to_pylist()))):
-                o.append(x)
+            for lo in range(0, len(group), 12):
+                part = group.slice(lo, 12)
+                out[0].append(part.column("u")[0].as_py())
+                out[1].append(part.column("node").to_numpy().tobytes())
+                out[2].append(_floats(part.column("vec")).astype(np.float16).tobytes())
             if len(out[0]) >= 200:
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *map(textkit.binary_array, out[1:])], names=["u", "ids", "vecs"])
                 out = [[], [], []]
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *map(textkit.binary_array, out[1:])], names=["u", "ids", "vecs"])
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *map(textkit.binary_array, out[1:])], names=["u", "ids", "vecs"])
 
     @staticmethod
     def _expand(batches):
         for batch in batches:
             out = []
-            for q, vec, ids, vecs in zip(*(batch.column(c).to_pylist() for c in ("q", "qvec", "ids", "vecs"))):
-                x = np.frombuffer(vec, np.float32)
-                out.append((q, np.frombuffer(ids, np.int64), np.frombuffer(vecs, np.float32).reshape(-1, len(x)) @ x))
+            for q, vec, ids, vecs in zip(batch.column("q").to_pylist(), *(batch.column(c) for c in ("qvec", "ids", "vecs"))):
+                x = np.frombuffer(vec.as_buffer(), np.float32)
+                out.append((q, np.frombuffer(ids.as_buffer(), np.int64), np.frombuffer(vecs.as_buffer(), np.float16).astype(np.float32).reshape(-1, len(x)) @ x))
             yield _lists(out)
 
     def _frontier(self, batches):
@@ -241,7 +249,7 @@ class NNDescent:
 
     def search(self, nodes: DataFrame, graph: DataFrame, queries: DataFrame) -> DataFrame:
         """(u, ids, scores): the beam of each query of (node), which is a node itself."""
-        both = self._merged(graph.union(graph.mapInArrow(self._reverse, LIST)), self.k + self.k // 2)
+        both = self._merged(graph.union(graph.mapInArrow(self._reverse, LIST)), self.k + self.k // 4)
         pairs = both.mapInArrow(_pairs, "u long, node long")
         rows = pairs.join(nodes, "node").select("u", "node", "vec").repartition("u").sortWithinPartitions("u")
         lists = materialize(rows.mapInArrow(self._adjacent, "u long, ids binary, vecs binary"))
