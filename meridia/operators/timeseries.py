@@ -223,7 +223,7 @@ def _fit_rows(pl: Pipeline, df: DataFrame, x: str, key: tuple[str, ...], name: s
         return pd.DataFrame([[*k[:n_key], out]], columns=[*key, name])
 
     rows = df.select(TIME, x, *key, *[s for s in sort if s not in (x, *key)])
-    groups = rows.groupBy(*key) if key else rows.groupBy(F.lit(0))
+    groups = rows.groupBy(*key)
     out = groups.applyInPandas(fit, schema)
     return out
 
@@ -409,7 +409,7 @@ def fit_model(model: Any, predictors: list[str], response: str, name: str = "mod
                 m.fit(pdf[predictors].to_numpy(float), pdf[response].to_numpy(float))
                 return pd.DataFrame([[*k[: len(by)], pickle.dumps(m)]], columns=[*by, name])
 
-            out = (rows.groupBy(*names(key)) if key else rows.groupBy(F.lit(0))).applyInPandas(one, schema)
+            out = rows.groupBy(*names(key)).applyInPandas(one, schema)
             return out.select(literal(span.stop).cast(dict(df.dtypes)[TIME]).alias(TIME), "*")
 
         return pl.then(step, order=names(key))
