@@ -71,7 +71,7 @@ def signatures(keys: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
     view, slot = _table(width), (textkit.mix(keys, 5) >> U64(64 - LOG)).astype(np.int64)
     filled = np.flatnonzero(np.diff(first))
     out = np.empty((len(filled), width), np.uint32)
-    step = 1 << 14
+    step = max(64, (1 << 20) // width)
     # Long rows are folded in pieces, so memory stays bounded.
     for i, r in enumerate(filled.tolist()):
         lo, hi = int(first[r]), int(first[r + 1])

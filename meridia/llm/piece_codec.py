@@ -30,7 +30,7 @@ _MODELS: dict[str, PieceCodec] = {}
 class PieceCodec:
     """``path``: a SentencePiece BPE model file with byte fallback; ``words``: most cached words."""
 
-    def __init__(self, path: str, words: int = 300_000):
+    def __init__(self, path: str, words: int = 150_000):
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
@@ -129,7 +129,8 @@ class PieceCodec:
         new = set().union(*cut) - known.keys() if cut else set()
         if len(known) + len(new) > self.limit:
             known.clear()
-            self.follows.clear() if len(self.follows) > 4 * self.limit else None
+            for cache in (self.follows, self.goto):
+                cache.clear() if len(cache) > 2 * self.limit else None
             new = set().union(*cut)
         plain = []
         for w in new:

@@ -7,6 +7,7 @@ space and 0x09-0x0D, so they equal the code-point definition on UTF-8.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,6 +24,16 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 CHUNK_BYTES = 1 << 18
 
 
+_LIBC = ctypes.CDLL(None)
+
+
+def trim() -> None:
+    """Give freed memory back, so that a waiting worker doesn't hold what its last batch needed."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:
     column = batch.column(batch.schema.get_field_index(name))
     return pc.fill_null(column.cast(pa.large_string()), "")
@@ -45,6 +56,7 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         hi = min(hi, n)
         yield lo, hi, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         lo = hi
+    trim()
 
 
 @lru_cache(maxsize=2)
@@ -142,6 +154,8 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
         held.append(t.slice(at))
     if held:
         yield pa.concat_tables(held)
+        held.clear()
+    trim()
 
 
 def binary_array(blobs: list[bytes]) -> pa.Array:
