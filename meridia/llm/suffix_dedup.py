@@ -321,8 +321,8 @@ class SuffixDedup:
 
     def rewrite(self, docs: DataFrame) -> DataFrame:
         """``docs`` with the ranges cut out of ``text``; a cut character's other bytes go too; all columns stay."""
-        spans = self.spans(docs).select(F.col("doc_id").alias("__doc"), "blob")
-        size = spans.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("blob")), F.lit(0)).alias("b")).first()
+        spans = self.spans(docs).select(F.col("doc_id").alias("__doc"), F.col("blob").alias("__spans"))
+        size = spans.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("__spans")), F.lit(0)).alias("b")).first()
         if size["n"] <= BROADCAST_ROWS and size["b"] <= self.bytes_limit:
             spans = F.broadcast(spans)
         rows = docs.join(spans, docs["doc_id"].cast("long") == spans["__doc"], "left").drop("__doc")
