@@ -126,12 +126,13 @@ class PieceCodec:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split, known = self.split, self.known
         cut = [split.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = set().union(*cut) - known.keys() if cut else set()
-        if len(known) + len(new) > self.limit:
-            known.clear()
+        words = set().union(*cut)
+        new = words - known.keys()
+        if len(known) + len(new) > self.limit:  # words met again stay
+            known = self.known = {w: known[w] for w in words & known.keys()}
             for cache in (self.follows, self.goto):
-                cache.clear() if len(cache) > 2 * self.limit else None
-            new = set().union(*cut)
+                if len(cache) > 2 * self.limit:
+                    cache.clear()
         plain = []
         for w in new:
             if w[-1] in self.ids:
