@@ -98,3 +98,8 @@ def lookup_join(table: DataFrame, key, unmatched: str = "missing", left_prefix:
         return p.then(step)
 
     return build
+
+
+def lookup_in(entry, key, unmatched: str = "missing", left_prefix: str | None = None, right_prefix: str | None = None) -> Step:
+    """:func:`lookup_join` with a session's table."""
+    return lookup_join(entry.df, key, unmatched, left_prefix, right_prefix)

@@ -16,6 +16,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -381,7 +382,8 @@ def fit(family: str, column: str | None = None, key=None, fit_context: Span | No
         return {"model": fit_once(fit_context, made) if fit_context else made, "insample": shown}
     if family == "model":
         args = (params["model"], params["predictors"], params["response"])
-        return {"model": fit_model(*args, key=key), "insample": lambda pl: replace(pl | apply_models(_at_start(pl, fit_model(*args, key=key), fit_context), params["predictors"], key=key), acausal=True)}
+        made = fit_model(*args, key=key)
+        return {"model": fit_once(fit_context, made) if fit_context else made, "insample": lambda pl: replace(pl | apply_models(_at_start(pl, made, fit_context), params["predictors"], key=key), acausal=True)}
     raise ValueError("family is arma, ar or model")
 
 
@@ -394,10 +396,10 @@ def _at_start(p: Pipeline, fitting: Step, fit_context: Span | None) -> Pipeline:
 
 
 def fit_model(model: Any, predictors: list[str], response: str, name: str = "model", key=None) -> Step:
-    """Fit an object with ``fit(X, y)`` and ``predict(X)`` per key; the model is one binary cell."""
+    """Fit an object with ``fit(X, y)`` and ``predict(X)`` per key; the model is one binary cell (classes of the driver's script travel with it)."""
     if not hasattr(model, "fit") or not hasattr(model, "predict"):
         raise TypeError("a model has fit and predict")
-    blob = pickle.dumps(model)
+    blob = cloudpickle.dumps(model)
 
     def build(pl: Pipeline) -> Pipeline:
         def step(df, span):
@@ -407,7 +409,7 @@ def fit_model(model: Any, predictors: list[str], response: str, name: str = "mod
             def one(k, pdf):
                 m = pickle.loads(blob)
                 m.fit(pdf[predictors].to_numpy(float), pdf[response].to_numpy(float))
-                return pd.DataFrame([[*k[: len(by)], pickle.dumps(m)]], columns=[*by, name])
+                return pd.DataFrame([[*k[: len(by)], cloudpickle.dumps(m)]], columns=[*by, name])
 
             out = rows.groupBy(*names(key)).applyInPandas(one, schema)
             return out.select(literal(span.stop).cast(dict(df.dtypes)[TIME]).alias(TIME), "*")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import date, datetime
 from typing import Any
 
@@ -100,6 +101,28 @@ def table(df: DataFrame, time: Time = TIME, order: tuple[str, ...] = (), closed:
     return Pipeline(plan, order=order)
 
 
+@dataclass(frozen=True)
+class Table:
+    """A named table of a session: rows, how they are read, and the span that they were loaded over, if frozen."""
+
+    df: DataFrame
+    time: str | None = TIME
+    order: tuple[str, ...] = ()
+    closed: bool = False
+    within: Span | None = None
+
+
+def stored(entry: Table, time: str | None = None, order=None, closed: bool | None = None, check: bool = False) -> Pipeline:
+    """The rows of a session's table; a frozen one is read as it was loaded, rows at its stop included."""
+    if entry.time is None:
+        raise ValueError("the table has no time; look it up by key")
+    if entry.within is not None:
+        if time or order:
+            raise ValueError("a frozen table keeps its time and order")
+        return table(entry.df, entry.time, entry.order, True, check, entry.within)
+    return table(entry.df, time or entry.time, tuple(order or entry.order), entry.closed if closed is None else closed, check)
+
+
 def read_csv(spark: SparkSession, path: str, types: dict[str, str] | None = None, time: Time = TIME, rename: dict[str, str] | None = None, delim: str | None = None, order=(), closed=False) -> Pipeline:
     """Columns are strings unless ``types`` says otherwise; a .tsv is split at tabs."""
     sep = delim or ("\t" if path.endswith(".tsv") else ",")
