@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from meridia.operators import blocks
 from meridia.pipeline import TIME, Pipeline, fresh, names
 from meridia.span import number, width
 
@@ -47,9 +48,15 @@ def _asof(right, key, tolerance, strict, left_prefix, right_prefix, right_time,
             lrows = left.select(TIME, *by, F.lit(side_left).alias("_side"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(other.select(F.struct(TIME, *fields)).schema[0].dataType).alias("_r"), *[F.lit(None).cast(dict(other.dtypes)[o.lstrip("-")]).alias(f"_o{i}") for i, o in enumerate(r for r in right.order if r.lstrip("-") in other.columns)])
             rrows = other.select(TIME, *by, F.lit(side_right).alias("_side"), F.lit(None).cast(lrows.schema["_l"].dataType).alias("_l"), F.struct(TIME, *fields).alias("_r"), *order)
             ties = [F.col(f"_o{i}").desc() if o.startswith("-") else F.col(f"_o{i}").asc() for i, o in enumerate(r for r in right.order if r.lstrip("-") in other.columns)]
-            w = Window.partitionBy(*by or [F.lit(0)]).orderBy(F.col(TIME), F.col("_side"), *ties)
-            seen = F.first("_r", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)) if forward else F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-            both = lrows.unionByName(rrows).withColumn("_m", seen).where("_l is not null")
+            sort = [F.col(TIME), F.col("_side"), *ties]
+            if by:
+                w = Window.partitionBy(*by).orderBy(*sort)
+                seen = F.first("_r", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)) if forward else F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+                both = lrows.unionByName(rrows).withColumn("_m", seen)
+            else:
+                back = [F.col(f"_o{i}").asc() if o.startswith("-") else F.col(f"_o{i}").desc() for i, o in enumerate(r for r in right.order if r.lstrip("-") in other.columns)]
+                both = blocks.last_seen(lrows.unionByName(rrows), F.col("_r"), "_m", sort, [F.col(TIME).desc(), F.col("_side").desc(), *back], wide, forward)
+            both = both.where(F.col("_l").isNotNull())
             match = F.col("_m")
             if tolerance is not None:
                 gap = number(F.col("_m")[TIME], kind) - number(F.col(TIME), kind)

@@ -10,6 +10,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meridia.operators import blocks
 from meridia.pipeline import TIME, Pipeline, fresh, names
 from meridia.span import literal, number, shifted, width
 
@@ -139,16 +140,21 @@ def forward_fill(*columns: str, key=None, tolerance: Any = None) -> Step:
     """Missing values become the last seen before (of the key), not older than ``tolerance``."""
 
     def build(p: Pipeline) -> Pipeline:
-        def step(df, _):
-            kind, out = dict(df.dtypes)[TIME], {}
+        def step(df, span):
+            kind, out, all_columns = dict(df.dtypes)[TIME], {}, df.columns
             for c in columns:
-                seen = F.last(F.when(F.col(c).isNotNull(), F.struct(TIME, c)), ignorenulls=True).over(p.running(names(key)))
+                held = F.when(F.col(c).isNotNull(), F.struct(TIME, c))
+                if names(key):
+                    seen = F.last(held, ignorenulls=True).over(p.running(names(key)))
+                else:
+                    df = blocks.last_seen(df, held, f"#seen_{c}", p.sort(), p.sort(descending=True), span)
+                    seen = F.col(f"#seen_{c}")
                 value = seen[c]
                 if tolerance is not None:
                     age = number(F.col(TIME), kind) - number(seen[TIME], kind)
                     value = F.when(age <= width(tolerance, kind), value)
                 out[c] = value
-            return df.withColumns(out)
+            return df.withColumns(out).select(*all_columns)
 
         return p.then(step)
 

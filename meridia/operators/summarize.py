@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.functions.summarizers import Summarizer
+from meridia.operators import blocks
 from meridia.pipeline import TIME, Pipeline, fresh, names
 from meridia.span import literal, number, width
 
@@ -62,10 +63,13 @@ def summarize_cycles(*ss: Summarizer, key=None, keyset: DataFrame | None = None)
 
 
 def add_summary_columns(*ss: Summarizer, key=None) -> Step:
-    """Running summaries, the current row included."""
+    """Running summaries, the current row included.  Without key, those that merge run in blocks of time."""
 
     def build(p: Pipeline) -> Pipeline:
-        def step(df, _):
+        def step(df, span):
+            if not names(key) and blocks.mergeable(list(ss), p):
+                fresh(df, *[o.name for s in ss for o in s.outputs])
+                return blocks.running(df, list(ss), p, span)
             w = p.running(names(key))
             out = {}
             for s in ss:

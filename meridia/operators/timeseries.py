@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from meridia.functions import arma as A
 from meridia.functions.summarizers import LinearRegression, Summarizer, ema_label
+from meridia.operators import blocks
 from meridia.operators.joins import asof_join
 from meridia.operators.summarize import summarize
 from meridia.pipeline import TIME, Pipeline, fresh, names
@@ -36,10 +37,12 @@ def lags(x: str, p: int, key=None, name: str | None = None) -> Step:
         raise ValueError("p must be 1 or more")
 
     def build(pl: Pipeline) -> Pipeline:
-        def step(df, _):
-            out = {f"{name or f'{x}_lag'}_{i}": F.lag(x, i).over(pl.window(names(key))) for i in range(1, p + 1)}
+        def step(df, span):
+            out = {f"{name or f'{x}_lag'}_{i}": i for i in range(1, p + 1)}
             fresh(df, *out)
-            return df.withColumns(out)
+            if not names(key):
+                return blocks.lagged(df, x, out, pl, span)
+            return df.withColumns({n: F.lag(x, i).over(pl.window(names(key))) for n, i in out.items()})
 
         return pl.then(step)
 
@@ -52,13 +55,16 @@ def difference(x: str, order: int = 1, lag: int = 1, key=None, name: str | None
     label = name or (f"{x}_diff" if (order, lag) == (1, 1) else f"{x}_diff_{order}_{lag}")
 
     def build(pl: Pipeline) -> Pipeline:
-        def step(df, _):
+        def step(df, span):
             fresh(df, label)
             value = F.col(x)
+            if not names(key):
+                df = blocks.lagged(df, x, {f"#d{k}": k * lag for k in range(1, order + 1)}, pl, span)
             for k in range(1, order + 1):
-                term = F.lag(x, k * lag).over(pl.window(names(key))) * comb(order, k)
+                back = F.lag(x, k * lag).over(pl.window(names(key))) if names(key) else F.col(f"#d{k}")
+                term = back * comb(order, k)
                 value = value - term if k % 2 else value + term
-            return df.withColumn(label, value)
+            return df.withColumn(label, value).drop(*[f"#d{k}" for k in range(1, order + 1)])
 
         return pl.then(step)
 
