@@ -50,24 +50,28 @@ def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, comp) with comp the smallest id reachable, for every id in ``edges``.
 
-    Hash-to-min over a star: each round every node adopts the least label around it and then its label's
-    label, so paths halve.  Labels stay in Spark; each round is written to the shared folder.
+    Each round every node adopts the least label around it, hooks its label's node to that label too, so whole
+    trees merge, and then takes its label's label, so paths halve.  Labels only fall, and rounds go on until none
+    changes: then all neighbours agree.  Labels stay in Spark; each round is written to the shared folder.
     """
     edges = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
     both = materialize(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("comp")))
-    for _ in range(rounds):
+    changed = True
+    while changed:
         seen = both.join(labels.select(F.col("id").alias("b"), F.col("comp").alias("near")), "b")
         best = seen.groupBy(F.col("a").alias("id")).agg(F.min("near").alias("near"))
         step = labels.join(best, "id").select("id", F.least("comp", "near").alias("next"), F.col("comp").alias("was"))
-        jump = step.select(F.col("id").alias("next"), F.col("next").alias("over"))
+        step = materialize(step)
+        hooks = step.groupBy(F.col("was").alias("id")).agg(F.min("next").alias("hook"))
+        hooked = materialize(step.join(hooks, "id", "left").select("id", F.least("next", "hook").alias("next"), "was"))
+        jump = hooked.select(F.col("id").alias("next"), F.col("next").alias("over"))
         new = materialize(
-            step.join(jump, "next", "left").select("id", F.least(F.col("next"), F.coalesce("over", "next")).alias("comp"), "was")
+            hooked.join(jump, "next", "left").select("id", F.least(F.col("next"), F.coalesce("over", "next")).alias("comp"), "was")
         )
         labels = new.select("id", "comp")
-        if new.where("comp <> was").limit(1).count() == 0:
-            break
+        changed = new.where("comp <> was").limit(1).count() > 0
     return labels
