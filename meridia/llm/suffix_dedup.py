@@ -141,7 +141,7 @@ class SuffixDedup:
                     a, b = np.maximum(p - before, offs[row]), np.minimum(p + length, offs[row + 1])
                     acc = textkit.prefix_sums(buf)
                     seed.append(h)
-                    ctx.append((textkit.span_hash(acc, a, b, 9) + (p - a).astype(U64) * U64(0x9E3779B97F4A7C15)) >> U64(32))
+                    ctx.append(textkit.span_hash(acc, a, b, 9) + (p - a).astype(U64) * U64(0x9E3779B97F4A7C15))
                     doc.append(row + lo)
                     pos.append(p - offs[row])
                     lo_b.append(a - offs[row])
@@ -149,10 +149,9 @@ class SuffixDedup:
                 if not seed:
                     continue
                 seed, ctx, doc, pos, lo_b, hi_b = map(np.concatenate, (seed, ctx, doc, pos, lo_b, hi_b))
-                both = textkit.mix(seed ^ (ctx * U64(0xC2B2AE3D27D4EB4F)))
-                order = np.argsort(both, kind="stable")  # rows ascend by document already
-                k, x = both[order], ids[doc[order]]
-                first = np.concatenate([[True], k[1:] != k[:-1]])
+                order = np.lexsort((ctx, seed))  # stable; rows ascend by document already
+                k, c, x = seed[order], ctx[order], ids[doc[order]]
+                first = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])
                 tied = np.zeros(len(k), bool)
                 tied[order] = x > x[np.flatnonzero(first)[np.cumsum(first) - 1]]
                 rows: list[tuple] = []
@@ -355,14 +354,14 @@ def _pack(seed: np.ndarray, ctx: np.ndarray, doc: np.ndarray, pos: np.ndarray) -
     step = np.diff(doc, prepend=doc[:1])
     wide = len(step) > 0 and int(step.max()) >= 1 << 16
     head = np.array([len(seed), int(wide), int(doc[0]) if len(doc) else 0], np.int64)
-    planes = (head, seed, ctx.astype(np.uint32), step.astype(np.int64 if wide else np.uint16), (pos & 0xFFFF).astype(np.uint16), (pos >> 16).astype(np.uint32))
+    planes = (head, seed, ctx, step.astype(np.int64 if wide else np.uint16), (pos & 0xFFFF).astype(np.uint16), (pos >> 16).astype(np.uint32))
     return b"".join(p.tobytes() for p in planes)
 
 
 def _unpack(buf) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n, wide, base = np.frombuffer(buf, np.int64, 3).tolist()
     at, out = 24, []
-    for kind in (U64, np.uint32, np.int64 if wide else np.uint16, np.uint16, np.uint32):
+    for kind in (U64, U64, np.int64 if wide else np.uint16, np.uint16, np.uint32):
         out.append(np.frombuffer(buf, kind, n, at))
         at += n * np.dtype(kind).itemsize
     seed, ctx, step, low, high = out

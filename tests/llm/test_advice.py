@@ -2,6 +2,7 @@
 
 import random
 
+from meridia.llm.suffix_dedup import SuffixDedup
 from meridia.llm.support import components
 
 
@@ -12,3 +13,15 @@ def test_components_on_long_chains(spark):
     edges = [e for path in (valley, ids) for e in zip(path, path[1:])]
     got = {r["id"]: r["comp"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in valley} | {i: 2000 for i in ids}
+
+
+def test_suffix_dedup_keeps_contexts_whose_half_hashes_collide(spark):
+    phrase = "a phrase of 24 byte02019"
+    pairs = [
+        ("nntbosdqqqzhypkrexqbjsifmd", "evxtsonynskwnplveazoptupugozjkomlgfmfjhzauvdhnksij", "ughyhzwqwjruekjahdpnhhaolc", "swcwluvdrvckqaygdzmqfgebpykhdhwljynmotlwgnniykojqk"),
+        ("aqrxejgnvpmgbevodstkqwxejo", "uicqfrmknkojjwpfjpqwszgeclpbsewracukxhdypikyyuvnja", "itntepuerqjatidxudvmplivwt", "viwhzcpgyeqrcosjsfwpwhgxwmswbzbdrehiertugxbvksrbci"),
+    ]
+    rows = [(2 * i + j, p[2 * j] + phrase + p[2 * j + 1]) for i, p in enumerate(pairs) for j in (0, 1)]
+    for parts in (1, 4):  # ties inside a batch, and over a bucket
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(parts, "doc_id")
+        assert [r["n_removed"] for r in SuffixDedup().digest(docs).collect()] == [0] * len(rows)
