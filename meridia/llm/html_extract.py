@@ -5,6 +5,8 @@ nearest container and half to the next.  A container is known by its path of tag
 classes (digits become ``#``).  Votes are summed per (host, path) in Spark, map-side first, so a host with
 a third of all pages costs no more than any other.  Pass 2 takes from each page the blocks under its
 host's winning path; a page that lacks the path falls back to its own best container, then to its body.
+Nested parts can outvote what holds them, so on each page the taken path widens to its outermost ancestor
+that is an article or main, or that has unlinked text elements (headings, paragraphs, lists) of its own.
 """
 
 from __future__ import annotations
@@ -44,9 +46,10 @@ def _names(attrs: str) -> tuple[str, bool]:
     return cls, marked
 
 
-def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
-    """(text, paths of its containers from the outermost, linked characters) for each block outside furniture."""
-    out: list[tuple[str, tuple[str, ...], int]] = []
+def blocks(page: str) -> list[tuple[str, tuple[str, ...], int, bool]]:
+    """(text, paths of its containers from the outermost, linked characters, whether in a text element of the
+    nearest container) for each block outside furniture."""
+    out: list[tuple[str, tuple[str, ...], int, bool]] = []
     stack: list[tuple[str, bool, tuple[str, ...]]] = []  # tag, furniture, container paths
     parts: list[str] = []
     linked, in_link, at, n = 0, 0, 0, len(page)
@@ -58,7 +61,7 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
                 text = "".join(parts)
                 text = " ".join((html.unescape(text) if "&" in text else text).split())
                 if text:
-                    out.append((text, stack[-1][2] if stack else (), linked))
+                    out.append((text, stack[-1][2] if stack else (), linked, bool(stack) and stack[-1][0] not in CONTAINER))
             parts.clear()
         linked = 0
 
@@ -114,9 +117,9 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
     return out
 
 
-def scores(found: list[tuple[str, tuple[str, ...], int]]) -> dict[str, float]:
+def scores(found: list[tuple[str, tuple[str, ...], int, bool]]) -> dict[str, float]:
     total: dict[str, float] = defaultdict(float)
-    for text, paths, linked in found:
+    for text, paths, linked, _ in found:
         worth = max(0, len(text) - 2 * linked)
         if paths:
             total[paths[-1]] += worth
@@ -125,14 +128,30 @@ def scores(found: list[tuple[str, tuple[str, ...], int]]) -> dict[str, float]:
     return total
 
 
+def _tag(paths: tuple[str, ...], i: int) -> str:
+    return paths[i][len(paths[i - 1]) if i else 0 :][1:].split(".", 1)[0]
+
+
+def widened(found: list[tuple[str, tuple[str, ...], int, bool]], path: str) -> str:
+    """``path``, or its outermost ancestor on this page that is an article or main or has text elements of its own."""
+    backed = set()
+    for text, paths, linked, element in found:
+        backed.update(p for i, p in enumerate(paths) if _tag(paths, i) in ("article", "main"))
+        if element and paths and len(text) > 2 * linked and _tag(paths, len(paths) - 1) != "body":
+            backed.add(paths[-1])
+    above = [p for _, paths, *_ in found if path in paths for p in paths[: paths.index(path)] if p in backed]
+    return min(above, key=len, default=path)
+
+
 def main_text(page: str, winner: str | None) -> str:
     found = blocks(page)
-    chosen = [t for t, paths, _ in found if winner in paths] if winner else []
-    if not chosen and found:
+    path = winner if winner and any(winner in paths for _, paths, *_ in found) else None
+    if path is None and found:
         own = scores(found)
-        best = max(own, key=lambda p: (own[p], p)) if own else None
-        chosen = [t for t, paths, _ in found if best is None or best in paths]
-    return "\n".join(chosen)
+        path = max(own, key=lambda p: (own[p], p)) if own else None
+    if path is not None:
+        path = widened(found, path)
+    return "\n".join(t for t, paths, *_ in found if path is None or path in paths)
 
 
 def _votes(batches):

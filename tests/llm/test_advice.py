@@ -2,6 +2,7 @@
 
 import random
 
+from meridia.llm import html_extract
 from meridia.llm.suffix_dedup import SuffixDedup
 from meridia.llm.support import components
 
@@ -25,3 +26,15 @@ def test_suffix_dedup_keeps_contexts_whose_half_hashes_collide(spark):
     for parts in (1, 4):  # ties inside a batch, and over a bucket
         docs = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(parts, "doc_id")
         assert [r["n_removed"] for r in SuffixDedup().digest(docs).collect()] == [0] * len(rows)
+
+
+def test_html_keeps_title_and_intro_above_nested_sections(spark):
+    parts = "<h1>{0} title</h1><p>{0} intro of this page</p>" + "<section class='s1'>" + "long part " * 30 + "</section>" + "<section class='s2'>" + "more text " * 30 + "</section>"
+    for tag in ("article", "main", "div class='post'"):
+        page = f"<body><nav>menu</nav><div class='side'>other</div><{tag}>{parts}</{tag.split()[0]}></body>"
+        rows = [(i, f"http://h.example/{i}", page.format(i)) for i in range(4)]
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+        for r in html_extract.extract(pages).collect():
+            i = r["page_id"]
+            assert r["text"].split("\n")[:2] == [f"{i} title", f"{i} intro of this page"]
+            assert "other" not in r["text"] and r["text"].count("\n") == 3
