@@ -1,13 +1,24 @@
 """Stupid-backoff language-model scores, computed relationally.
 
-Model: bigram and word counts of all texts.  S(w | v) = c(v w) / c(v) if the pair was counted ``least`` times or
-more, else ``alpha`` c(w) / N; a text's first word has c(w) / N.  A text's score is the sum of log S.
-
-Both tables are relations partitioned by hash, and so are the texts' exploded n-grams; they meet in the
-partition of their hash and are summed per document.  Rows are packed: one binary row holds all n-grams that a
-slice of texts sends to a partition, counted per document before the shuffle.  Words among the ``frequent``
-most frequent (a fixed bound, so they may be broadcast) travel as 3-byte numbers and are looked up where the
-pair is counted; other words send (word, document, times) on to the partition of their count.
+Every text is scored by the model of all other texts: c is a count over the corpus less the text's own.
+S(w | u v) = c(u v w) / c(u v) if c(u v w) >= ``least``, else ``alpha`` S(w | v); S(w | v) = c(v w) / c(v) if
+c(v w) >= ``least``, else ``alpha`` S(w); S(w) = max(1, c(w)) / N with N all words.  A text's first word has S(w), its second
+S(w | v); its score is the sum of log S.
+
+Relations and their partitioning:
+
+* grams (document, u, v, w, times): every trigram of every text, by the hash of u v.  In that partition they are counted,
+  which gives c(u v w) and, as every pair is the start of one trigram or ends its text, c(u v); the count tables are joined
+  to the grams there, and hits are summed per document.
+* pairs (u v, count): the table of c(u v) counted twice or more, by the hash of u v, and misses (document, v, w, times), by
+  the hash of v w, which meet it and are summed.
+* words (w, count), by the hash of w.  The ``frequent`` most frequent words (a fixed bound) are broadcast; grams name them by
+  rank.  What needs the count of another word is sent to that word's partition.
+* sums (document, log score, words backed off), by document, added up.
+
+Rows are packed: one binary row holds all grams that a slice of texts sends to a partition, counted per document before
+the shuffle, in compressed planes.  A partition's grams stay packed while they are counted and are read again, one
+row at a time, to be scored, so its memory grows with its distinct grams and not with a pair that everyone uses.
 """
 
 from __future__ import annotations
@@ -22,8 +33,10 @@ from meridia.llm.support import materialize
 
 U64 = np.uint64
 ROW = "bucket int, kind int, blob binary"
-_RARE = 0xFFFFFF
+_RARE, _END = 0xFFFFFF, 0xFFFFFE  # codes of a word that isn't frequent, and of a text's end
 _MUL = U64(0xFF51AFD7ED558CCD)
+# Kinds of rows: counts, grams, misses, second words, words that wait for their count, first words, sums, documents.
+_TABLE, _GRAMS, _MISS, _SECOND, _COUNTED, _FIRST, _SUMS, _WORDS = range(8)
 
 
 def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -31,16 +44,29 @@ def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], names=["bucket", "kind", "blob"])
 
 
-def pack(*columns: np.ndarray) -> bytes:
-    """Planes of equally long columns behind their length."""
-    return b"".join([np.int64(len(columns[0])).tobytes(), *(c.tobytes() for c in columns)])
+def _planes(a: np.ndarray) -> list[bytes]:
+    """Bytes of equal weight together, which compress better."""
+    return [np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize)[:, j]).tobytes() for j in range(a.itemsize)]
 
 
-def unpack(blob, *kinds) -> list[np.ndarray]:
-    n, at, out = int(np.frombuffer(blob, np.int64, 1)[0]), 8, []
-    for k in kinds:
-        out.append(np.frombuffer(blob, k, n, at))
-        at += n * np.dtype(k).itemsize
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of any lengths, compressed: their number, kinds and lengths, then planes."""
+    kinds = "".join(c.dtype.char for c in columns).encode()
+    head = bytes([len(kinds)]) + kinds + np.array([len(c) for c in columns], np.int64).tobytes()
+    raw = head + b"".join(b"".join(_planes(c)) for c in columns)
+    return np.int64(len(raw)).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack(blob) -> list[np.ndarray]:
+    size = int(np.frombuffer(blob, np.int64, 1)[0])
+    raw = pa.decompress(memoryview(blob)[8:], decompressed_size=size, codec="zstd", asbytes=True)
+    k = raw[0]
+    kinds, lens = raw[1 : 1 + k].decode(), np.frombuffer(raw, np.int64, k, 1 + k)
+    at, out = 1 + k + 8 * k, []
+    for kind, n in zip(kinds, lens.tolist()):
+        width = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T).view(kind).ravel())
+        at += n * width
     return out
 
 
@@ -52,40 +78,145 @@ def _split(bucket: np.ndarray):
         yield int(bucket[part[0]]), part
 
 
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return textkit.mix(a * _MUL + b)
+
+
+def _own(key: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often each item's key occurs in its own row, and the first item of each (row, key)."""
+    _, first, at, times = np.unique(textkit.mix(key ^ textkit.mix(row.astype(U64), 3)), return_index=True, return_inverse=True, return_counts=True)
+    return times[at].astype(np.uint32), np.sort(first)
+
+
+class _Counts:
+    """Keys with sums, merged as they come."""
+
+    def __init__(self):
+        self.keys, self.sums, self.held, self.size = np.zeros(0, U64), np.zeros(0, np.int64), [], 0
+
+    def add(self, keys: np.ndarray, times: np.ndarray) -> None:
+        self.held.append((keys, times.astype(np.int64)))
+        self.size += len(keys)
+        if self.size > 1_000_000 + len(self.keys):
+            self.settle()
+
+    def settle(self) -> _Counts:
+        keys, sums = map(np.concatenate, zip((self.keys, self.sums), *self.held))
+        self.keys, at = np.unique(keys, return_inverse=True)
+        self.sums, self.held, self.size = np.bincount(at, sums, len(self.keys)).astype(np.int64), [], 0
+        return self
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.sums[at], 0)
+
+
+class _Top:
+    """The most frequent words by rank: hashes and counts."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
+        order = np.lexsort((hashes, -counts))
+        self.hashes, self.counts = hashes[order], counts[order]
+        self.rank = np.argsort(self.hashes)
+        self.sorted = self.hashes[self.rank]
+
+    def code(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.sorted):
+            return np.full(len(h), _RARE)
+        at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == h, self.rank[at], _RARE)
+
+    def hash(self, code: np.ndarray, rare: np.ndarray) -> np.ndarray:
+        known = self.hashes[np.minimum(code, len(self.hashes) - 1)] if len(self.hashes) else np.zeros(len(code), U64)
+        known[code == _RARE] = rare
+        return known
+
+
+def _codes(code: np.ndarray) -> list[np.ndarray]:
+    return [((code >> s) & 0xFF).astype(np.uint8) for s in (0, 8, 16)]
+
+
+def _decoded(planes) -> np.ndarray:
+    return sum(p.astype(np.int64) << (8 * j) for j, p in enumerate(planes))
+
+
+class _Gatherer:
+    """What a task's partitions send on: sums per document, added up first, and words that wait for their count."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.held, self.waits, self.size = buckets, [], [], 0
+
+    def add(self, doc, value, backed, single) -> None:
+        docs, at = np.unique(doc, return_inverse=True)
+        self.held.append((docs, *(np.bincount(at, x, len(docs)) for x in (value, backed, single))))
+        self.size += len(docs)
+
+    def wait(self, word, doc, weight, own) -> None:
+        self.waits.append((word, doc, weight.astype(np.float32), own.astype(np.uint32)))
+        self.size += len(word)
+
+    def leave(self, least: int = 1):
+        if self.size < least:
+            return
+        lot = _partials(*map(np.concatenate, zip(*self.held)), self.buckets) if self.held else []
+        if self.waits:
+            w, d, x, own = map(np.concatenate, zip(*self.waits))
+            lot += [(b, _COUNTED, pack(w[p], np.diff(d[p], prepend=0), x[p], own[p])) for b, p in _split((w % U64(self.buckets)).astype(np.int64))]
+        self.held, self.waits, self.size = [], [], 0
+        for at in range(0, len(lot), 2000):
+            yield _rows(lot[at : at + 2000])
+
+
+def _partials(doc, value, backed, single, buckets: int) -> list[tuple[int, int, bytes]]:
+    docs, at = np.unique(doc, return_inverse=True)
+    sums, counts = np.bincount(at, value, len(docs)), [np.bincount(at, x, len(docs)).astype(np.uint32) for x in (backed, single)]
+    return [(b, _SUMS, pack(np.diff(docs[p], prepend=0), sums[p], *(c[p] for c in counts))) for b, p in _split(docs % buckets)]
+
+
 class StupidBackoff:
-    def __init__(self, alpha: float = 0.4, least: int = 2, frequent: int = 500_000, slice_bytes: int = 2 << 20):
-        self.alpha, self.least, self.frequent, self.slice_bytes = alpha, least, frequent, slice_bytes
+    """``order``: 3, or 2 for a model of pairs.  ``least``: how often the other texts hold a gram that is used.
+    ``gram_rows``: grams of a partition, on average; ``slice_bytes``: text counted together before the shuffle."""
 
-    def _slices(self, batches, slice_bytes: int):
+    def __init__(self, order: int = 3, alpha: float = 0.4, least: int = 1, frequent: int = 500_000, gram_rows: int = 400_000, slice_bytes: int = 4 << 20):
+        if order not in (2, 3) or least < 1 or not 0 < alpha <= 1 or not 0 <= frequent < _END:
+            raise ValueError("order is 2 or 3, least 1 or more, alpha in (0, 1], frequent under 16 million")
+        self.order, self.alpha, self.least, self.frequent, self.gram_rows, self.slice_bytes = order, alpha, least, frequent, gram_rows, slice_bytes
+
+    @staticmethod
+    def _slices(batches, slice_bytes: int):
+        """(ids, whether they are known, word hashes, row of each word) of runs of whole rows."""
         for batch in batches:
-            column = textkit.text_column(batch, "text")
-            ids = batch.column("doc_id").to_numpy()
+            column, ids = textkit.text_column(batch, "text"), batch.column("doc_id")
+            known, ids = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
             for lo, hi, _, _ in textkit.chunks(column, slice_bytes):
                 hashes, rows = [], []
                 for a, b, buf, offs in textkit.chunks(column.slice(lo, hi - lo)):
                     starts, ends, first = textkit.words(buf, offs)
                     hashes.append(textkit.span_hash(textkit.prefix_sums(buf), starts, ends))
                     rows.append(textkit.row_of(first) + a)
-                yield ids[lo:hi], np.concatenate(hashes), np.concatenate(rows)
+                yield ids[lo:hi], known[lo:hi], np.concatenate(hashes), np.concatenate(rows)
 
     def _words(self, buckets: int):
         def batches(batches):
-            for _, h, _ in self._slices(batches, 4 * self.slice_bytes):
+            for _, _, h, _ in self._slices(batches, 2 * self.slice_bytes):
                 words, counts = np.unique(h, return_counts=True)
-                lot = [(b, 0, pack(words[p], counts[p].astype(np.uint32))) for b, p in _split((words % U64(buckets)).astype(np.int64))]
-                yield _rows(lot)
+                yield _rows([(b, _WORDS, pack(words[p], counts[p].astype(np.uint32))) for b, p in _split((words % U64(buckets)).astype(np.int64))])
 
         return batches
 
     @staticmethod
     def _count(batches):
         for group in textkit.sorted_groups(batches, ["bucket"]):
-            h, c = map(np.concatenate, zip(*[unpack(x.as_buffer(), U64, np.uint32) for x in group.column("blob")]))
-            words, at = np.unique(h, return_inverse=True)
-            yield _rows([(group.column("bucket")[0].as_py(), 0, pack(words, np.bincount(at, c).astype(np.int64)))])
-
-    def _top(self, words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes (ascending) and counts of the most frequent words: all above a cutoff that ``frequent`` words pass at most."""
+            found = _Counts()
+            for x in group.column("blob"):
+                found.add(*unpack(x.as_buffer()))
+            found.settle()
+            yield _rows([(group.column("bucket")[0].as_py(), _TABLE, pack(found.keys, found.sums))])
+
+    def _top(self, words: DataFrame) -> _Top:
+        """All words above a cutoff that ``frequent`` words pass at most."""
         rows = words.mapInArrow(_word_rows, "h long, c long")
         passed, cutoff = 0, None
         for r in rows.groupBy("c").count().orderBy(F.desc("c")).toLocalIterator():  # one row per distinct count
@@ -94,182 +225,238 @@ class StupidBackoff:
                 break
             cutoff = r["c"]
         got = rows.where(F.col("c") >= (cutoff if cutoff is not None else 1 << 62)).toArrow()
-        h, c = got.column("h").to_numpy().view(U64), got.column("c").to_numpy()
-        order = np.argsort(h)
-        return h[order], c[order]
-
-    def _pairs(self, buckets: int, spread: int, top: np.ndarray, counts: np.ndarray, total: float):
-        log_top = np.log(counts / total) if len(counts) else np.zeros(0)
+        return _Top(got.column("h").to_numpy().view(U64), got.column("c").to_numpy())
 
-        def code(h):
-            at = np.minimum(np.searchsorted(top, h), max(0, len(top) - 1))
-            return np.where(top[at] == h, at, _RARE) if len(top) else np.full(len(h), _RARE)
+    def _grams(self, buckets: int, parts: int, top: _Top, total: float):
+        """Grams by the hash of their pair; a row of every document with its words and its first word's score."""
 
         def batches(batches):
-            for ids, h, row in self._slices(batches, self.slice_bytes):
+            for ids, known, h, row in self._slices(batches, self.slice_bytes):
                 lot: list[tuple[int, int, bytes]] = []
-                own = code(h)
-                # First words, and a row for every document.
-                base, n_words = np.zeros(len(ids)), np.bincount(row, minlength=len(ids))
-                head = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
-                known = own[head] != _RARE
-                base[row[head[known]]] = log_top[own[head[known]]]
-                late = head[~known]
-                for b, p in _split((h[late] % U64(buckets)).astype(np.int64)):
-                    lot.append((b, 3, pack(h[late[p]], ids[row[late[p]]], np.ones(len(p)))))
-                for b, p in _split(ids % buckets):
-                    lot.append((b, 4, pack(ids[p], base[p], n_words[p].astype(np.int64))))
-                at = np.flatnonzero(row[:-1] == row[1:]) if len(row) else np.zeros(0, np.int64)
-                key, r = textkit.mix(h[at] * _MUL + h[at + 1]), row[at]
-                order = np.lexsort((key, r))
-                at, key, r = at[order], key[order], r[order]
-                new = np.concatenate([[True], (key[1:] != key[:-1]) | (r[1:] != r[:-1])]) if len(at) else np.zeros(0, bool)
-                first = np.flatnonzero(new)
-                times = np.diff(np.append(first, len(at)))
-                at, key, r = at[first], key[first], r[first]
-                for b, p in _split((key % U64(buckets * spread)).astype(np.int64)):
-                    one, two = own[at[p]], own[at[p] + 1]
-                    codes = [((c >> s) & 0xFF).astype(np.uint8) for c in (one, two) for s in (0, 8, 16)]
-                    step = np.diff(r[p], prepend=0)
-                    rare = np.concatenate([h[at[p]][one == _RARE], h[at[p] + 1][two == _RARE]])
-                    body = pack(*codes, times[p].astype(np.uint32), step.astype(np.uint32))
-                    lot.append((b, 0, pack(ids) + body + pack(rare)))
-                for i in range(0, len(lot), 2000):
-                    yield _rows(lot[i : i + 2000])
+                code, n = top.code(h), len(h)
+                own_word, _ = _own(h, row)
+                n_words = np.bincount(row, minlength=len(ids))
+                head = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if n else np.zeros(0, np.int64)
+                base = np.zeros(len(ids))
+                near = head[code[head] != _RARE]
+                base[row[near]] = np.log(np.maximum(1, top.counts[code[near]] - own_word[near]) / total) if len(near) else 0.0
+                scored = np.flatnonzero(known)
+                for b, p in _split(ids[scored] % parts):
+                    p = scored[p]
+                    lot.append((b, _WORDS, pack(ids[p], base[p], n_words[p])))
+                late = head[(code[head] == _RARE) & known[row[head]]]
+                for b, p in _split((h[late] % U64(parts)).astype(np.int64)):
+                    p = late[p]
+                    lot.append((b, _FIRST, pack(h[p], np.diff(ids[row[p]], prepend=0), np.ones(len(p), np.float32), own_word[p])))
+                # Every pair starts one gram: with the word after it, or with the end of its text.
+                at = np.flatnonzero(row[:-1] == row[1:]) if n else np.zeros(0, np.int64)
+                pair, r = _pair(h[at], h[at + 1]), row[at]
+                own_pair, _ = _own(pair, r)
+                more = np.zeros(len(at), bool)
+                more[:-1] = r[:-1] == r[1:]
+                third = np.where(more, h[np.minimum(at + 2, n - 1)] if n else h, U64(0))
+                last = np.where(more, code[np.minimum(at + 2, n - 1)] if n else code, _END)
+                gram = textkit.mix(pair * _MUL + third, 5) + more.astype(U64)
+                times, first = _own(gram, r)
+                after = np.minimum(np.arange(len(at)) + 1, max(0, len(at) - 1))  # the pair v w
+                opening = np.concatenate([[True], r[1:] != r[:-1]]) if len(at) else np.zeros(0, bool)
+                for b, p in _split((pair[first] % U64(buckets)).astype(np.int64)):
+                    p = first[p]
+                    i = at[p]
+                    lot.append((b, _GRAMS, self._packed(ids, known, r[p], h, [code[i], code[i + 1], last[p]], [i, i + 1, np.minimum(i + 2, n - 1)], [times[p], own_pair[p], np.where(more[p], own_pair[after[p]], 0), own_word[i + 1], np.where(more[p], own_word[np.minimum(i + 2, n - 1)], 0)])))
+                start = np.flatnonzero(opening & known[r]) if len(at) else np.zeros(0, np.int64)
+                for b, p in _split((pair[start] % U64(buckets)).astype(np.int64)):
+                    p = start[p]
+                    lot.append((b, _SECOND, _missed(code[at[p]], code[at[p] + 1], h[at[p]], h[at[p] + 1], ids[r[p]], np.ones(len(p), np.uint32), own_pair[p], own_word[at[p]], own_word[at[p] + 1])))
+                for k in range(0, len(lot), 2000):
+                    yield _rows(lot[k : k + 2000])
 
         return batches
 
-    def _meet(self, buckets: int, top: np.ndarray, counts: np.ndarray, total: float):
-        log_top = np.log(counts) if len(counts) else np.zeros(0)
-        miss = np.log(self.alpha) - np.log(total)
+    @staticmethod
+    def _packed(ids, known, row, h, codes, at, own) -> bytes:
+        docs, local = np.unique(row, return_inverse=True)
+        rare = [h[i][c == _RARE] for c, i in zip(codes, at)]
+        return pack(np.diff(ids[docs], prepend=0), known[docs].astype(np.uint8), np.diff(local, prepend=0).astype(np.uint32), *(p for c in codes for p in _codes(c)), *(o.astype(np.uint32) for o in own), *rare)
 
-        def batches(batches):
-            # What a task's buckets have to send is gathered first: sums are added up, and words leave together.
-            held: list[tuple] = []
-            waits: list[tuple] = []
-            size = 0
-
-            def leave():
-                nonlocal held, waits, size
-                lot = _partials(*map(np.concatenate, zip(*held)), buckets) if held else []
-                if waits:
-                    w, d, x = map(np.concatenate, zip(*waits))
-                    lot += [(b, 2, pack(w[p], d[p], x[p])) for b, p in _split((w % U64(buckets)).astype(np.int64))]
-                held, waits, size = [], [], 0
-                return _rows(lot)
+    @staticmethod
+    def _read(blob, top: _Top):
+        """(ids, known, pair, gram, whether a word follows, codes of v and w, hashes of v and w, own counts)."""
+        ids, known, local, *rest = unpack(blob)
+        ids, local = np.cumsum(ids), np.cumsum(local.astype(np.int64))
+        codes = [_decoded(rest[j : j + 3]) for j in (0, 3, 6)]
+        own, rare = rest[9:14], rest[14:]
+        u, v, w = (top.hash(c, x) for c, x in zip(codes, rare))
+        pair, more = _pair(u, v), codes[2] != _END
+        w[~more] = 0
+        gram = textkit.mix(pair * _MUL + w, 5) + more.astype(U64)
+        return ids[local], known[local].astype(bool), pair, gram, more, codes[1:], (v, w), own
+
+    def _meet(self, buckets: int, parts: int, top: _Top):
+        """Counts a partition's grams, joins them to the counts, sums hits and sends misses on; keeps c(u v)."""
 
+        def batches(batches):
+            out = _Gatherer(parts)
             for group in textkit.sorted_groups(batches, ["bucket", "kind"]):
-                if group.column("kind")[0].as_py():
+                if group.column("kind")[0].as_py() != _GRAMS:
                     yield from group.combine_chunks().to_batches()
                     continue
-                one, two, h1, h2, times, doc = [], [], [], [], [], []
+                blobs = [x.as_buffer() for x in group.column("blob")]
+                pairs, grams = _Counts(), _Counts()
+                for blob in blobs:
+                    _, _, pair, gram, _, _, _, own = self._read(blob, top)
+                    pairs.add(pair, own[0])
+                    grams.add(gram, own[0])
+                pairs.settle(), grams.settle()
+                lot = []
+                for blob in blobs:
+                    doc, known, pair, gram, more, (cv, cw), (v, w), (times, own_uv, own_vw, own_v, own_w) = self._read(blob, top)
+                    others = grams.of(gram) - times
+                    asked = more & known
+                    hit = asked & (others >= self.least) if self.order == 3 else np.zeros(len(doc), bool)
+                    miss = np.flatnonzero(asked & ~hit)
+                    hit = np.flatnonzero(hit)
+                    value = times[hit] * (np.log(others[hit]) - np.log(pairs.of(pair[hit]) - own_uv[hit]))
+                    drop = self.order == 3
+                    out.add(
+                        np.r_[doc[hit], doc[miss]], np.r_[value, times[miss] * (np.log(self.alpha) if drop else 0.0)],
+                        np.r_[np.zeros(len(hit)), times[miss] * float(drop)], np.zeros(len(hit) + len(miss)),
+                    )
+                    after = _pair(v[miss], w[miss])
+                    for b, p in _split((after % U64(buckets)).astype(np.int64)):
+                        i = miss[p]
+                        lot.append((b, _MISS, _missed(cv[i], cw[i], v[i], w[i], doc[i], times[i], own_vw[i], own_v[i], own_w[i])))
+                    for k in range(0, len(lot) - 1999, 2000):
+                        yield _rows(lot[k : k + 2000])
+                    lot = lot[len(lot) // 2000 * 2000 :]
+                often = pairs.sums > self.least
+                lot.append((group.column("bucket")[0].as_py(), _TABLE, pack(pairs.keys[often], pairs.sums[often])))
+                yield _rows(lot)
+                yield from out.leave(2_000_000)
+            yield from out.leave()
+
+        return batches
+
+    def _second(self, parts: int, top: _Top, total: float):
+        """Misses and second words against the table of pairs."""
+
+        def batches(batches):
+            out = _Gatherer(parts)
+            table, home = _Counts(), None
+            for group in textkit.sorted_groups(batches, ["bucket", "kind"]):
+                bucket, kind = group.column("bucket")[0].as_py(), group.column("kind")[0].as_py()
+                if bucket != home:
+                    table, home = _Counts(), bucket
+                if kind == _TABLE:
+                    table.keys, table.sums = unpack(group.column("blob")[0].as_buffer())
+                    continue
                 for x in group.column("blob"):
-                    buf = x.as_buffer()
-                    ids = unpack(buf, np.int64)[0]
-                    at = 8 + 8 * len(ids)
-                    n = int(np.frombuffer(buf, np.int64, 1, at)[0])
-                    parts = unpack(buf[at:], *[np.uint8] * 6, np.uint32, np.uint32)
-                    rare = unpack(buf[at + 8 + n * 14 :], U64)[0]
-                    a, b = (sum(parts[j + k].astype(np.int64) << (8 * k) for k in range(3)) for j in (0, 3))
-                    ha, hb = (top[np.where(c == _RARE, 0, c)] if len(top) else np.zeros(n, U64) for c in (a, b))
-                    k = int((a == _RARE).sum())
-                    ha[a == _RARE], hb[b == _RARE] = rare[:k], rare[k:]
-                    for o, v in zip((one, two, h1, h2, times, doc), (a, b, ha, hb, parts[6], ids[np.cumsum(parts[7].astype(np.int64))])):
-                        o.append(v)
-                one, two, h1, h2, times, doc = map(np.concatenate, (one, two, h1, h2, times, doc))
-                _, at = np.unique(textkit.mix(h1 * _MUL + h2), return_inverse=True)
-                c = np.bincount(at, times)[at]
-                seen, times = c >= self.least, times.astype(np.float64)
-                look, word = np.where(seen, one, two), np.where(seen, h1, h2)
-                value = np.where(seen, np.log(np.maximum(c, 1)), miss)
-                sign = np.where(seen, -1.0, 1.0)
-                near = look != _RARE
-                value[near] += sign[near] * log_top[look[near]]
-                docs, at = np.unique(doc, return_inverse=True)
-                held.append((docs, np.bincount(at, value * times), np.bincount(at, ~seen * times)))
-                far = np.flatnonzero(~near)
-                waits.append((word[far], doc[far], (sign * times)[far]))
-                size += len(docs) + len(far)
-                if size > 2_000_000:
-                    yield leave()
-            if size:
-                yield leave()
+                    pair, cv, cw, v, w, doc, times, own_vw, own_v, own_w = _unmissed(x.as_buffer(), top)
+                    others = table.of(pair) - own_vw.astype(np.int64)
+                    hit = others >= self.least
+                    value = np.where(hit, np.log(np.maximum(1, others)), np.log(self.alpha) - np.log(total)) * times
+                    look, word, own = np.where(hit, cv, cw), np.where(hit, v, w), np.where(hit, own_v, own_w).astype(np.int64)
+                    sign = np.where(hit, -1.0, 1.0) * times
+                    near = look != _RARE
+                    value[near] += sign[near] * np.log(np.maximum(1, top.counts[look[near]] - own[near])) if near.any() else 0.0
+                    # A miss of the longer gram is counted already; a second word's is counted here.
+                    out.add(doc, value, (~hit * times) if kind == _SECOND or self.order == 2 else np.zeros(len(doc)), ~hit * times)
+                    far = np.flatnonzero(~near)
+                    out.wait(word[far], doc[far], sign[far], own[far])
+                    yield from out.leave(2_000_000)
+            yield from out.leave()
 
         return batches
 
     @staticmethod
-    def _late(buckets: int, total: float):
-        """Counts (kind 0) against what waits for them (kind 2, 3 for first words)."""
+    def _late(parts: int, total: float):
+        """Word counts against what waits for them."""
 
         def batches(batches):
-            words = counts = None
+            out = _Gatherer(parts)
+            table, home = _Counts(), None
             for group in textkit.sorted_groups(batches, ["bucket", "kind"]):
-                kind = group.column("kind")[0].as_py()
-                if kind == 0:
-                    words, counts = unpack(group.column("blob")[0].as_buffer(), U64, np.int64)
+                bucket, kind = group.column("bucket")[0].as_py(), group.column("kind")[0].as_py()
+                if bucket != home:
+                    table, home = _Counts(), bucket
+                if kind == _TABLE:
+                    table.keys, table.sums = unpack(group.column("blob")[0].as_buffer())
                     continue
-                w, doc, weight = map(np.concatenate, zip(*[unpack(x.as_buffer(), U64, np.int64, np.float64) for x in group.column("blob")]))
-                value = weight * np.log(counts[np.searchsorted(words, w)])
-                if kind == 3:
-                    value -= np.log(total)
-                yield _rows(_partials(doc, value, np.zeros(len(doc)), buckets))
+                for x in group.column("blob"):
+                    word, doc, weight, own = unpack(x.as_buffer())
+                    value = weight * np.log(np.maximum(1, table.of(word) - own.astype(np.int64)))
+                    if kind == _FIRST:
+                        value = value - np.log(total)
+                    out.add(np.cumsum(doc), value, np.zeros(len(doc)), np.zeros(len(doc)))
+                    yield from out.leave(2_000_000)
+            yield from out.leave()
 
         return batches
 
     @staticmethod
     def _sum(batches):
         for group in textkit.sorted_groups(batches, ["bucket"]):
-            doc, s, n, backed = [], [], [], []
+            doc, value, n, backed, single = [], [], [], [], []
             for kind, x in zip(group.column("kind").to_pylist(), group.column("blob")):
-                if kind == 4:
-                    d, v, w = unpack(x.as_buffer(), np.int64, np.float64, np.int64)
-                    k = np.zeros(len(d), np.int64)
+                if kind == _WORDS:
+                    d, v, w = unpack(x.as_buffer())
+                    k = s = np.zeros(len(d))
                 else:
-                    d, v, k = unpack(x.as_buffer(), np.int64, np.float64, np.uint32)
-                    d, w = np.cumsum(d), np.zeros(len(d), np.int64)
-                for o, a in zip((doc, s, n, backed), (d, v, w, k)):
+                    d, v, k, s = unpack(x.as_buffer())
+                    d, w = np.cumsum(d), np.zeros(len(d))
+                for o, a in zip((doc, value, n, backed, single), (d, v, w, k, s)):
                     o.append(a)
-            doc, s, n, backed = map(np.concatenate, (doc, s, n, backed))
+            doc, value, n, backed, single = map(np.concatenate, (doc, value, n, backed, single))
             docs, at = np.unique(doc, return_inverse=True)
-            arrays = [pa.array(docs), *(pa.array(np.bincount(at, x).astype(np.int64)) for x in (n, backed)), pa.array(np.bincount(at, s))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "n_backoff", "log_score"])
+            arrays = [pa.array(docs), *(pa.array(np.bincount(at, x).astype(np.int64)) for x in (n, backed, single)), pa.array(np.bincount(at, value))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "n_backoff", "n_unigram", "log_score"])
 
     def score(self, docs: DataFrame) -> DataFrame:
-        """doc_id, n_words, n_backoff, log_score, mean_log_score: one row per id.
+        """doc_id, n_words, n_backoff (words scored below the full order), n_unigram (of those by words alone), log_score,
+        mean_log_score: one row per id.
 
-        Null, empty and wordless texts score 0 with a null mean; rows repeating an id are scored together; rows
-        with a null id are counted in the model but have no row.
+        Null, empty and wordless texts score 0 with a null mean.  Rows that repeat an id are texts of their own, whose words
+        and scores are added up.  Rows with a null id are counted in the model but have no row.
         """
         spark = docs.sparkSession
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        buckets, spread = int(spark.conf.get("spark.sql.shuffle.partitions")), 4
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         deal = lambda df, *by: df.repartition("bucket").sortWithinPartitions(*by)
-        counted = texts.fillna({"doc_id": 0}).mapInArrow(self._words(buckets), ROW)
-        words = materialize(deal(counted, "bucket").mapInArrow(self._count, ROW))
-        total = float(words.mapInArrow(_totals, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) or 1.0
+        words = materialize(deal(texts.mapInArrow(self._words(parts), ROW), "bucket").mapInArrow(self._count, ROW))
+        n = int(words.mapInArrow(_totals, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+        total, buckets = float(n) or 1.0, max(4 * parts, -(-n // self.gram_rows))
         top = self._top(words)
-        known = texts.where("doc_id is not null").mapInArrow(self._pairs(buckets, spread, *top, total), ROW)
-        met = materialize(deal(known, "bucket", "kind").mapInArrow(self._meet(buckets, *top, total), ROW))
-        late = deal(words.union(met.where("kind in (2, 3)")), "bucket", "kind").mapInArrow(self._late(buckets, total), ROW)
-        sums = deal(met.where("kind in (1, 4)").union(late), "bucket").mapInArrow(self._sum, "doc_id long, n_words long, n_backoff long, log_score double")
+        grams = deal(texts.mapInArrow(self._grams(buckets, parts, top, total), ROW), "bucket", "kind")
+        met = materialize(grams.mapInArrow(self._meet(buckets, parts, top), ROW))
+        of = lambda df, *kinds: df.where(F.col("kind").isin(*kinds))
+        second = materialize(deal(of(met, _TABLE, _MISS, _SECOND), "bucket", "kind").mapInArrow(self._second(parts, top, total), ROW))
+        late = deal(words.union(of(met, _COUNTED, _FIRST)).union(of(second, _COUNTED)), "bucket", "kind").mapInArrow(self._late(parts, total), ROW)
+        rows = deal(of(met, _SUMS, _WORDS).union(of(second, _SUMS)).union(late), "bucket")
+        sums = rows.mapInArrow(self._sum, "doc_id long, n_words long, n_backoff long, n_unigram long, log_score double")
         return sums.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
 
 
+def _missed(cv, cw, v, w, doc, times, *own) -> bytes:
+    rare = v[cv == _RARE], w[cw == _RARE]
+    return pack(np.diff(doc, prepend=0), *_codes(cv), *_codes(cw), *(o.astype(np.uint32) for o in (times, *own)), *rare)
+
+
+def _unmissed(blob, top: _Top):
+    doc, *rest = unpack(blob)
+    cv, cw = _decoded(rest[:3]), _decoded(rest[3:6])
+    times, *own = rest[6:10]
+    v, w = top.hash(cv, rest[10]), top.hash(cw, rest[11])
+    return _pair(v, w), cv, cw, v, w, np.cumsum(doc), times.astype(np.float64), *own
+
+
 def _word_rows(batches):
     for batch in batches:
         for blob in batch.column("blob"):
-            h, c = unpack(blob.as_buffer(), U64, np.int64)
+            h, c = unpack(blob.as_buffer())
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], names=["h", "c"])
 
 
-def _partials(doc: np.ndarray, value: np.ndarray, backed: np.ndarray, buckets: int) -> list[tuple[int, int, bytes]]:
-    """Sums per document, by the document's bucket, as steps of ids."""
-    docs, at = np.unique(doc, return_inverse=True)
-    sums, backs = np.bincount(at, value), np.bincount(at, backed).astype(np.uint32)
-    return [(b, 1, pack(np.diff(docs[p], prepend=0), sums[p], backs[p])) for b, p in _split(docs % buckets)]
-
-
 def _totals(batches):
     for batch in batches:
-        n = [int(unpack(x.as_buffer(), U64, np.int64)[1].sum()) for x in batch.column("blob")]
+        n = [int(unpack(x.as_buffer())[1].sum()) for x in batch.column("blob")]
         yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], names=["n"])

@@ -2,7 +2,6 @@
 
 import collections
 import hashlib
-import math
 import random
 import re
 
@@ -11,7 +10,6 @@ import public_tokenizers
 import pytest
 
 from meridia.llm import html_extract, quality
-from meridia.llm.lm_scoring import StupidBackoff
 from meridia.llm.minhash import NearDuplicates
 from meridia.llm.mixing import Raking
 from meridia.llm.nn_descent import NNDescent
@@ -118,21 +116,6 @@ def test_near_duplicates(docs, texts, nothing):
     assert NearDuplicates()(nothing).count() == 0
 
 
-def test_lm_scores(docs, texts, nothing):
-    words = {i: WORD.findall(t) for i, t in texts.items()}
-    one = collections.Counter(w for v in words.values() for w in v)
-    two = collections.Counter(p for v in words.values() for p in zip(v, v[1:]))
-    total = sum(one.values())
-    for frequent in (1000, 5):
-        got = {r["doc_id"]: r for r in StupidBackoff(frequent=frequent).score(docs).collect()}
-        assert got.keys() == words.keys()
-        for i, v in words.items():
-            s = math.log(one[v[0]] / total) if v else 0.0
-            s += sum(math.log(two[p] / one[p[0]]) if two[p] >= 2 else math.log(0.4 * one[p[1]] / total) for p in zip(v, v[1:]))
-            assert got[i]["log_score"] == pytest.approx(s, rel=1e-9, abs=1e-9) and got[i]["n_words"] == len(v)
-    assert StupidBackoff().score(nothing).count() == 0
-
-
 def test_quality_counts(docs, texts):
     got = {r["doc_id"]: r for r in quality.features(docs).collect()}
     for i, t in texts.items():
