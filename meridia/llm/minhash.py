@@ -8,7 +8,9 @@ minimum.  Bands of ``rows`` coordinates are hashed to buckets.
 Links: documents with equal shingle sets are one class, which its smallest id represents.  In each bucket
 every class is compared with two hubs, its smallest id and its most connected member; true links (exact
 Jaccard on full sets) unite classes, and only where a bucket then still holds several components are
-its remaining pairs across components compared, so a group of near copies costs a star, not a clique.
+its remaining pairs across components compared, so a group of near copies costs a star, not a clique.  Those pairs
+first meet an upper bound of their intersection, which never discards a link: shingles counted by slots of their hash,
+the lesser count of each slot summed.
 Hub sets are shipped once per ``fan`` members (salting), members once per hub.
 """
 
@@ -90,6 +92,28 @@ def band_hashes(sig: np.ndarray, rows: int) -> np.ndarray:
     return textkit.mix(acc + np.arange(bands, dtype=U64)[None, :] * U64(0x9E3779B97F4A7C15))
 
 
+#: Most slots of a mark, and the count that a byte can't pass.
+SLOTS, FULL = 1 << 14, 255
+
+
+def mark(keys: np.ndarray) -> bytes:
+    """Shingles counted by slots of their hash, two slots a shingle or more up to ``SLOTS``; empty where a count overflows."""
+    log = int(min(SLOTS, max(64, 2 * len(keys))) - 1).bit_length()
+    counts = np.bincount((textkit.mix(keys, 21) >> U64(64 - log)).astype(np.int64), minlength=1 << log)
+    return counts.astype(np.uint8).tobytes() if counts.max() <= FULL else b""
+
+
+def folded(marks: np.ndarray, slots: int) -> np.ndarray:
+    """Marks with fewer slots: neighbouring slots are added up."""
+    return marks.reshape(len(marks), slots, -1).sum(axis=2, dtype=np.uint16)
+
+
+def most_shared(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Upper bounds of the intersections of one mark with others of one length."""
+    slots = min(len(one), others.shape[1])
+    return np.minimum(folded(one[None, :], slots), folded(others, slots)).sum(axis=1, dtype=np.int64)
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> int:
     """Size of the intersection of two ascending arrays of distinct keys."""
     small, large = (a, b) if len(a) <= len(b) else (b, a)
@@ -100,13 +124,13 @@ def similar(a: np.ndarray, b: np.ndarray) -> int:
 
 class NearDuplicates:
     """``percent``: least Jaccard similarity, in hundredths.  ``bands`` x ``rows`` coordinates: a pair at 0.75
-    misses every band with probability (1 - 0.75**4)**32 < 6e-6.  ``sketch``: one-byte coordinates by which
-    remaining pairs are told apart before the exact check; ``margin`` is the estimate's slack (4.5 standard
-    errors at 0.75).  ``block``: rows of a bucket compared in one group; larger buckets are cut into blocks.
+    misses every band with probability (1 - 0.75**4)**32 < 6e-6; no pair that shares a band is lost.
+    ``fan``: parts into which a hub's members are dealt.  ``block``: rows of a bucket compared in one group; larger
+    buckets are cut into blocks.
     """
 
-    def __init__(self, percent=75, bands=32, rows=4, sketch=1024, margin=0.061, fan=64, block=256):
-        self.percent, self.bands, self.rows, self.sketch, self.margin, self.fan, self.block = percent, bands, rows, sketch, margin, fan, block
+    def __init__(self, percent=75, bands=32, rows=4, fan=64, block=256):
+        self.percent, self.bands, self.rows, self.fan, self.block = percent, bands, rows, fan, block
 
     def _describe(self, batches):
         width, rows = self.bands * self.rows, self.rows
@@ -128,18 +152,16 @@ class NearDuplicates:
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "s1", "s2", "bands"])
 
     def _sets(self, batches):
-        width = self.sketch
         for batch in batches:
             blobs, marks, bands, n = [], [], [], []
             for _, _, buf, offs in textkit.chunks(textkit.text_column(batch, "text")):
                 keys, first = shingle_sets(buf, offs)
-                sig = signatures(keys, first, width)
-                own, sig = band_hashes(sig[:, : self.bands * self.rows], self.rows), sig.astype(np.uint8)
-                full = iter(range(len(sig)))
+                own = band_hashes(signatures(keys, first, self.bands * self.rows), self.rows)
+                full = iter(range(len(own)))
                 for i in range(len(offs) - 1):
                     blobs.append(keys[first[i] : first[i + 1]].tobytes())
                     at = next(full) if first[i + 1] > first[i] else -1
-                    marks.append(sig[at].tobytes() if at >= 0 else b"")
+                    marks.append(mark(keys[first[i] : first[i + 1]]) if at >= 0 else b"")
                     bands.append(own[at].tobytes() if at >= 0 else b"")
                 n += np.diff(first).tolist()
             arrays = [batch.column("doc_id"), pa.array(n, pa.int64()), *map(textkit.binary_array, (blobs, marks, bands))]
@@ -170,29 +192,39 @@ class NearDuplicates:
         return dealt.mapInArrow(self._confirm, "a long, b long")
 
     def _block_pairs(self, batches):
-        least = self.percent / 100 - self.margin
         for group in textkit.sorted_groups(batches, ["bucket", "i", "j"]):
-            group = group.filter(pa.compute.greater(pa.compute.binary_length(group.column("marks")), 0))
-            marks = np.frombuffer(b"".join(group.column("marks").to_pylist()), np.uint8).reshape(len(group), -1)
+            group = group.filter(pa.compute.greater(group.column("n"), 0))
+            if not len(group):
+                continue
+            raw = [np.frombuffer(m, np.uint8) for m in group.column("marks").to_pylist()]
+            size = np.array([len(m) for m in raw])
+            held = {int(k): (np.flatnonzero(size == k), np.stack([raw[r] for r in np.flatnonzero(size == k).tolist()])) for k in np.unique(size) if k}
+            place = np.zeros(len(raw), np.int64)
+            for rows, _ in held.values():
+                place[rows] = np.arange(len(rows))
             bands = np.frombuffer(b"".join(group.column("bands").to_pylist()), np.int64).reshape(len(group), -1)
             doc, comp, n, blk = (group.column(c).to_numpy() for c in ("doc", "comp", "n", "blk"))
-            i, j = (group.column(c)[0].as_py() for c in ("i", "j")) if len(group) else (0, 0)
-            bucket = group.column("bucket")[0].as_py() if len(group) else 0
+            bucket, i, j = (group.column(c)[0].as_py() for c in ("bucket", "i", "j"))
             left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
             a, b = [], []
             for x in left.tolist():
                 y = right if i != j else right[right > x]
                 y = y[(comp[y] != comp[x]) & (100 * np.minimum(n[y], n[x]) >= self.percent * np.maximum(n[y], n[x]))]
-                same = (marks[y] == marks[x]).mean(axis=1) if len(y) else np.zeros(0)
-                y = y[(same - 1 / 256) / (1 - 1 / 256) >= least]
-                if len(y):  # a pair is told once, by the first bucket that it shares
-                    y = y[bands[x, (bands[y] == bands[x]).argmax(axis=1)] == bucket]
+                if not len(y):
+                    continue
+                y = y[bands[x, (bands[y] == bands[x]).argmax(axis=1)] == bucket]  # told once, by the first bucket that both share
+                shared = np.minimum(n[y], n[x])
+                for k, (_, marks) in held.items() if size[x] else ():
+                    at = np.flatnonzero(size[y] == k)
+                    if len(at):
+                        shared[at] = np.minimum(shared[at], most_shared(raw[x], marks[place[y[at]]]))
+                y = y[100 * shared >= self.percent * (n[y] + n[x] - shared)]
                 a += np.minimum(doc[y], doc[x]).tolist()
                 b += np.maximum(doc[y], doc[x]).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["c", "m"])
 
     def remaining(self, shared: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
-        """Pairs (c, m) of buckets that still hold several components, which a sketch can't tell apart."""
+        """Pairs (c, m) of buckets that still hold several components, which their marks can't tell apart."""
         comps = components(links).withColumnRenamed("id", "doc")
         held = materialize(shared.join(comps, "doc", "left").select("bucket", "doc", F.coalesce("comp", "doc").alias("comp")))
         mixed = held.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("rows"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -26,16 +27,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or an own one where it is unset (tests)."""
+    """The application's own folder in the one all executors share, ``spark.checkpoint.dir``.
+
+    Where that is unset, a local master (tests) gets a temporary folder; a cluster has to set it.  The folder goes
+    when the application ends, or with :func:`clean`.
+    """
     sc = spark.sparkContext
-    kept = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if kept:
-        return kept.rstrip("/")
     if getattr(sc, "_meridia_dir", None) is None:
-        sc._meridia_dir = "file://" + tempfile.mkdtemp(prefix="meridia-")
+        kept = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not kept and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = kept.rstrip("/") if kept else "file://" + tempfile.mkdtemp(prefix="meridia-")
+        sc._meridia_dir = f"{base}/meridia-{sc.applicationId}"
+        atexit.register(clean, spark)
     return sc._meridia_dir
 
 
+def clean(spark: SparkSession) -> None:
+    """Delete the tables that operators wrote on their way; results not yet read or saved go with them."""
+    sc = spark.sparkContext
+    folder, sc._meridia_dir = getattr(sc, "_meridia_dir", None), None
+    if folder is not None and sc._jsc is not None:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
@@ -63,22 +79,26 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each round every node adopts the least label around it, hooks its label's node to that label too, so whole
     trees merge, and then takes its label's label, so paths halve.  Labels only fall, and rounds go on until none
-    changes: then all neighbours agree.  Labels stay in Spark; each round is written to the shared folder.
+    changes: then all neighbours agree.  Labels stay in Spark; each round is written to the shared folder.  Labels are
+    broadcast while they are few, so the many edges of one hub stay where they are; else they join by shuffle, whose
+    large partitions adaptive execution splits.
     """
     edges = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
     both = materialize(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("comp")))
+    few = labels.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    small = F.broadcast if few else lambda df: df
     changed = True
     while changed:
-        seen = both.join(labels.select(F.col("id").alias("b"), F.col("comp").alias("near")), "b")
+        seen = both.join(small(labels.select(F.col("id").alias("b"), F.col("comp").alias("near"))), "b")
         best = seen.groupBy(F.col("a").alias("id")).agg(F.min("near").alias("near"))
-        step = labels.join(best, "id").select("id", F.least("comp", "near").alias("next"), F.col("comp").alias("was"))
+        step = labels.join(small(best), "id").select("id", F.least("comp", "near").alias("next"), F.col("comp").alias("was"))
         step = materialize(step)
         hooks = step.groupBy(F.col("was").alias("id")).agg(F.min("next").alias("hook"))
-        hooked = materialize(step.join(hooks, "id", "left").select("id", F.least("next", "hook").alias("next"), "was"))
+        hooked = materialize(step.join(small(hooks), "id", "left").select("id", F.least("next", "hook").alias("next"), "was"))
         jump = hooked.select(F.col("id").alias("next"), F.col("next").alias("over"))
         new = materialize(
-            hooked.join(jump, "next", "left").select("id", F.least(F.col("next"), F.coalesce("over", "next")).alias("comp"), "was")
+            hooked.join(small(jump), "next", "left").select("id", F.least(F.col("next"), F.coalesce("over", "next")).alias("comp"), "was")
         )
         labels = new.select("id", "comp")
         changed = new.where("comp <> was").limit(1).count() > 0
