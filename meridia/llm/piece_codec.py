@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meridia.llm import textkit
 
@@ -113,8 +114,11 @@ class PieceCodec:
                         last.append(t)
                         break
                 else:
-                    raise ValueError(f"no segmentation of {word!r}")
-            before = word
+                    break  # no piece may follow: a vocabulary whose merges don't nest
+            before = word[: len(last) - 1]
+            if len(last) <= len(word):
+                out[word] = b"".join(ids[t] for t in self.merges(word))
+                continue
             at, back = len(word), b""
             while at:
                 t = last[at]
@@ -161,9 +165,26 @@ def _encoded(path: str, batch: pa.RecordBatch, limit: int = 2 << 20):
         yield lo, hi, texts, codec(path).encode(texts)
 
 
+def decoded(docs: DataFrame, path: str, ids: str = "piece_ids", text: str = "text") -> DataFrame:
+    """``docs`` with the column ``text`` decoded from the ids (array<int>) in place of the one of that name; null ids give
+    a null text, no ids the empty one.  Ids outside the vocabulary fail."""
+    names = [c for c in docs.columns if c != text]
+    rows = docs.select(*names)
+    at = names.index(ids)
+
+    def batches(batches):
+        for batch in batches:
+            own = codec(path)
+            texts = [None if x is None else own.decode(np.array(x, np.int32)) for x in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text])
+
+    return rows.mapInArrow(batches, T.StructType([*rows.schema.fields, T.StructField(text, T.StringType())])).select(*docs.columns, *([] if text in docs.columns else [text]))
+
+
 def digest(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_bytes, n_pieces, ids_sha256 (little-endian int32), round_trip: decoding gives the text again,
-    with the space mark itself read as a space.  One row per input row; null and empty texts have no pieces."""
+    with the space mark itself read as a space.  One row per input row, repeated and null ids too; null and empty
+    texts have no pieces.  A text is encoded whole, in memory of about 100 bytes a byte of the longest one."""
 
     def batches(batches):
         for batch in batches:
@@ -185,7 +206,8 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """``docs`` with a column ``piece_ids`` array<int> more (one of that name before is replaced)."""
+    """``docs`` with a column ``piece_ids`` array<int> more (one of that name before is replaced).  All rows and other
+    columns stay; null and empty texts have no ids."""
     rows = docs.drop("piece_ids")
 
     def batches(batches):
@@ -197,6 +219,4 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(offs), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, "piece_ids"])
 
-    from pyspark.sql import types as T
-
     return rows.mapInArrow(batches, T.StructType([*rows.schema.fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType()))]))
