@@ -1,13 +1,19 @@
 """Approximate nearest neighbours by inner product: NN-descent graph, greedy graph search.
 
-Build: each of ``rounds`` random orders (signs of hyperplanes, then a projection) is cut into blocks of
-``block`` vectors whose inner neighbours start the graph; then ``descents`` local joins compare, around every
-vector, its neighbours and reverse neighbours with each other and keep what improves.  Equal vectors are one
-node, kept with its ``top + 1`` smallest ids, so a group of copies costs one node and loses no answer.
+Build: every vector starts with ``starts`` x ``group`` random neighbours.  A step joins, around every vector, its
+neighbours and reverse neighbours: pairs with a neighbour that is new since it was last joined are compared, pairs of two old
+ones are not, and each vector keeps its ``k`` best.  Steps go on until fewer than ``settled`` of all neighbours change,
+``descents`` at most.  Equal vectors are one node, kept with its ``top + 1`` smallest ids, so a group of
+copies costs one node and loses no answer.
+
+As in the method's paper, a step samples: of the new and of the old edges a share ``rate``; the neighbours of a node that is
+near to very many are joined in random parts of about ``part``, other parts at each step; and of what a join finds for a
+vector the ``found`` best are told.
 
 Search: a query starts at its own node and expands, ``steps`` times, the best ``width`` nodes of its beam
 that it has not expanded, by joining them with the neighbour lists.  The final beam is scored again in double
-precision on the original vectors.
+precision on the original vectors.  Before that vectors are divided by the table's largest component, so that neither
+single nor half precision overflows.
 """
 
 from __future__ import annotations
@@ -20,197 +26,220 @@ from pyspark.sql import functions as F
 from meridia.llm import textkit
 from meridia.llm.support import materialize, sized
 
-LIST = "u long, ids binary, scores binary"
+U64 = np.uint64
+LIST = "u long, ids binary, scores binary, fresh binary"
+_OLD, _NEW, _FOUND = 0, 1, 2  # of a neighbour: joined before, not yet joined, found in this step
+
 
+def _blobs(values: np.ndarray, offs: np.ndarray) -> pa.Array:
+    """One binary cell for each run of ``values``."""
+    raw = np.ascontiguousarray(values)
+    return pa.Array.from_buffers(pa.binary(), len(offs) - 1, [None, pa.py_buffer((offs * raw.itemsize).astype(np.int32)), pa.py_buffer(raw)])
 
-def _lists(rows: list[tuple[int, np.ndarray, np.ndarray]], name: str = "u") -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([r[0] for r in rows], pa.int64()),
-            textkit.binary_array([r[1].astype(np.int64).tobytes() for r in rows]),
-            textkit.binary_array([r[2].astype(np.float32).tobytes() for r in rows]),
-        ],
-        names=[name, "ids", "scores"],
-    )
 
+def _best(u, ids, scores, fresh, k: int) -> pa.RecordBatch:
+    """Per u its distinct ids, best first, ``k`` at most; a neighbour known before stays what it was."""
+    order = np.lexsort((fresh, ids, u))
+    u, ids, scores, fresh = u[order], ids[order], scores[order], fresh[order]
+    first = np.ones(len(u), bool)
+    first[1:] = (u[1:] != u[:-1]) | (ids[1:] != ids[:-1])
+    u, ids, scores, fresh = u[first], ids[first], scores[first], fresh[first]
+    order = np.lexsort((ids, -scores, u))
+    u, ids, scores, fresh = u[order], ids[order], scores[order], fresh[order]
+    start = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]])) if len(u) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(start, len(u)))
+    kept = np.arange(len(u)) - np.repeat(start, sizes) < k
+    offs = np.concatenate([[0], np.cumsum(np.minimum(sizes, k))])
+    cells = [_blobs(x[kept], offs) for x in (ids.astype(np.int64), scores.astype(np.float32), fresh.astype(np.uint8))]
+    return pa.RecordBatch.from_arrays([pa.array(u[start].astype(np.int64)), *cells], names=["u", "ids", "scores", "fresh"])
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ids, best first, ``k`` at most."""
-    order = np.lexsort((-scores, ids))
-    ids, scores = ids[order], scores[order]
-    new = np.concatenate([[True], ids[1:] != ids[:-1]]) if len(ids) else np.zeros(0, bool)
-    ids, scores = ids[new], scores[new]
-    order = np.lexsort((ids, -scores))[:k]
-    return ids[order], scores[order]
+
+def _flat(column, kind) -> np.ndarray:
+    """All cells of a binary column, one after the other."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+    if not len(column):
+        return np.zeros(0, kind)
+    offs = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    if offs[0] == offs[-1]:
+        return np.zeros(0, kind)
+    return np.frombuffer(column.buffers()[2], np.uint8)[offs[0] : offs[-1]].view(kind)
+
+
+def _entries(batch) -> tuple[np.ndarray, ...]:
+    """u, ids, scores, fresh of all neighbours in a batch of lists."""
+    u, ids = batch.column("u").to_numpy(), _flat(batch.column("ids"), np.int64)
+    sizes = np.array([len(x) // 8 for x in batch.column("ids").to_pylist()], np.int64)
+    return np.repeat(u, sizes), ids, _flat(batch.column("scores"), np.float32), _flat(batch.column("fresh"), np.uint8)
 
 
 def _merge(k: int):
-    """Union of the lists of each u."""
+    """Union of the lists of each u, from batches sorted by it."""
 
     def batches(batches):
-        out = []
-        for group in textkit.sorted_groups(batches, ["u"]):
-            ids = np.frombuffer(b"".join(group.column("ids").to_pylist()), np.int64)
-            scores = np.frombuffer(b"".join(group.column("scores").to_pylist()), np.float32)
-            out.append((group.column("u")[0].as_py(), *_best(ids, scores, k)))
-            if len(out) >= 2000:
-                yield _lists(out)
-                out = []
-        if out:
-            yield _lists(out)
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = _entries(batch)
+            if held is not None:
+                now = tuple(map(np.concatenate, zip(held, now)))
+            last = batch.column("u")[-1].as_py()
+            done = now[0] != last
+            held = tuple(x[~done] for x in now)
+            if done.any():
+                yield _best(*(x[done] for x in now), k)
+            if len(held[0]) > 50 * k:  # very many lists of one u
+                held = _entries(_best(*held, k))
+        if held is not None and len(held[0]):
+            yield _best(*held, k)
 
     return batches
 
 
 def _floats(column, kind=np.float32) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
-    if not len(column):
-        return np.zeros((0, 1), kind)
-    offs = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2], np.uint8)[offs[0] : offs[-1]]  # all of one width
-    return data.view(kind).reshape(len(column), -1)
+    """A binary column of equally long vectors as a matrix."""
+    flat = _flat(column, kind)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1), kind)
 
 
 class NNDescent:
-    def __init__(self, top=20, k=40, rounds=6, block=640, descents=6, steps=6, width=24, beam=160, seed=7):
-        self.top, self.k, self.rounds, self.block, self.descents = top, k, rounds, block, descents
-        self.steps, self.width, self.beam, self.seed = steps, width, beam, seed
+    def __init__(self, top=20, k=40, starts=8, group=6, rate=0.5, part=64, found=10, descents=12, settled=0.015, steps=8, width=24, beam=192, seed=7):
+        self.top, self.k, self.starts, self.group, self.rate, self.part, self.found = top, k, starts, group, rate, part, found
+        self.descents, self.settled, self.steps, self.width, self.beam, self.seed = descents, settled, steps, width, beam, seed
+        self.shares: list[float] = []  # changed neighbours of each step of the last build
 
     # nodes
     @staticmethod
     def valid(vectors: DataFrame) -> DataFrame:
-        """(vec_id, v): vectors that take part; of several lengths only the most frequent (then longest) does."""
+        """(vec_id, v): vectors that take part.  Of two lengths the shorter counts as ending in zeros."""
         rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
         odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-        rows = rows.where("vec_id is not null and v is not null and size(v) > 0").where(~odd & F.exists("v", lambda x: x != 0))
-        size = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-        return rows.where(F.size("v") == (size[0]["d"] if size else 0))
+        return rows.where("vec_id is not null and v is not null and size(v) > 0").where(~odd & F.exists("v", lambda x: x != 0))
 
     @staticmethod
-    def _packed(batches):
-        for batch in batches:
-            v = batch.column("v")
-            flat, n = v.flatten().to_numpy(zero_copy_only=False).astype(np.float32), len(v)
-            rows = flat.reshape(n, -1) if n else flat.reshape(0, 1)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), textkit.binary_array([r.tobytes() for r in rows])], names=["node", "vec"])
+    def _packed(width: int, scale: float):
+        def batches(batches):
+            for batch in batches:
+                v = batch.column("v")
+                flat, sizes = v.flatten().to_numpy(zero_copy_only=False), np.diff(v.offsets.to_numpy())
+                rows = np.zeros((len(v), width), np.float32)
+                rows[np.arange(width)[None, :] < sizes[:, None]] = flat / scale
+                yield pa.RecordBatch.from_arrays([batch.column("node"), _blobs(rows.ravel(), width * np.arange(len(v) + 1))], names=["node", "vec"])
 
-    # the first graph
-    def _orders(self, batches):
-        rounds, seed = self.rounds, self.seed
-        for batch in batches:
-            x = _floats(batch.column("vec"))
-            if not len(x):
-                continue
-            for r in range(rounds):
-                rng = np.random.default_rng(seed * 1000 + r)
-                plane = rng.standard_normal((x.shape[1], 7)).astype(np.float32)
-                y = x @ plane
-                code = (y[:, :6] > 0) @ (1 << np.arange(6))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(x), r, np.int32)), pa.array(code.astype(np.int32)), pa.array(y[:, 6].astype(np.float64)), batch.column("node"), batch.column("vec")],
-                    names=["r", "code", "at", "node", "vec"],
-                )
+        return batches
 
+    # the first graph
     def _first(self, batches):
-        block, k = self.block, self.k
-        held: list[pa.RecordBatch] = []
-        n = 0
-
-        def ready(final: bool):
-            nonlocal held, n
-            while n >= 2 * block or (final and n):
-                t = pa.Table.from_batches(held)
-                take = block if n >= 2 * block else n  # a short tail joins the last block
-                yield t.slice(0, take)
-                held, n = t.slice(take).to_batches(), n - take
-
-        def neighbours(t):
-            ids, x = t.column("node").to_numpy(), _floats(t.column("vec"))
+        out = []
+        for group in textkit.sorted_groups(batches, ["r", "bucket"]):
+            ids, x = group.column("node").to_numpy(), _floats(group.column("vec"))
             s = x @ x.T
-            np.fill_diagonal(s, -np.inf)
-            m = min(k, len(ids) - 1)
-            if m < 1:
-                return None
-            near = np.argpartition(-s, m - 1, axis=1)[:, :m]
-            return _lists([(int(i), ids[j], s[a, j]) for a, (i, j) in enumerate(zip(ids, near))])
+            i, j = np.nonzero(ids[:, None] != ids[None, :])
+            out.append((ids[i], ids[j], s[i, j]))
+            if len(out) >= 2000:
+                yield self._found(out)
+                out = []
+        if out:
+            yield self._found(out)
 
-        for batch in batches:
-            held.append(batch)
-            n += batch.num_rows
-            for t in ready(False):
-                if (found := neighbours(t)) is not None:
-                    yield found
-        for t in ready(True):
-            if (found := neighbours(t)) is not None:
-                yield found
+    def _found(self, parts) -> pa.RecordBatch:
+        u, ids, scores = map(np.concatenate, zip(*parts))
+        return _best(u, ids, scores, np.full(len(u), _FOUND, np.uint8), self.k)
 
     def _merged(self, lists: DataFrame, k: int) -> DataFrame:
         return materialize(lists.repartition("u").sortWithinPartitions("u").mapInArrow(_merge(k), LIST))
 
     # descent
+    def _picked(self, u: np.ndarray, v: np.ndarray, step: int) -> np.ndarray:
+        key = textkit.mix(u.astype(U64) * U64(31) + textkit.mix(v.astype(U64)), step + self.seed)
+        return (key >> U64(40)).astype(np.float64) < self.rate * (1 << 24)
+
     def _edges(self, step: int):
-        """(center, member) of both directions, for half of the edges by a hash that changes with the step."""
+        """(center, node, new) of both directions, for the edges picked at this step."""
 
         def batches(batches):
             for batch in batches:
-                u = batch.column("u").to_numpy()
-                lens = np.array([len(b) // 8 for b in batch.column("ids").to_pylist()], np.int64)
-                v = np.frombuffer(b"".join(batch.column("ids").to_pylist()), np.int64)
-                u = np.repeat(u, lens)
-                pick = textkit.mix(u.astype(np.uint64) * np.uint64(31) + textkit.mix(v.astype(np.uint64)), step) & np.uint64(1) == 0
-                u, v = u[pick], v[pick]
-                yield pa.RecordBatch.from_arrays([pa.array(np.r_[u, v]), pa.array(np.r_[v, u])], names=["center", "node"])
+                u, v, _, fresh = _entries(batch)
+                pick = self._picked(u, v, step)
+                u, v, new = u[pick], v[pick], (fresh[pick] != _OLD).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.r_[u, v]), pa.array(np.r_[v, u]), pa.array(np.r_[new, new])], names=["center", "node", "new"])
 
         return batches
 
-    @staticmethod
-    def _local(batches):
-        for group in textkit.sorted_groups(batches, ["center"]):
-            for lo in range(0, len(group), 64):  # many reverse neighbours are met in parts
-                part = group.slice(lo, 64)
-                ids, worst, x = part.column("node").to_numpy(), part.column("worst").to_numpy(), _floats(part.column("vec"))
-                s = x @ x.T
-                s[ids[:, None] == ids[None, :]] = -np.inf
-                out = []
-                for a in np.flatnonzero((s > worst[:, None]).any(axis=1)).tolist():
-                    good = np.flatnonzero(s[a] > worst[a])
-                    if len(good) > 8:
-                        good = good[np.argpartition(-s[a, good], 7)[:8]]
-                    out.append((int(ids[a]), ids[good], s[a, good]))
-                if out:
-                    yield _lists(out)
+    def _aged(self, step: int):
+        """The graph after the step's edges were joined."""
 
-    @staticmethod
-    def _worst(k: int):
         def batches(batches):
             for batch in batches:
-                scores = [np.frombuffer(s, np.float32) for s in batch.column("scores").to_pylist()]
-                worst = [float(s[-1]) if len(s) >= k else -np.inf for s in scores]
-                yield pa.RecordBatch.from_arrays([batch.column("u"), pa.array(worst, pa.float32())], names=["node", "worst"])
+                u, v, scores, fresh = _entries(batch)
+                yield _best(u, v, scores, np.where((fresh == _OLD) | self._picked(u, v, step), _OLD, _NEW), self.k)
 
         return batches
 
+    def _local(self, batches):
+        out, size = [], 0
+        for group in textkit.sorted_groups(batches, ["center", "salt"]):
+            new = group.column("new").to_numpy() > 0
+            if len(group) < 2 or not new.any():
+                continue
+            ids, worst, x = group.column("node").to_numpy(), group.column("worst").to_numpy(), _floats(group.column("vec"))
+            s = x @ x.T
+            s[~(new[:, None] | new[None, :]) | (s <= worst[:, None])] = -np.inf
+            np.fill_diagonal(s, -np.inf)
+            m = min(self.found, len(ids) - 1)
+            near = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < len(ids) else np.tile(np.arange(len(ids)), (len(ids), 1))
+            score = np.take_along_axis(s, near, 1)
+            i, j = np.nonzero(np.isfinite(score))
+            if len(i):
+                out.append((ids[i], ids[near[i, j]], score[i, j]))
+                size += len(i)
+            if size > 200_000:  # what a task finds for one vector leaves together
+                yield self._found(out)
+                out, size = [], 0
+        if out:
+            yield self._found(out)
+
+    def _worst(self, batches):
+        for batch in batches:
+            scores = [np.frombuffer(s, np.float32) for s in batch.column("scores").to_pylist()]
+            worst = [float(s[-1]) if len(s) >= self.k else -np.inf for s in scores]
+            yield pa.RecordBatch.from_arrays([batch.column("u"), pa.array(worst, pa.float32())], names=["node", "worst"])
+
+    def start(self, nodes: DataFrame, n: int) -> DataFrame:
+        """(u, ids, scores, fresh): random neighbours, from ``starts`` dealings of all nodes into groups."""
+        buckets = max(1, n // self.group)
+        rows = nodes.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(self.starts if buckets > 1 else 1))))
+        rows = rows.withColumn("bucket", F.pmod(F.xxhash64("node", "r", F.lit(self.seed)), F.lit(buckets)))
+        dealt = rows.repartition("r", "bucket").sortWithinPartitions("r", "bucket")
+        return self._merged(dealt.mapInArrow(self._first, LIST), self.k)
+
     def graph(self, nodes: DataFrame) -> DataFrame:
-        """(u, ids, scores): the k best neighbours found for each node of (node, vec)."""
-        dealt = nodes.mapInArrow(self._orders, "r int, code int, at double, node long, vec binary")
-        dealt = dealt.repartitionByRange("r", "code", "at", "node").sortWithinPartitions("r", "code", "at", "node")
-        graph = self._merged(dealt.mapInArrow(self._first, LIST), self.k)
+        """(u, ids, scores, fresh): the k best neighbours found for each node of (node, vec)."""
+        n = nodes.count()
+        graph, self.shares = self.start(nodes, n), []
         for step in range(self.descents):
-            known = nodes.join(graph.mapInArrow(self._worst(self.k), "node long, worst float"), "node")
-            edges = graph.mapInArrow(self._edges(step), "center long, node long").distinct()
-            rows = edges.join(known, "node").select("center", "node", "worst", "vec")
-            found = rows.repartition("center").sortWithinPartitions("center").mapInArrow(self._local, LIST)
-            graph = self._merged(graph.union(found), self.k)
+            known = nodes.join(graph.mapInArrow(self._worst, "node long, worst float"), "node")
+            edges = graph.mapInArrow(self._edges(step), "center long, node long, new int").groupBy("center", "node").agg(F.max("new").alias("new"))
+            edges = materialize(edges)
+            crowds = edges.groupBy("center").count().where(F.col("count") > 1.5 * self.part).select("center", F.ceil(F.col("count") / self.part).alias("parts"))
+            crowds = sized(materialize(crowds))
+            salt = F.pmod(F.xxhash64("node", F.lit(step)), F.coalesce("parts", F.lit(1))).cast("int")
+            edges = edges.join(crowds, "center", "left").select("center", "node", "new", salt.alias("salt"))
+            rows = edges.join(known, "node").select("center", "salt", "node", "new", "worst", "vec")
+            found = rows.repartition("center", "salt").sortWithinPartitions("center", "salt").mapInArrow(self._local, LIST)
+            graph = self._merged(graph.mapInArrow(self._aged(step), LIST).union(found), self.k)
+            total = graph.mapInArrow(_changed, "n long, changed long").agg(F.sum("n"), F.sum("changed")).first()
+            self.shares.append((total[1] or 0) / max(1, total[0] or 0))
+            if self.shares[-1] < self.settled:
+                break
         return graph
 
-    def _reverse(self, batches):
+    @staticmethod
+    def _reverse(batches):
         for batch in batches:
-            out = []
-            for u, ids, scores in zip(*(batch.column(c).to_pylist() for c in ("u", "ids", "scores"))):
-                out += [(int(v), np.array([u]), np.array([s])) for v, s in zip(np.frombuffer(ids, np.int64), np.frombuffer(scores, np.float32))]
-            for at in range(0, len(out), 20_000):
-                yield _lists(out[at : at + 20_000])
+            u, v, scores, fresh = _entries(batch)
+            yield _best(v, u, scores, fresh, len(u) + 1)
 
     # search
     def _adjacent(self, batches):
@@ -227,14 +256,17 @@ class NNDescent:
                 out = [[], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *map(textkit.binary_array, out[1:])], names=["u", "ids", "vecs"])
 
-    @staticmethod
-    def _expand(batches):
+    def _expand(self, batches):
         for batch in batches:
-            out = []
-            for q, vec, ids, vecs in zip(batch.column("q").to_pylist(), *(batch.column(c) for c in ("qvec", "ids", "vecs"))):
+            q, ids, scores = [], [], []
+            for a, vec, near, vecs in zip(batch.column("q").to_pylist(), *(batch.column(c) for c in ("qvec", "ids", "vecs"))):
                 x = np.frombuffer(vec.as_buffer(), np.float32)
-                out.append((q, np.frombuffer(ids.as_buffer(), np.int64), np.frombuffer(vecs.as_buffer(), np.float16).astype(np.float32).reshape(-1, len(x)) @ x))
-            yield _lists(out)
+                ids.append(np.frombuffer(near.as_buffer(), np.int64))
+                scores.append(np.frombuffer(vecs.as_buffer(), np.float16).astype(np.float32).reshape(-1, len(x)) @ x)
+                q.append(np.full(len(ids[-1]), a))
+            if q:
+                q, ids, scores = map(np.concatenate, (q, ids, scores))
+                yield _best(q, ids, scores, np.zeros(len(q), np.uint8), self.beam)
 
     def _frontier(self, batches):
         """The best unexpanded nodes of each beam; what has been expanded is a list of its own."""
@@ -248,7 +280,7 @@ class NNDescent:
             yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(node, pa.int64())], names=["q", "node"])
 
     def search(self, nodes: DataFrame, graph: DataFrame, queries: DataFrame) -> DataFrame:
-        """(u, ids, scores): the beam of each query of (node), which is a node itself."""
+        """(u, ids, scores, fresh): the beam of each query of (node), which is a node itself."""
         both = self._merged(graph.union(graph.mapInArrow(self._reverse, LIST)), self.k + self.k // 4)
         pairs = both.mapInArrow(_pairs, "u long, node long")
         rows = pairs.join(nodes, "node").select("u", "node", "vec").repartition("u").sortWithinPartitions("u")
@@ -276,11 +308,14 @@ class NNDescent:
     def __call__(self, vectors: DataFrame, is_query=None) -> DataFrame:
         """query_id, rank, vec_id, score; nulls, zeros and non-finite vectors take no part; an empty table gives no rows.
 
-        Rows repeating a vec_id with one vector count once.
+        Rows repeating a vec_id with one vector count once; rows repeating it with different vectors are candidates of
+        their own, and queries that are answered together.
         """
         rows = materialize(self.valid(vectors).distinct())
+        most = F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))
+        size = rows.agg(F.coalesce(F.max(F.size("v")), F.lit(1)).alias("d"), F.coalesce(most, F.lit(1.0)).alias("m")).first()
         groups = materialize(rows.groupBy("v").agg(F.min("vec_id").alias("node"), F.count("*").alias("n")))
-        nodes = materialize(groups.select("node", "v").mapInArrow(self._packed, "node long, vec binary"))
+        nodes = materialize(groups.select("node", "v").mapInArrow(self._packed(size["d"], size["m"]), "node long, vec binary"))
         copies = rows.join(materialize(groups.where("n > 1").select("v", "node")), "v").select("node", "vec_id")
         salted = Window.partitionBy("node", F.pmod(F.xxhash64("vec_id"), F.lit(64))).orderBy("vec_id")
         few = materialize(copies.withColumn("r", F.row_number().over(salted)).where(F.col("r") <= self.top + 1).drop("r"))
@@ -294,7 +329,7 @@ class NNDescent:
         cand = beam.mapInArrow(_pairs, "u long, node long").union(own).distinct()
         vec = groups.select("node", "v")
         pairs = cand.join(vec, "node").join(vec.select(F.col("node").alias("u"), F.col("v").alias("w")), "u")
-        dot = F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+        dot = F.aggregate(F.zip_with("v", "w", lambda a, b: F.coalesce(a * b, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
         scored = materialize(pairs.select("u", "node", dot.alias("score")))
         out = asked.select(F.col("vec_id").alias("query_id"), F.col("node").alias("u")).join(scored, "u").join(members, "node")
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
@@ -302,11 +337,16 @@ class NNDescent:
         return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def _changed(batches):
+    for batch in batches:
+        fresh = _flat(batch.column("fresh"), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([len(fresh)], pa.int64()), pa.array([int((fresh == _FOUND).sum())], pa.int64())], names=["n", "changed"])
+
+
 def _pairs(batches):
     for batch in batches:
-        lens = np.array([len(b) // 8 for b in batch.column("ids").to_pylist()], np.int64)
-        ids = np.frombuffer(b"".join(batch.column("ids").to_pylist()), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("u").to_numpy(), lens)), pa.array(ids)], names=["u", "node"])
+        u, ids, _, _ = _entries(batch)
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(ids)], names=["u", "node"])
 
 
 def _pack_nodes(batches):
