@@ -35,6 +35,7 @@ U64 = np.uint64
 ROW = "bucket int, kind int, blob binary"
 _RARE, _END = 0xFFFFFF, 0xFFFFFE  # codes of a word that isn't frequent, and of a text's end
 _MUL = U64(0xFF51AFD7ED558CCD)
+_AT_ONCE = 24 << 20  # packed grams of a partition that are counted and scored in one go
 # Kinds of rows: counts, grams, misses, second words, words that wait for their count, first words, sums, documents.
 _TABLE, _GRAMS, _MISS, _SECOND, _COUNTED, _FIRST, _SUMS, _WORDS = range(8)
 
@@ -82,10 +83,16 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return textkit.mix(a * _MUL + b)
 
 
-def _own(key: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How often each item's key occurs in its own row, and the first item of each (row, key)."""
-    _, first, at, times = np.unique(textkit.mix(key ^ textkit.mix(row.astype(U64), 3)), return_index=True, return_inverse=True, return_counts=True)
-    return times[at].astype(np.uint32), np.sort(first)
+def _own(key: np.ndarray, row: np.ndarray, maybe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often each item's key occurs in its own row, and whether it is the first there; only items of ``maybe`` can
+    occur twice."""
+    times, first = np.ones(len(key), np.uint32), np.ones(len(key), bool)
+    i = np.flatnonzero(maybe)
+    _, one, at, n = np.unique(textkit.mix(key[i] ^ textkit.mix(row[i].astype(U64), 3)), return_index=True, return_inverse=True, return_counts=True)
+    times[i] = n[at]
+    first[i] = False
+    first[i[one]] = True
+    return times, first
 
 
 class _Counts:
@@ -114,19 +121,39 @@ class _Counts:
 
 
 class _Top:
-    """The most frequent words by rank: hashes and counts."""
+    """The most frequent words by rank: hashes, counts, and an open-addressed table from hash to rank."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray):
         order = np.lexsort((hashes, -counts))
-        self.hashes, self.counts = hashes[order], counts[order]
-        self.rank = np.argsort(self.hashes)
-        self.sorted = self.hashes[self.rank]
+        self.hashes, self.counts, self.slots = hashes[order], counts[order], None
+
+    def __getstate__(self):
+        return {"hashes": self.hashes, "counts": self.counts, "slots": None}
+
+    def _table(self) -> None:
+        self.bits = max(4, (4 * len(self.hashes)).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        left = np.arange(len(self.hashes), dtype=np.int32)
+        at = (self.hashes >> U64(64 - self.bits)).astype(np.int64)
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]
+            lost = self.slots[at] != left
+            left, at = left[lost], (at[lost] + 1) & ((1 << self.bits) - 1)
 
     def code(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.sorted):
-            return np.full(len(h), _RARE)
-        at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == h, self.rank[at], _RARE)
+        if self.slots is None:
+            self._table()
+        out, left = np.full(len(h), _RARE, np.int32), np.arange(len(h))
+        at = (h >> U64(64 - self.bits)).astype(np.int64)
+        while len(left):
+            found = self.slots[at]
+            hit = found >= 0
+            hit[hit] = self.hashes[found[hit]] == h[left[hit]]
+            out[left[hit]] = found[hit]
+            on = (found >= 0) & ~hit
+            left, at = left[on], (at[on] + 1) & ((1 << self.bits) - 1)
+        return out
 
     def hash(self, code: np.ndarray, rare: np.ndarray) -> np.ndarray:
         known = self.hashes[np.minimum(code, len(self.hashes) - 1)] if len(self.hashes) else np.zeros(len(code), U64)
@@ -139,14 +166,15 @@ def _codes(code: np.ndarray) -> list[np.ndarray]:
 
 
 def _decoded(planes) -> np.ndarray:
-    return sum(p.astype(np.int64) << (8 * j) for j, p in enumerate(planes))
+    return sum(p.astype(np.int32) << (8 * j) for j, p in enumerate(planes))
 
 
 class _Gatherer:
-    """What a task's partitions send on: sums per document, added up first, and words that wait for their count."""
+    """What a task's partitions send on, gathered so that it leaves in few rows: sums per document, added up first, words
+    that wait for their count, and misses."""
 
-    def __init__(self, buckets: int):
-        self.buckets, self.held, self.waits, self.size = buckets, [], [], 0
+    def __init__(self, parts: int, buckets: int = 1):
+        self.parts, self.buckets, self.held, self.waits, self.misses, self.size = parts, buckets, [], [], [], 0
 
     def add(self, doc, value, backed, single) -> None:
         docs, at = np.unique(doc, return_inverse=True)
@@ -157,14 +185,22 @@ class _Gatherer:
         self.waits.append((word, doc, weight.astype(np.float32), own.astype(np.uint32)))
         self.size += len(word)
 
+    def miss(self, *columns) -> None:
+        self.misses.append(columns)
+        self.size += len(columns[0])
+
     def leave(self, least: int = 1):
         if self.size < least:
             return
-        lot = _partials(*map(np.concatenate, zip(*self.held)), self.buckets) if self.held else []
+        lot = _partials(*map(np.concatenate, zip(*self.held)), self.parts) if self.held else []
         if self.waits:
             w, d, x, own = map(np.concatenate, zip(*self.waits))
-            lot += [(b, _COUNTED, pack(w[p], np.diff(d[p], prepend=0), x[p], own[p])) for b, p in _split((w % U64(self.buckets)).astype(np.int64))]
-        self.held, self.waits, self.size = [], [], 0
+            lot += [(b, _COUNTED, pack(w[p], np.diff(d[p], prepend=0), x[p], own[p])) for b, p in _split((w % U64(self.parts)).astype(np.int64))]
+        if self.misses:
+            columns = list(map(np.concatenate, zip(*self.misses)))
+            after = (_pair(columns[2], columns[3]) % U64(self.buckets)).astype(np.int64)
+            lot += [(b, _MISS, _missed(*(c[p] for c in columns))) for b, p in _split(after)]
+        self.held, self.waits, self.misses, self.size = [], [], [], 0
         for at in range(0, len(lot), 2000):
             yield _rows(lot[at : at + 2000])
 
@@ -200,7 +236,7 @@ class StupidBackoff:
 
     def _words(self, buckets: int):
         def batches(batches):
-            for _, _, h, _ in self._slices(batches, 2 * self.slice_bytes):
+            for _, _, h, _ in self._slices(batches, 4 * self.slice_bytes):
                 words, counts = np.unique(h, return_counts=True)
                 yield _rows([(b, _WORDS, pack(words[p], counts[p].astype(np.uint32))) for b, p in _split((words % U64(buckets)).astype(np.int64))])
 
@@ -234,7 +270,7 @@ class StupidBackoff:
             for ids, known, h, row in self._slices(batches, self.slice_bytes):
                 lot: list[tuple[int, int, bytes]] = []
                 code, n = top.code(h), len(h)
-                own_word, _ = _own(h, row)
+                own_word, _ = _own(h, row, np.ones(n, bool))
                 n_words = np.bincount(row, minlength=len(ids))
                 head = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if n else np.zeros(0, np.int64)
                 base = np.zeros(len(ids))
@@ -250,24 +286,27 @@ class StupidBackoff:
                     lot.append((b, _FIRST, pack(h[p], np.diff(ids[row[p]], prepend=0), np.ones(len(p), np.float32), own_word[p])))
                 # Every pair starts one gram: with the word after it, or with the end of its text.
                 at = np.flatnonzero(row[:-1] == row[1:]) if n else np.zeros(0, np.int64)
-                pair, r = _pair(h[at], h[at + 1]), row[at]
-                own_pair, _ = _own(pair, r)
+                pair, r, third = _pair(h[at], h[at + 1]), row[at], np.minimum(at + 2, n - 1)
+                own_pair, _ = _own(pair, r, (own_word[at] > 1) & (own_word[at + 1] > 1))
                 more = np.zeros(len(at), bool)
                 more[:-1] = r[:-1] == r[1:]
-                third = np.where(more, h[np.minimum(at + 2, n - 1)] if n else h, U64(0))
-                last = np.where(more, code[np.minimum(at + 2, n - 1)] if n else code, _END)
-                gram = textkit.mix(pair * _MUL + third, 5) + more.astype(U64)
-                times, first = _own(gram, r)
+                last = np.where(more, code[third], _END)
                 after = np.minimum(np.arange(len(at)) + 1, max(0, len(at) - 1))  # the pair v w
-                opening = np.concatenate([[True], r[1:] != r[:-1]]) if len(at) else np.zeros(0, bool)
-                for b, p in _split((pair[first] % U64(buckets)).astype(np.int64)):
+                own_after = np.where(more, own_pair[after], 0)
+                gram = textkit.mix(pair * _MUL + np.where(more, h[third], U64(0)), 5) + more.astype(U64)
+                times, first = _own(gram, r, (own_pair > 1) & (~more | (own_after > 1)))
+                own_last = np.where(more, own_word[third], 0)
+                place = (pair % U64(buckets)).astype(np.int64)
+                first = np.flatnonzero(first)
+                for b, p in _split(place[first]):
                     p = first[p]
                     i = at[p]
-                    lot.append((b, _GRAMS, self._packed(ids, known, r[p], h, [code[i], code[i + 1], last[p]], [i, i + 1, np.minimum(i + 2, n - 1)], [times[p], own_pair[p], np.where(more[p], own_pair[after[p]], 0), own_word[i + 1], np.where(more[p], own_word[np.minimum(i + 2, n - 1)], 0)])))
-                start = np.flatnonzero(opening & known[r]) if len(at) else np.zeros(0, np.int64)
-                for b, p in _split((pair[start] % U64(buckets)).astype(np.int64)):
+                    lot.append((b, _GRAMS, self._packed(ids, known, r[p], h, [code[i], code[i + 1], last[p]], [i, i + 1, third[p]], [times[p], own_pair[p], own_after[p], own_word[i + 1], own_last[p]])))
+                start = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]) & known[r]) if len(at) else np.zeros(0, np.int64)
+                for b, p in _split(place[start]):
                     p = start[p]
-                    lot.append((b, _SECOND, _missed(code[at[p]], code[at[p] + 1], h[at[p]], h[at[p] + 1], ids[r[p]], np.ones(len(p), np.uint32), own_pair[p], own_word[at[p]], own_word[at[p] + 1])))
+                    i = at[p]
+                    lot.append((b, _SECOND, _missed(code[i], code[i + 1], h[i], h[i + 1], ids[r[p]], np.ones(len(p), np.uint32), own_pair[p], own_word[i], own_word[i + 1])))
                 for k in range(0, len(lot), 2000):
                     yield _rows(lot[k : k + 2000])
 
@@ -275,7 +314,8 @@ class StupidBackoff:
 
     @staticmethod
     def _packed(ids, known, row, h, codes, at, own) -> bytes:
-        docs, local = np.unique(row, return_inverse=True)
+        new = np.concatenate([[True], row[1:] != row[:-1]])  # rows ascend
+        docs, local = row[new], np.cumsum(new) - 1
         rare = [h[i][c == _RARE] for c, i in zip(codes, at)]
         return pack(np.diff(ids[docs], prepend=0), known[docs].astype(np.uint8), np.diff(local, prepend=0).astype(np.uint32), *(p for c in codes for p in _codes(c)), *(o.astype(np.uint32) for o in own), *rare)
 
@@ -295,48 +335,61 @@ class StupidBackoff:
     def _meet(self, buckets: int, parts: int, top: _Top):
         """Counts a partition's grams, joins them to the counts, sums hits and sends misses on; keeps c(u v)."""
 
+        def counted(blobs):
+            """(what :meth:`_read` gives, c(u v w), c(u v)) blob by blob, or of a common partition at once; then the pairs."""
+            if sum(len(b) for b in blobs) <= _AT_ONCE:
+                read = self._join([self._read(b, top) for b in blobs])
+                _, at = np.unique(read[3], return_inverse=True)
+                grams = np.bincount(at, read[7][0])[at]
+                keys, at = np.unique(read[2], return_inverse=True)
+                sums = np.bincount(at, read[7][0])
+                yield read, grams, sums[at]
+                yield keys, sums.astype(np.int64)
+                return
+            pairs, grams = _Counts(), _Counts()
+            for blob in blobs:
+                read = self._read(blob, top)
+                pairs.add(read[2], read[7][0])
+                grams.add(read[3], read[7][0])
+            pairs.settle(), grams.settle()
+            for blob in blobs:
+                read = self._read(blob, top)
+                yield read, grams.of(read[3]), pairs.of(read[2])
+            yield pairs.keys, pairs.sums
+
         def batches(batches):
-            out = _Gatherer(parts)
+            out, drop = _Gatherer(parts, buckets), self.order == 3
             for group in textkit.sorted_groups(batches, ["bucket", "kind"]):
                 if group.column("kind")[0].as_py() != _GRAMS:
                     yield from group.combine_chunks().to_batches()
                     continue
-                blobs = [x.as_buffer() for x in group.column("blob")]
-                pairs, grams = _Counts(), _Counts()
-                for blob in blobs:
-                    _, _, pair, gram, _, _, _, own = self._read(blob, top)
-                    pairs.add(pair, own[0])
-                    grams.add(gram, own[0])
-                pairs.settle(), grams.settle()
-                lot = []
-                for blob in blobs:
-                    doc, known, pair, gram, more, (cv, cw), (v, w), (times, own_uv, own_vw, own_v, own_w) = self._read(blob, top)
-                    others = grams.of(gram) - times
-                    asked = more & known
-                    hit = asked & (others >= self.least) if self.order == 3 else np.zeros(len(doc), bool)
-                    miss = np.flatnonzero(asked & ~hit)
-                    hit = np.flatnonzero(hit)
-                    value = times[hit] * (np.log(others[hit]) - np.log(pairs.of(pair[hit]) - own_uv[hit]))
-                    drop = self.order == 3
+                for found in counted([x.as_buffer() for x in group.column("blob")]):
+                    if len(found) == 2:  # the pairs, last
+                        keys, sums = found
+                        often = sums > self.least
+                        yield _rows([(group.column("bucket")[0].as_py(), _TABLE, pack(keys[often], sums[often]))])
+                        continue
+                    (doc, known, _, _, more, (cv, cw), (v, w), (times, own_uv, own_vw, own_v, own_w)), c_uvw, c_uv = found
+                    others, asked = c_uvw - times, more & known
+                    hit = asked & (others >= self.least) & drop
+                    miss, hit = np.flatnonzero(asked & ~hit), np.flatnonzero(hit)
+                    value = times[hit] * np.log(others[hit] / (c_uv[hit] - own_uv[hit]))
                     out.add(
-                        np.r_[doc[hit], doc[miss]], np.r_[value, times[miss] * (np.log(self.alpha) if drop else 0.0)],
+                        np.r_[doc[hit], doc[miss]], np.r_[value, times[miss] * (np.log(self.alpha) * drop)],
                         np.r_[np.zeros(len(hit)), times[miss] * float(drop)], np.zeros(len(hit) + len(miss)),
                     )
-                    after = _pair(v[miss], w[miss])
-                    for b, p in _split((after % U64(buckets)).astype(np.int64)):
-                        i = miss[p]
-                        lot.append((b, _MISS, _missed(cv[i], cw[i], v[i], w[i], doc[i], times[i], own_vw[i], own_v[i], own_w[i])))
-                    for k in range(0, len(lot) - 1999, 2000):
-                        yield _rows(lot[k : k + 2000])
-                    lot = lot[len(lot) // 2000 * 2000 :]
-                often = pairs.sums > self.least
-                lot.append((group.column("bucket")[0].as_py(), _TABLE, pack(pairs.keys[often], pairs.sums[often])))
-                yield _rows(lot)
-                yield from out.leave(2_000_000)
+                    out.miss(cv[miss], cw[miss], v[miss], w[miss], doc[miss], times[miss], own_vw[miss], own_v[miss], own_w[miss])
+                    yield from out.leave(2_000_000)
             yield from out.leave()
 
         return batches
 
+    @staticmethod
+    def _join(reads):
+        one = list(zip(*reads))
+        flat = [np.concatenate(c) for c in one[:5]]
+        return (*flat, *([np.concatenate(c) for c in zip(*column)] for column in one[5:]))
+
     def _second(self, parts: int, top: _Top, total: float):
         """Misses and second words against the table of pairs."""
 
@@ -426,8 +479,7 @@ class StupidBackoff:
         n = int(words.mapInArrow(_totals, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
         total, buckets = float(n) or 1.0, max(4 * parts, -(-n // self.gram_rows))
         top = self._top(words)
-        grams = deal(texts.mapInArrow(self._grams(buckets, parts, top, total), ROW), "bucket", "kind")
-        met = materialize(grams.mapInArrow(self._meet(buckets, parts, top), ROW))
+        met = materialize(deal(texts.mapInArrow(self._grams(buckets, parts, top, total), ROW), "bucket", "kind").mapInArrow(self._meet(buckets, parts, top), ROW))
         of = lambda df, *kinds: df.where(F.col("kind").isin(*kinds))
         second = materialize(deal(of(met, _TABLE, _MISS, _SECOND), "bucket", "kind").mapInArrow(self._second(parts, top, total), ROW))
         late = deal(words.union(of(met, _COUNTED, _FIRST)).union(of(second, _COUNTED)), "bucket", "kind").mapInArrow(self._late(parts, total), ROW)

@@ -70,6 +70,32 @@ def test_against_brute_force(spark, options):
         assert r["mean_log_score"] == (pytest.approx(score / n, rel=1e-6, abs=1e-6) if n else None)
 
 
+def test_partition_read_again(monkeypatch):
+    from meridia.llm import lm_scoring
+
+    rows = rows_of(6, 40)
+    op = StupidBackoff()
+    top = lm_scoring._Top(np.arange(5, dtype=np.uint64) << np.uint64(60), np.arange(5) + 1)
+    assert top.code(top.hashes).tolist() == [0, 1, 2, 3, 4] and top.code(np.array([7], np.uint64)).tolist() == [lm_scoring._RARE]
+    import pyarrow as pa
+
+    def run(limit):
+        monkeypatch.setattr(lm_scoring, "_AT_ONCE", limit)
+        batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows])], names=["doc_id", "text"])
+        grams = pa.concat_tables([pa.Table.from_batches([b]) for b in op._grams(7, 3, top, 100.0)([batch])]).sort_by([("bucket", "ascending"), ("kind", "ascending")])
+        out = pa.concat_tables([pa.Table.from_batches([b]) for b in op._meet(7, 3, top)(grams.to_batches())])
+        sums = collections.Counter()
+        for kind, blob in zip(out.column("kind").to_pylist(), out.column("blob").to_pylist()):
+            if kind == lm_scoring._SUMS:
+                d, v, k, _ = unpack(blob)
+                for doc, x, y in zip(np.cumsum(d).tolist(), v.tolist(), k.tolist()):
+                    sums[doc, "value"] = round(sums[doc, "value"] + x, 6)
+                    sums[doc, "back"] += y
+        return sums
+
+    assert run(0) == run(1 << 30) and len(run(0)) > 50
+
+
 def test_packing_and_empty_table(spark):
     columns = [np.arange(5), np.zeros(0, np.uint64), np.array([1.5, 2.5], np.float32), np.arange(3, dtype=np.uint8)]
     assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(columns, unpack(pack(*columns))))

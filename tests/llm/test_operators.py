@@ -11,9 +11,8 @@ import pytest
 
 from meridia.llm import html_extract, quality
 from meridia.llm.minhash import NearDuplicates
-from meridia.llm.mixing import Raking
 from meridia.llm.nn_descent import NNDescent
-from meridia.llm.piece_codec import PieceCodec, digest
+from meridia.llm.piece_codec import PieceCodec, decoded, digest, encoded
 from meridia.llm.suffix_dedup import SuffixDedup
 from meridia.llm.token_counts import TokenCounts, spliced_count
 from meridia.llm.toxicity import toxicity
@@ -166,14 +165,6 @@ def test_html():
     assert html_extract.main_text("") == "" and html_extract.main_text("<p>x &am<p") == "x &am"
 
 
-def test_mixing_matches_targets(docs, nothing):
-    op = Raking(targets={"lang": {"en": 0.5}}, sweeps=40)
-    cells = op.cells(op.described(docs)).toPandas()
-    assert cells[cells.lang == "en"].weight.sum() / cells.weight.sum() == pytest.approx(0.5, abs=0.02)
-    assert op.sample(docs).count() == docs.count() and op.sample(nothing).count() == 0
-    assert op.keep(docs).columns == docs.columns
-
-
 def test_piece_codec(docs, texts, nothing):
     from sentencepiece import SentencePieceProcessor
 
@@ -187,6 +178,24 @@ def test_piece_codec(docs, texts, nothing):
     assert all(r["round_trip"] for r in digest(docs, path).collect()) and digest(nothing, path).count() == 0
 
 
+def test_piece_codec_as_dataframes(docs, texts, nothing):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    there = encoded(docs, path)
+    back = decoded(there.drop("text"), path)
+    assert there.columns == [*docs.columns, "piece_ids"] and there.count() == docs.count()
+    assert {r["doc_id"]: r["text"] for r in back.collect()} == {i: t.replace("▁", " ") for i, t in texts.items()}
+    assert decoded(there, path).columns == there.columns and decoded(encoded(nothing, path), path).count() == 0
+    assert encoded(there, path).columns == there.columns
+
+
+def test_piece_codec_falls_back_to_merges():
+    codec = PieceCodec(public_tokenizers.path("piece_bpe_32k.model"))
+    words = ["▁ab", "▁abcd", "▁abce", "▁zz"]
+    want = {w: [codec.ids[t] for t in codec.merges(w)] for w in words}
+    codec.follows = dict.fromkeys([(p, t) for p in codec.ids for t in ("c", "ce", "cd", "bce")], False)
+    assert {w: np.frombuffer(b, np.int32).tolist() for w, b in codec.encode_words(words).items()} == want
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((600, 16)).astype(np.float32)
