@@ -199,17 +199,25 @@ def fit(y, order=(1, 0, 0), seasonal=(0, 0, 0, 0), mean: bool = False, steps: in
     return base | {"coefs": c.tolist(), "loglik": -loss, "aic": 2 * k + 2 * loss, "aicc": aicc, "bic": k * math.log(nobs) + 2 * loss, "status": "ok", "message": ""}
 
 
+class Filter:
+    """A fitted model's system, built once; :meth:`step` filters one row."""
 
+    def __init__(self, model: dict, horizon: int = 0):
+        self.model_id, self.horizon = model["model_id"], horizon
+        *self.system, a, P = system(model["order"], model["seasonal_order"], model["include_mean"], model["coefs"])
+        self.first = a, P
 
-def apply(model: dict | None, y: np.ndarray, state=None, horizon: int = 0):
+    def step(self, value: float, state=None):
+        """(fitted, residual, standardised residual, forecasts), then the state for the next row."""
+        f, r, s, _, _, state = kalman(np.array([value]), *self.system, *(state or self.first))
+        ahead = forecast(state, *self.system, self.horizon)[0] if self.horizon else ()
+        return np.r_[f[0], r[0], s[0], ahead], state
+
+
+def apply(model: dict, y: np.ndarray, state=None, horizon: int = 0):
     """Filter rows with a fitted model; state goes in and out, so that batches can be chained."""
-    Z, T, R, mu, H, a, P = system(model["order"], model["seasonal_order"], model["include_mean"], model["coefs"])
-    if state is not None:
-        a, P = state
-    out, ahead = [], []
-    for value in y:
-        f, r, s, _, _, (a, P) = kalman(np.array([value]), Z, T, R, mu, H, a, P)
-        out.append((f[0], r[0], s[0]))
-        if horizon:
-            ahead.append(forecast((a, P), Z, T, R, mu, H, horizon)[0])
-    return np.array(out).reshape(-1, 3), np.array(ahead).reshape(len(out), horizon), (a, P)
+    own = Filter(model, horizon)
+    state, out = state or own.first, np.empty((len(y), 3 + horizon))
+    for i, value in enumerate(y):
+        out[i], state = own.step(value, state)
+    return out[:, :3], out[:, 3:], state

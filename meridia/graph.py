@@ -13,7 +13,7 @@ from typing import Any
 from meridia import sources as src
 from meridia.functions import summarizers as S
 from meridia.operators import joins, rows, summarize, timeseries
-from meridia.pipeline import Pipeline
+from meridia.pipeline import Pipeline, like
 from meridia.span import Span
 
 REQUIRED = object()
@@ -534,4 +534,4 @@ def _tagged(node: str, p: Pipeline) -> Pipeline:
         except Exception as e:
             raise NodeError(node, str(e)) from e
 
-    return Pipeline(plan, order=p.order, acausal=p.acausal)
+    return Pipeline(like(plan, p), order=p.order, acausal=p.acausal)

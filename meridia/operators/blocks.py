@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from meridia.functions.summarizers import Summarizer
 from meridia.pipeline import TIME, Pipeline
-from meridia.span import Span, number
+from meridia.span import Span, number, width
 
 BLOCKS = 1024
 BEFORE = (Window.unboundedPreceding, -1)
@@ -34,7 +34,7 @@ def _edge(value: Any) -> float:
     return float(value)
 
 
-def _dealt(df: DataFrame, span: Span) -> DataFrame:
+def dealt(df: DataFrame, span: Span) -> DataFrame:
     lo, hi = _edge(span.start), _edge(span.stop)
     if not (math.isfinite(lo) and math.isfinite(hi) and hi > lo):
         return df.withColumn("#b", F.lit(0).cast("long"))
@@ -42,6 +42,18 @@ def _dealt(df: DataFrame, span: Span) -> DataFrame:
     return df.withColumn("#b", F.coalesce(F.greatest(F.least(at, F.lit(BLOCKS)), F.lit(-1)), F.lit(-1)).cast("long"))
 
 
+def haloed(df: DataFrame, span: Span, back: Any) -> DataFrame:
+    """Rows (with ``_own``) by blocks ``#b`` no shorter than ``back``; a row is there once more, not its own, in the block after."""
+    lo, hi = _edge(span.start), _edge(span.stop)
+    reach = float(width(back, dict(df.dtypes)[TIME]))
+    if not (math.isfinite(lo) and math.isfinite(hi) and hi > lo and reach >= 0):
+        return df.withColumn("#b", F.lit(0).cast("long"))
+    n = max(1, min(BLOCKS, int((hi - lo) / reach))) if reach > 0 else BLOCKS
+    at = F.greatest(F.least(F.floor((F.col("_at").cast("double") - F.lit(lo)) * F.lit(n / (hi - lo))), F.lit(n - 1)), F.lit(-1)).cast("long")
+    rows = df.withColumn("#b", F.explode(F.array(at, at + 1)))
+    return rows.withColumn("_own", F.col("_own") & (F.col("#b") == at))
+
+
 def _grid(df: DataFrame, per_block: DataFrame) -> DataFrame:
     """Every block, with its row if it has one."""
     return df.sparkSession.range(-1, BLOCKS + 1).select(F.col("id").alias("#b")).join(per_block, "#b", "left")
@@ -49,7 +61,7 @@ def _grid(df: DataFrame, per_block: DataFrame) -> DataFrame:
 
 def last_seen(df: DataFrame, value: Column, out: str, sort: list[Column], reverse: list[Column], span: Span, forward: bool = False) -> DataFrame:
     """The last value (a struct) not null at or before each row; ``forward``: the first at or after it."""
-    df = _dealt(df, span).withColumn("#v", value)
+    df = dealt(df, span).withColumn("#v", value)
     w = Window.partitionBy("#b").orderBy(*sort)
     own = F.first("#v", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)) if forward else F.last("#v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     end = F.row_number().over(Window.partitionBy("#b").orderBy(*(sort if forward else reverse)))
@@ -63,7 +75,7 @@ def last_seen(df: DataFrame, value: Column, out: str, sort: list[Column], revers
 def lagged(df: DataFrame, x: str, offsets: dict[str, int], p: Pipeline, span: Span) -> DataFrame:
     """Row lags: the first rows of a block reach into a list of the last values before it."""
     deep = max(offsets.values())
-    df = _dealt(df, span)
+    df = dealt(df, span)
     back = Window.partitionBy("#b").orderBy(*p.sort(descending=True))
     ends = df.select("#b", F.struct(F.col(x).alias("v")).alias("#e"), F.row_number().over(back).alias("#n")).where(F.col("#n") <= deep)
     lists = ends.groupBy("#b").agg(F.array_sort(F.collect_list(F.struct("#n", "#e"))).alias("#l"))
@@ -84,7 +96,7 @@ def mergeable(ss: list[Summarizer], p: Pipeline) -> bool:
 def running(df: DataFrame, ss: list[Summarizer], p: Pipeline, span: Span) -> DataFrame:
     """Running summaries whose value over two pieces follows from the pieces' values."""
     shown = [*df.columns, *dict.fromkeys(s.outputs[0].name for s in ss)]
-    df = _dealt(df, span)
+    df = dealt(df, span)
     w = Window.partitionBy("#b").orderBy(*p.sort()).rowsBetween(Window.unboundedPreceding, 0)
     parts: dict[str, tuple[Column, Column, str]] = {}
     final: dict[str, Column] = {}

@@ -9,10 +9,10 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridia.functions.summarizers import Summarizer
+from meridia.functions.summarizers import Count, Summarizer
 from meridia.operators import blocks
 from meridia.pipeline import TIME, Pipeline, fresh, names
-from meridia.span import literal, number, width
+from meridia.span import literal, number, shifted, width
 
 Step = Callable[[Pipeline], Pipeline]
 
@@ -32,6 +32,11 @@ def _emptied(df: DataFrame, ss: list[Summarizer]) -> DataFrame:
     return df.withColumns({o.name: F.coalesce(F.col(o.name), F.lit(o.empty)) for s in ss for o in s.outputs if o.empty is not None})
 
 
+def declared(keyset: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """Declared keys, each once: a given table, broadcast by Catalyst's own size estimate."""
+    return keyset.select(*key).distinct()
+
+
 def summarize(*ss: Summarizer, key=None) -> Step:
     """One row (of each key) at the window's stop; without key, one row even of an empty window."""
 
@@ -53,7 +58,7 @@ def summarize_cycles(*ss: Summarizer, key=None, keyset: DataFrame | None = None)
         def step(df, _):
             out = df.groupBy(TIME, *names(key)).agg(*_groups(ss, p.rank()))
             if keyset is not None:
-                grid = df.select(TIME).distinct().join(F.broadcast(keyset.select(*names(key)).distinct()))  # declared keys: a given small table
+                grid = df.select(TIME).distinct().join(declared(keyset, names(key)))
                 out = _emptied(grid.join(out, [TIME, *names(key)], "left"), ss)
             return _finished(out, ss)
 
@@ -86,7 +91,8 @@ def add_summary_columns(*ss: Summarizer, key=None) -> Step:
 def add_rolling_columns(windows: dict[str, Any], *ss: Summarizer, key=None, source: Pipeline | None = None) -> Step:
     """Summaries of the trailing closed ``[t - w, t]`` per window name; peers of the timestamp are included.
 
-    ``source``: another stream to summarise; rows of both meet in one ordered pass, without a range join.
+    ``source``: another stream to summarise; rows of both meet in one ordered pass, without a range join.  Without key
+    rows are summed in blocks of time at least as long as the longest window, each with the rows of the block before.
     """
 
     def build(p: Pipeline) -> Pipeline:
@@ -102,9 +108,11 @@ def add_rolling_columns(windows: dict[str, Any], *ss: Summarizer, key=None, sour
                 df = left.withColumn("_own", F.lit(True)).unionByName(right.withColumn("_own", F.lit(False)), allowMissingColumns=True)
             kind = dict(df.dtypes)[TIME]
             df = df.withColumn("_at", number(F.col(TIME), kind))
+            if not names(key):
+                df = blocks.haloed(df, span, longest)
             out = {}
             for label, w in windows.items():
-                frame = Window.partitionBy(*names(key)).orderBy("_at").rangeBetween(-width(w, kind), 0)
+                frame = Window.partitionBy(*(names(key) or ("#b",))).orderBy("_at").rangeBetween(-width(w, kind), 0)
                 for s in ss:
                     for o in s.outputs:
                         out[f"{label}_{o.name}"] = (o, frame)
@@ -120,99 +128,135 @@ def add_rolling_columns(windows: dict[str, Any], *ss: Summarizer, key=None, sour
             if source is not None:
                 df = df.withColumns({c: F.col(f"_own_{c}") for s in ss for c in s.columns if f"_own_{c}" in df.columns})
             rows = df.where(F.col("_own")).where(span.where(F.col(TIME)))
-            return rows.drop("_own", "_at", *[c for c in df.columns if c.startswith(("_src_", "_own_"))])
+            return rows.drop("_own", "_at", "#b", *[c for c in df.columns if c.startswith(("_src_", "_own_"))])
 
         return replace(p, plan=plan)
 
     return build
 
 
-def _ticks(clock: Pipeline, span, kind: str) -> DataFrame:
-    """Ticks with the next one; a clock is small beside the data, one row per interval."""
-    ticks = clock.plan(span).select(F.col(TIME).alias("tick")).distinct()
-    at = Window.partitionBy(F.lit(0)).orderBy("tick")
-    return ticks.withColumn("next", F.lead("tick").over(at))
+def _regular(clock: Pipeline) -> Any:
+    """The spacing of a clock that nothing has changed (None: ticks of any spacing)."""
+    return getattr(clock.plan, "every", None)
+
+
+def _tick(span, k: Column, interval: Any, kind: str) -> Column:
+    """The k-th tick of a regular clock, as the source makes it."""
+    step = width(interval, kind)
+    if kind.startswith("timestamp"):
+        return F.timestamp_micros(F.unix_micros(literal(span.start).cast("timestamp")) + k * F.lit(step)).cast(kind)
+    if kind == "date":
+        return F.date_add(literal(span.start), (k * step).cast("int"))
+    return (F.lit(span.start) + k * F.lit(step)).cast(kind)
+
+
+def _count_to(span, at: Column, interval: Any, kind: str) -> Column:
+    """Ticks of a regular clock at or before a time inside the span, those beyond its stop included."""
+    step = width(interval, kind)
+    if kind.startswith("timestamp") or kind == "date":
+        base = number(literal(span.start).cast(kind), kind)
+        return F.greatest(F.lit(0).cast("long"), F.floor((number(at, kind) - base) / F.lit(step)).cast("long") + 1)
+    k = F.floor((at - F.lit(span.start)) / F.lit(step)).cast("long")  # rounding may be off by one tick
+    k = F.when(_tick(span, k, interval, kind) > at, k - 1).when(_tick(span, k + 1, interval, kind) <= at, k + 1).otherwise(k)
+    return F.greatest(F.lit(0).cast("long"), k + 1)
+
+
+def _numbered(clock: Pipeline, span, kind: str) -> DataFrame:
+    """(time, #k): ticks of any spacing, numbered from 1 in order."""
+    ticks = clock.plan(span).select(TIME).distinct()
+    return blocks.running(ticks, [Count()], Pipeline(clock.plan), span).withColumnRenamed("count", "#k")
+
+
+def _counted(df: DataFrame, ticks: DataFrame, span, out: str) -> DataFrame:
+    """``out``: how many ticks come at or before each row, by one ordered pass over both in blocks of time."""
+    lrows = df.select(TIME, F.lit(1).alias("#side"), F.struct(*df.columns).alias("#row"), F.lit(None).cast("long").alias("#k"))
+    rrows = ticks.select(TIME, F.lit(0).alias("#side"), F.lit(None).cast(lrows.schema["#row"].dataType).alias("#row"), "#k")
+    sort = [F.col(TIME), F.col("#side")]
+    both = blocks.last_seen(lrows.unionByName(rrows), F.col("#k"), "#n", sort, [F.col(TIME).desc(), F.col("#side").desc()], span)
+    return both.where(F.col("#row").isNotNull()).select(*[F.col("#row")[c].alias(c) for c in df.columns], F.coalesce("#n", F.lit(0)).cast("long").alias(out))
+
+
+def _last_tick(clock: Pipeline, span, kind: str) -> Column:
+    """How many ticks a regular clock has in the span, as :func:`meridia.sources.clock` counts them."""
+    step = width(_regular(clock), kind)
+    extent = span.stop - span.start
+    return F.lit(max(0, -int(-(width(extent, kind) if kind.startswith("timestamp") or kind == "date" else extent) // step))).cast("long")
 
 
 def intervalize(clock: Pipeline, *ss: Summarizer, key=None, keyset: DataFrame | None = None, closelast: bool = False) -> Step:
     """Summaries of ``[tick, next)``, stamped at the closing tick; the last interval only with ``closelast``.
 
-    Rows find their interval by an ordered union with the ticks (an as-of attachment), per key hash, so a
-    clock of any spacing costs one sort and no range join.
+    A regular clock's intervals are arithmetic.  For one of any spacing rows find their interval by one ordered pass over rows
+    and ticks in blocks of time: no range join, and no array of ticks beside the rows.
     """
 
     def build(p: Pipeline) -> Pipeline:
         def plan(span):
             df = p.plan(span)
-            kind = dict(df.dtypes)[TIME]
-            ticks = _ticks(clock, span, kind)
-            if closelast:
-                ticks = ticks.withColumn("next", F.coalesce("next", literal(span.stop).cast(kind)))
-            ticks = ticks.where("next is not null")
-            # Ticks are one row per interval: broadcast their sorted bounds when few, else a range join.
-            few = ticks.limit(100_001).count() <= 100_000
-            if few:
-                bounds = ticks.agg(F.array_sort(F.collect_list(F.struct("tick", "next"))).alias("_b"))
-                placed = df.join(F.broadcast(bounds)).withColumn("_i", _position(F.col("_b"), F.col(TIME)))
-                rows = placed.where("_i >= 0").withColumn("_w", F.col("_b")[F.col("_i")]).where(F.col(TIME) < F.col("_w.next"))
-                rows = rows.withColumn("_at", F.col("_w.next")).drop("_b", "_i", "_w")
+            kind, every = dict(df.dtypes)[TIME], _regular(clock)
+            ticks = None if every is not None else _numbered(clock, span, kind)
+            n = _last_tick(clock, span, kind) if every is not None else None
+            if every is not None:
+                rows = df.withColumn("#n", _count_to(span, F.col(TIME), every, kind)).where(F.col("#n") > 0)
+                grid = df.sparkSession.range(1, 2).select(F.explode(F.sequence(F.lit(1).cast("long"), n)).alias("#n")).where(n > 0)
+                grid = grid.where((F.col("#n") < n) | F.lit(closelast))
+                stamp = F.when(F.col("#n") < n, _tick(span, F.col("#n"), every, kind)).otherwise(literal(span.stop).cast(kind))
+                rows = rows.where((F.col("#n") < n) | F.lit(closelast))
             else:
-                rows = df.join(ticks, (F.col(TIME) >= F.col("tick")) & (F.col(TIME) < F.col("next"))).withColumn("_at", F.col("next")).drop("tick", "next")
-            out = rows.groupBy("_at", *names(key)).agg(*_groups(ss, p.rank())).withColumnRenamed("_at", TIME)
-            grid = ticks.select(F.col("next").alias(TIME)) if keyset is not None or not key else None
-            if grid is not None:
-                if key:
-                    grid = grid.join(F.broadcast(keyset.select(*names(key)).distinct()))
-                out = _emptied(grid.join(out, [TIME, *names(key)], "left"), ss)
-            return _finished(out, ss)
+                rows = _counted(df, ticks, span, "#n").where(F.col("#n") > 0)
+                grid = ticks.select(F.col("#k").alias("#n"))
+                closing = ticks.select((F.col("#k") - 1).alias("#n"), F.col(TIME).alias("#at")).where(F.col("#n") > 0)
+                grid = grid.join(closing, "#n", "left" if closelast else "inner")
+                stamp = F.coalesce(F.col("#at"), literal(span.stop).cast(kind))
+            out = rows.groupBy("#n", *names(key)).agg(*_groups(ss, p.rank()))
+            dense = keyset is not None or not names(key)
+            if names(key) and dense:
+                grid = grid.join(declared(keyset, names(key)))
+            if dense or every is None:
+                out = grid.join(out, ["#n", *(names(key) if dense else ())], "left" if dense else "inner")
+            out = out.withColumn(TIME, stamp)
+            out = out.select(TIME, *names(key), *[c for c in out.columns if c not in (TIME, "#n", "#at", *names(key))])
+            return _finished(_emptied(out, ss) if dense else out, ss)
 
         return replace(p, plan=plan, order=names(key), acausal=p.acausal or clock.acausal)
 
     return build
 
 
-def _position(bounds: Column, at: Column) -> Column:
-    """Index of the last tick not after ``at`` (-1: none), by bisection unrolled to the array's log."""
-    start = F.struct(F.lit(0).alias("lo"), F.size(bounds).alias("hi"))
-
-    def halve(s: Column, _: Column) -> Column:
-        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        right = (s["lo"] < s["hi"]) & (F.get(bounds, mid)["tick"] <= at)
-        return F.struct(F.when(right, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(right | (s["lo"] >= s["hi"]), s["hi"]).otherwise(mid).alias("hi"))
+def windowed(df: DataFrame, clock: Pipeline, span, lookback: Any) -> DataFrame:
+    """Each row once for every tick whose ``[tick - lookback, tick)`` holds it, with ``_tick``.
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(18)), start, halve)["lo"] - 1
+    The ticks of a row are numbers lo..hi, by arithmetic for a regular clock, else by ordered passes over rows and ticks.
+    """
+    kind, every = dict(df.dtypes)[TIME], _regular(clock)
+    if every is not None:
+        until = F.least(_count_to(span, shifted(F.col(TIME), lookback, kind), every, kind), _last_tick(clock, span, kind))
+        rows = df.withColumns({"#lo": _count_to(span, F.col(TIME), every, kind) + 1, "#hi": until}).where("`#lo` <= `#hi`")
+        rows = rows.withColumn("#k", F.explode(F.sequence("#lo", "#hi")))
+        return rows.withColumn("_tick", _tick(span, F.col("#k") - 1, every, kind)).drop("#lo", "#hi", "#k")
+    ticks = _numbered(clock, span, kind)
+    rows = _counted(df, ticks, span, "#lo").withColumn("#was", F.col(TIME)).withColumn(TIME, shifted(F.col(TIME), lookback, kind))
+    rows = _counted(rows, ticks, span, "#hi").withColumn(TIME, F.col("#was")).where("`#lo` < `#hi`")
+    rows = rows.withColumn("#k", F.explode(F.sequence(F.col("#lo") + 1, F.col("#hi")))).drop("#lo", "#hi", "#was")
+    return rows.join(ticks.select("#k", F.col(TIME).alias("_tick")), "#k").drop("#k")
 
 
 def summarize_windows(clock: Pipeline, lookback: Any, *ss: Summarizer, key=None, keyset: DataFrame | None = None, interval: Any = None) -> Step:
-    """Summaries of ``[tick - lookback, tick)`` at each tick.
-
-    ``interval``: the clock's regular spacing; then every row is dealt to its ticks by arithmetic (explode) and
-    hash-aggregated.  Without it ticks are met by a range join.
-    """
+    """Summaries of ``[tick - lookback, tick)`` at each tick; rows are dealt to their ticks by number (see :func:`windowed`)
+    and hash-aggregated.  ``interval``: the spacing of a clock that is regular but isn't the source's own."""
 
     def build(p: Pipeline) -> Pipeline:
         def plan(span):
-            df = p.plan(span.widen(before=lookback))
-            kind = dict(df.dtypes)[TIME]
-            ticks = clock.plan(span).select(F.col(TIME).alias("tick")).distinct()
-            if interval is not None:
-                step, reach = width(interval, kind), width(lookback, kind)
-                base = number(literal(span.start).cast(kind), kind)
-                away = number(F.col(TIME), kind) - base
-                lo = F.greatest(F.lit(0).cast("long"), F.floor(away / step).cast("long") + 1)
-                hi = F.floor((away + reach) / step).cast("long")
-                numbered = ticks.withColumn("_k", ((number(F.col("tick"), kind) - base) / step).cast("long"))
-                rows = df.where(hi >= lo).withColumn("_k", F.explode(F.sequence(lo, hi)))
-                out = rows.groupBy("_k", *names(key)).agg(*_groups(ss, p.rank()))
-                out = out.join(numbered, "_k").drop("_k").withColumnRenamed("tick", TIME)
-            else:
-                back = F.col("tick") - F.lit(lookback) if kind != "date" else F.date_sub("tick", width(lookback, kind))
-                rows = df.join(ticks, (F.col(TIME) >= back) & (F.col(TIME) < F.col("tick")))
-                out = rows.groupBy("tick", *names(key)).agg(*_groups(ss, p.rank())).withColumnRenamed("tick", TIME)
-            grid = ticks.withColumnRenamed("tick", TIME) if keyset is not None or not key else None
-            if grid is not None:
-                if key:
-                    grid = grid.join(F.broadcast(keyset.select(*names(key)).distinct()))
+            own = clock
+            if interval is not None and _regular(clock) is None:
+                own = replace(clock, plan=lambda s: clock.plan(s))
+                own.plan.every = interval
+            rows = windowed(p.plan(span.widen(before=lookback)), own, span, lookback)
+            out = rows.groupBy("_tick", *names(key)).agg(*_groups(ss, p.rank())).withColumnRenamed("_tick", TIME)
+            if keyset is not None or not names(key):
+                grid = clock.plan(span).select(TIME).distinct()
+                if names(key):
+                    grid = grid.join(declared(keyset, names(key)))
                 out = _emptied(grid.join(out, [TIME, *names(key)], "left"), ss)
             return _finished(out, ss)
 

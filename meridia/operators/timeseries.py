@@ -7,6 +7,7 @@ batches, so a key with a third of all rows never sits in memory at once.
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import pickle
 from collections.abc import Callable
@@ -16,8 +17,10 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,7 +28,7 @@ from meridia.functions import arma as A
 from meridia.functions.summarizers import LinearRegression, Summarizer, ema_label
 from meridia.operators import blocks
 from meridia.operators.joins import asof_join
-from meridia.operators.summarize import summarize
+from meridia.operators.summarize import summarize, windowed
 from meridia.pipeline import TIME, Pipeline, fresh, names
 from meridia.span import Span, literal, number, width
 
@@ -101,32 +104,56 @@ def box_cox(x: str, lam: float, name: str | None = None, strict: bool = True) ->
     return lambda p: p.then(step)
 
 
-def _streamed(pl: Pipeline, df: DataFrame, key: tuple[str, ...], fields: list[T.StructField], make: Callable[[], Any]) -> DataFrame:
-    """Rows by key in order through ``make()``'s ``step(frame, state) -> (columns, state)``."""
+def _starts(batch: pa.RecordBatch, key: tuple[str, ...]) -> np.ndarray:
+    """True where a row's key differs from the row before."""
+    out = np.zeros(batch.num_rows, bool)
+    out[0] = True
+    for k in key:
+        column = batch.column(k)
+        now, was = column.slice(1), column.slice(0, len(column) - 1)
+        try:
+            differ = pc.not_equal(now, was)
+        except pa.ArrowNotImplementedError:  # nested keys
+            values = column.to_pylist()
+            out[1:] |= [x != y for x, y in zip(values[1:], values)]
+            continue
+        if pa.types.is_floating(column.type):
+            differ = pc.and_not_kleene(differ, pc.and_kleene(pc.is_nan(now), pc.is_nan(was)))
+        out[1:] |= pc.fill_null(differ, False).to_numpy(zero_copy_only=False)
+        out[1:] |= pc.not_equal(pc.is_null(now), pc.is_null(was)).to_numpy(zero_copy_only=False)
+    return out
+
+
+def _plain(column: pa.Array) -> np.ndarray:
+    return column.cast(pa.float64()).to_numpy(zero_copy_only=False) if pa.types.is_floating(column.type) or pa.types.is_integer(column.type) else np.array(column.to_pylist(), object)
+
+
+def _streamed(df: DataFrame, key: tuple[str, ...], sort: list, take: tuple[str, ...], outs: list[str], make: Callable[[], Any]) -> DataFrame:
+    """``df`` with new double columns: rows by key in order through ``make()``'s ``step({column of take: values}, state)``,
+    which gives (columns, state).  All other columns pass as they are, in Arrow."""
     dealt = df.repartition(*[F.col(k) for k in key]) if key else df.coalesce(1)
-    dealt = dealt.sortWithinPartitions(*key, *pl.sort())
-    schema = T.StructType([*df.schema.fields, *fields])
-    outs = [f.name for f in fields]
-
-    def frames(batches):
-        step, state, last = make(), None, object()
-        for pdf in batches:
-            if not len(pdf):
+    dealt = dealt.sortWithinPartitions(*key, *sort)
+    schema = T.StructType([*df.schema.fields, *[T.StructField(o, T.DoubleType()) for o in outs]])
+
+    def batches(batches):
+        step, state, last = make(), None, None
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            codes = pd.util.hash_pandas_object(pdf[list(key)], index=False).to_numpy() if key else np.zeros(len(pdf), np.uint64)
-            cuts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(pdf)]
-            parts = []
+            new = _starts(batch, key)
+            ends = [[str(batch.column(k)[i].as_py()) if batch.column(k)[i].is_valid else None for k in key] for i in (0, batch.num_rows - 1)]
+            new[0], last = ends[0] != last, ends[1]
+            values = {c: _plain(batch.column(c)) for c in take}
+            out = {o: np.empty(batch.num_rows) for o in outs}
+            cuts = np.unique(np.r_[0, np.flatnonzero(new), batch.num_rows]).tolist()
             for a, b in zip(cuts, cuts[1:]):
-                if codes[a] != last:
-                    state, last = None, codes[a]
-                part = pdf.iloc[a:b].copy()
-                columns, state = step(part, state)
-                for n in outs:
-                    part[n] = columns[n]
-                parts.append(part)
-            yield pd.concat(parts)[[f.name for f in schema.fields]]
+                columns, state = step({c: x[a:b] for c, x in values.items()}, None if new[a] else state)
+                for o in outs:
+                    out[o][a:b] = columns[o]
+            added = [pa.array(x, mask=np.isnan(x)) for x in out.values()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=schema.names)
 
-    return dealt.mapInPandas(frames, schema)
+    return dealt.mapInArrow(batches, schema)
 
 
 def _ema(values: np.ndarray, alpha: np.ndarray | float, s: float) -> tuple[np.ndarray, float]:
@@ -139,33 +166,89 @@ def _ema(values: np.ndarray, alpha: np.ndarray | float, s: float) -> tuple[np.nd
     return out, s
 
 
+def _in_blocks(pl: Pipeline, df: DataFrame, span: Span, take: tuple[str, ...], outs: list[str], make, fold: Callable[[Column, Column], Column], start: Column, carried: str) -> DataFrame:
+    """``df`` with the columns ``outs`` of a scan that starts anew in every block of the window, and ``carried``: what the
+    blocks before left behind, ``fold``ed over their last rows.  A block is one task's, whatever the window's length."""
+    rows = blocks.dealt(df, span)
+    scan = lambda d: _streamed(d, ("#b",), pl.sort(), take, outs, make)
+    ties = [o.lstrip("-") for o in pl.order]
+    narrow = rows.select("#b", TIME, *dict.fromkeys(c for c in (*ties, *take) if c != TIME))
+    at = F.row_number().over(Window.partitionBy("#b").orderBy(*pl.sort(descending=True)))
+    ends = scan(narrow).withColumn("#n", at).where(F.col("#n") == 1).select("#b", F.struct(*outs).alias("#e"))
+    held = F.array_sort(F.collect_list(F.struct("#b", "#e")))  # a row a block
+    step = lambda acc, x: F.struct(fold(acc["s"], x["#e"]).alias("s"), F.array_append(acc["l"], F.struct(x["#b"].alias("#b"), acc["s"].alias(carried))).alias("l"))
+    nothing = F.slice(F.array(F.struct(F.lit(0).cast("long").alias("#b"), start.alias(carried))), 1, 0)
+    carry = ends.agg(F.aggregate(held, F.struct(start.alias("s"), nothing.alias("l")), step)["l"].alias("l")).select(F.inline("l"))
+    return scan(rows).join(F.broadcast(carry), "#b").drop("#b")
+
+
 def ema(x: str, span: float | None = None, halflife: Any = None, key=None, name: str | None = None) -> Step:
-    """Exponential average; null leaves it unchanged and shows it, null until the first value."""
+    """Exponential average; null leaves it unchanged and shows it, null until the first value.
+
+    A key's rows are one task's stream.  Without key the window is scanned in blocks: after a block's first value the
+    average is p s + q of the state s there, which the blocks before decide.
+    """
     label = name or ema_label(x, span, halflife)
 
     def build(pl: Pipeline) -> Pipeline:
-        def step(df, _):
+        def step(df, window):
             fresh(df, label)
             kind = dict(df.dtypes)[TIME]
-            rows = df.withColumn("_v", F.col(x).cast("double")).withColumn("_t", number(F.col(TIME), kind).cast("double"))
+            rows = df.withColumns({"#v": F.col(x).cast("double"), "#t": number(F.col(TIME), kind).cast("double")})
             half = None if halflife is None else float(width(halflife, kind))
 
+            def alphas(v, t, seen):
+                """Weight of each value, and the time of the last one."""
+                if half is None:
+                    return 2.0 / (span + 1), seen
+                alpha, ok = np.zeros(len(v)), np.flatnonzero(~np.isnan(v))
+                if len(ok):
+                    alpha[ok] = 1 - np.exp(-math.log(2) * np.diff(np.r_[seen, t[ok]]) / half)
+                    seen = t[ok][-1]
+                return alpha, seen
+
+            if names(key):
+
+                def make():
+                    def run(part, state):
+                        s, seen = state or (math.nan, math.nan)
+                        alpha, seen = alphas(part["#v"], part["#t"], seen)
+                        out, s = _ema(part["#v"], alpha, s)
+                        return {label: out}, (s, seen)
+
+                    return run
+
+                return _streamed(rows, names(key), pl.sort(), ("#v", "#t"), [label], make).drop("#v", "#t")
+
             def make():
                 def run(part, state):
-                    v, t = part["_v"].to_numpy(float), part["_t"].to_numpy(float)
-                    s, seen = state or (math.nan, math.nan)
-                    alpha: Any = 2.0 / (span + 1) if half is None else np.zeros(len(v))
-                    if half is not None:
-                        ok = np.flatnonzero(~np.isnan(v))
-                        before = np.r_[seen, t[ok][:-1]] if len(ok) else np.zeros(0)
-                        alpha[ok] = 1 - np.exp(-math.log(2) * (t[ok] - before) / half)
-                        seen = t[ok][-1] if len(ok) else seen
-                    out, s = _ema(v, alpha, s)
-                    return {label: np.where(np.isnan(out), None, out)}, (s, seen)
+                    v, t = part["#v"], part["#t"]
+                    p, q, v1, t1, seen = state or (1.0, 0.0, math.nan, math.nan, math.nan)
+                    alpha, last = alphas(v, t, seen)
+                    out = np.full((5, len(v)), math.nan)
+                    for i, (y, at, a) in enumerate(zip(v.tolist(), t.tolist(), np.broadcast_to(alpha, len(v)).tolist())):
+                        if y == y:
+                            if v1 != v1:
+                                v1, t1 = y, at
+                            else:
+                                p, q = p * (1 - a), q + a * (y - q)
+                            seen = at
+                        out[:, i] = p, q, v1, t1, seen
+                    return dict(zip(("#p", "#q", "#v1", "#t1", "#t2"), out)), (p, q, v1, t1, last)
 
                 return run
 
-            return _streamed(pl, rows, names(key), [T.StructField(label, T.DoubleType())], make).drop("_v", "_t")
+            def after(s, e):
+                """The average after a block's row, given the state (s, t) before the block."""
+                a = F.lit(2.0 / (span + 1)) if half is None else 1 - F.exp(F.lit(-math.log(2)) * (e["#t1"] - s["t"]) / F.lit(half))
+                first = F.when(s["s"].isNull(), e["#v1"]).otherwise(s["s"] + a * (e["#v1"] - s["s"]))
+                return F.when(e["#v1"].isNull(), s["s"]).otherwise(e["#p"] * first + e["#q"])
+
+            start = F.struct(F.lit(None).cast("double").alias("s"), F.lit(None).cast("double").alias("t"))
+            fold = lambda s, e: F.struct(after(s, e).alias("s"), F.coalesce(e["#t2"], s["t"]).alias("t"))
+            outs = ["#p", "#q", "#v1", "#t1", "#t2"]
+            out = _in_blocks(pl, rows, window, ("#v", "#t"), outs, make, fold, start, "#c")
+            return out.withColumn(label, after(F.col("#c"), {o: F.col(o) for o in outs})).drop("#c", "#v", "#t", *outs)
 
         return pl.then(step)
 
@@ -173,29 +256,63 @@ def ema(x: str, span: float | None = None, halflife: Any = None, key=None, name:
 
 
 def macd(x: str, fast: int = 12, slow: int = 26, signal: int = 9, name: str = "macd", key=None) -> Step:
+    """Fast less slow average, its own average, and their difference.  A key's rows are one task's stream; without key
+    the window is scanned in blocks, in which all three are linear in the state before."""
     if not 1 <= fast < slow or signal < 1:
         raise ValueError("needs 1 <= fast < slow and signal >= 1")
 
     def build(pl: Pipeline) -> Pipeline:
-        def step(df, _):
+        def step(df, window):
             outs = [name, f"{name}_signal", f"{name}_hist"]
             fresh(df, *outs)
+            rows = df.withColumn("#v", F.col(x).cast("double"))
 
             def make():
                 def run(part, state):
                     a, b, c = state or (math.nan,) * 3
-                    v = part["_v"].to_numpy(float)
-                    quick, a = _ema(v, 2 / (fast + 1), a)
-                    slowly, b = _ema(v, 2 / (slow + 1), b)
+                    quick, a = _ema(part["#v"], 2 / (fast + 1), a)
+                    slowly, b = _ema(part["#v"], 2 / (slow + 1), b)
                     line = quick - slowly
                     sig, c = _ema(line, 2 / (signal + 1), c)
-                    cols = dict(zip(outs, (line, sig, line - sig)))
-                    return {k: np.where(np.isnan(z), None, z) for k, z in cols.items()}, (a, b, c)
+                    return dict(zip(outs, (line, sig, line - sig))), (a, b, c)
 
                 return run
 
-            rows = df.withColumn("_v", F.col(x).cast("double"))
-            return _streamed(pl, rows, names(key), [T.StructField(o, T.DoubleType()) for o in outs], make).drop("_v")
+            if names(key):
+                return _streamed(rows, names(key), pl.sort(), ("#v",), outs, make).drop("#v")
+
+            def linear():
+                """Per row: the averages f, s, g of a block that starts without a state, and as functions of one."""
+                alpha = 2 / (fast + 1), 2 / (slow + 1), 2 / (signal + 1)
+
+                def run(part, state):
+                    own, by = state or ([math.nan] * 3, [1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0])
+                    out = np.empty((11, len(part["#v"])))
+                    for i, v in enumerate(part["#v"].tolist()):
+                        pf, qf, ps, qs, gf, gs, gg, g = by
+                        if v == v:
+                            own = [v, v, 0.0] if own[0] != own[0] else [own[0] + alpha[0] * (v - own[0]), own[1] + alpha[1] * (v - own[1]), own[2]]
+                            pf, qf, ps, qs = pf * (1 - alpha[0]), qf + alpha[0] * (v - qf), ps * (1 - alpha[1]), qs + alpha[1] * (v - qs)
+                        k = alpha[2]
+                        own[2] += k * (own[0] - own[1] - own[2])
+                        by = [pf, qf, ps, qs, gf + k * (pf - gf), gs + k * (-ps - gs), gg * (1 - k), g + k * (qf - qs - g)]
+                        out[:, i] = (*own, *by)
+                    return dict(zip(parts, out)), (own, by)
+
+                return run
+
+            parts = ["#f", "#s", "#g", "#pf", "#qf", "#ps", "#qs", "#gf", "#gs", "#gg", "#g0"]
+
+            def after(c, e):
+                new = c["f"].isNull()
+                f, s = F.when(new, e["#f"]).otherwise(e["#pf"] * c["f"] + e["#qf"]), F.when(new, e["#s"]).otherwise(e["#ps"] * c["s"] + e["#qs"])
+                return f, s, F.when(new, e["#g"]).otherwise(e["#gf"] * c["f"] + e["#gs"] * c["s"] + e["#gg"] * c["g"] + e["#g0"])
+
+            start = F.struct(*[F.lit(None).cast("double").alias(n) for n in "fsg"])
+            fold = lambda c, e: F.struct(*[v.alias(n) for n, v in zip("fsg", after(c, e))])
+            out = _in_blocks(pl, rows, window, ("#v",), parts, linear, fold, start, "#c")
+            f, s, g = after(F.col("#c"), {o: F.col(o) for o in parts})
+            return out.withColumns({outs[0]: f - s, outs[1]: g, outs[2]: f - s - g}).drop("#c", "#v", *parts)
 
         return pl.then(step)
 
@@ -259,30 +376,33 @@ def apply_arma(models: Pipeline, x: str, column: str = "model", key=None, tolera
 
         def step(df, _):
             fresh(df, *outs)
-            rows = df.withColumn("_v", F.col(x).cast("double")).withColumn("_m", F.to_json("#model")).drop("#model")
+            rows = df.withColumns({"#v": F.col(x).cast("double"), "#m": F.to_json("#model")}).drop("#model")
 
             def make():
-                import json
+                known: dict[str, A.Filter | None] = {}  # a model's system is built once
 
-                known: dict[str, dict] = {}
+                def filter_of(text):
+                    if text not in known:
+                        model = json.loads(text)
+                        known[text] = A.Filter(model, horizon) if model.get("status") == "ok" else None
+                    return known[text]
 
                 def run(part, state):
-                    table = np.full((len(part), len(outs)), np.nan)
+                    table = np.full((len(outs), len(part["#v"])), np.nan)
                     ident, inner = state or (None, None)
-                    for i, (v, m) in enumerate(zip(part["_v"].to_numpy(float), part["_m"])):
-                        model = known.setdefault(m, json.loads(m)) if isinstance(m, str) else None
-                        if not model or model.get("status") != "ok":
+                    for i, (v, m) in enumerate(zip(part["#v"].tolist(), part["#m"])):
+                        own = filter_of(m) if m is not None else None
+                        if own is None:
                             ident, inner = None, None
                             continue
-                        if model["model_id"] != ident:
-                            ident, inner = model["model_id"], None
-                        o, ahead, inner = A.apply(model, np.array([v]), inner, horizon)
-                        table[i] = np.r_[o[0], ahead[0]]
-                    return {n: np.where(np.isnan(table[:, j]), None, table[:, j]) for j, n in enumerate(outs)}, (ident, inner)
+                        if own.model_id != ident:
+                            ident, inner = own.model_id, None
+                        table[:, i], inner = own.step(v, inner)
+                    return dict(zip(outs, table)), (ident, inner)
 
                 return run
 
-            return _streamed(pl, rows, names(key), [T.StructField(o, T.DoubleType()) for o in outs], make).drop("_v", "_m")
+            return _streamed(rows, names(key), pl.sort(), ("#v", "#m"), outs, make).drop("#v", "#m")
 
         return joined.then(step)
 
@@ -295,11 +415,7 @@ def arma(clock: Pipeline, lookback: Any, x: str, order=(1, 0, 0), seasonal_order
 
     def build(pl: Pipeline) -> Pipeline:
         def plan(span):
-            df = pl.plan(span.widen(before=lookback))
-            ticks = clock.plan(span).select(F.col(TIME).alias("_tick")).distinct()
-            kind = dict(df.dtypes)[TIME]
-            back = F.col("_tick") - F.lit(lookback) if kind != "date" else F.date_sub("_tick", width(lookback, kind))
-            rows = df.join(ticks, (F.col(TIME) >= back) & (F.col(TIME) < F.col("_tick")))
+            rows = windowed(pl.plan(span.widen(before=lookback)), clock, span, lookback)
             out = _fit_rows(pl, rows, x, ("_tick", *names(key)), "model", spec, None)
             return out.withColumnRenamed("_tick", TIME)
 
@@ -455,9 +571,7 @@ def add_predictions(clock: Pipeline, lookback: Any, model: Any, predictors: list
 
     def build(pl: Pipeline) -> Pipeline:
         def plan(span):
-            df = pl.plan(span.widen(before=lookback))
-            ticks = clock.plan(span).select(F.col(TIME).alias("_tick")).distinct()
-            rows = df.join(ticks, (F.col(TIME) >= F.col("_tick") - F.lit(lookback)) & (F.col(TIME) < F.col("_tick")))
+            rows = windowed(pl.plan(span.widen(before=lookback)), clock, span, lookback)
             made = fit_model(model, predictors, response, key=("_tick", *names(key)))
             return (Pipeline(lambda _: rows) | made).plan(span).drop(TIME).withColumnRenamed("_tick", TIME)
 

@@ -55,6 +55,13 @@ class Pipeline:
         return F.struct(TIME, *self.order)
 
 
+def like(plan: Callable[[Span], DataFrame], p: Pipeline) -> Callable[[Span], DataFrame]:
+    """``plan``, marked as ``p``'s is: for wrappers that change no row."""
+    if hasattr(p.plan, "every"):
+        plan.every = p.plan.every
+    return plan
+
+
 def names(value: str | list[str] | tuple[str, ...] | None) -> tuple[str, ...]:
     return () if value is None else (value,) if isinstance(value, str) else tuple(value)
 

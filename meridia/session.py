@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from meridia import sources as src
 from meridia.functions import diagnostics as D
 from meridia.graph import Env, Graph, NodeError
-from meridia.pipeline import TIME, Pipeline
+from meridia.pipeline import TIME, Pipeline, like
 from meridia.span import Span
 
 FORMAT, VERSION = "causal-graph-session", 1
@@ -212,7 +212,7 @@ class Session:
                         return self._kept[key].df
                 return p.plan(span)
 
-            return Pipeline(plan, order=p.order, acausal=p.acausal)
+            return Pipeline(like(plan, p), order=p.order, acausal=p.acausal)
 
         with self._lock:
             return self.graph.compile(self._env(), node, output, wrap)

@@ -42,6 +42,7 @@ def clock(spark: SparkSession, interval: Any) -> Pipeline:
             at = (F.lit(span.start) + F.col("id") * F.lit(step)).cast(kind)
         return ticks.select(at.alias(TIME))
 
+    plan.every = interval  # goes with any change to the clock
     return Pipeline(plan)
 
 
