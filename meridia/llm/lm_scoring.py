@@ -1,8 +1,9 @@
 """Stupid-backoff language-model scores, computed relationally.
 
-Every text is scored by the model of all other texts: c is a count over the corpus less the text's own.
+Every text is scored by the pairs and trigrams of all other texts: c(u v w) and c(u v) count the corpus less the text's own;
+c(w) counts words over the whole corpus, N of them.
 S(w | u v) = c(u v w) / c(u v) if c(u v w) >= ``least``, else ``alpha`` S(w | v); S(w | v) = c(v w) / c(v) if
-c(v w) >= ``least``, else ``alpha`` S(w); S(w) = max(1, c(w)) / N with N all words.  A text's first word has S(w), its second
+c(v w) >= ``least``, else ``alpha`` S(w); S(w) = c(w) / N.  A text's first word has S(w), its second
 S(w | v); its score is the sum of log S.
 
 Relations and their partitioning:
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meridia.llm import textkit
-from meridia.llm.support import materialize
+from meridia.llm.support import materialize, release
 
 U64 = np.uint64
 ROW = "bucket int, kind int, blob binary"
@@ -181,8 +182,8 @@ class _Gatherer:
         self.held.append((docs, *(np.bincount(at, x, len(docs)) for x in (value, backed, single))))
         self.size += len(docs)
 
-    def wait(self, word, doc, weight, own) -> None:
-        self.waits.append((word, doc, weight.astype(np.float32), own.astype(np.uint32)))
+    def wait(self, word, doc, weight) -> None:
+        self.waits.append((word, doc, weight.astype(np.float32)))
         self.size += len(word)
 
     def miss(self, *columns) -> None:
@@ -194,8 +195,8 @@ class _Gatherer:
             return
         lot = _partials(*map(np.concatenate, zip(*self.held)), self.parts) if self.held else []
         if self.waits:
-            w, d, x, own = map(np.concatenate, zip(*self.waits))
-            lot += [(b, _COUNTED, pack(w[p], np.diff(d[p], prepend=0), x[p], own[p])) for b, p in _split((w % U64(self.parts)).astype(np.int64))]
+            w, d, x = map(np.concatenate, zip(*self.waits))
+            lot += [(b, _COUNTED, pack(w[p], np.diff(d[p], prepend=0), x[p])) for b, p in _split((w % U64(self.parts)).astype(np.int64))]
         if self.misses:
             columns = list(map(np.concatenate, zip(*self.misses)))
             after = (_pair(columns[2], columns[3]) % U64(self.buckets)).astype(np.int64)
@@ -275,7 +276,7 @@ class StupidBackoff:
                 head = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if n else np.zeros(0, np.int64)
                 base = np.zeros(len(ids))
                 near = head[code[head] != _RARE]
-                base[row[near]] = np.log(np.maximum(1, top.counts[code[near]] - own_word[near]) / total) if len(near) else 0.0
+                base[row[near]] = np.log(top.counts[code[near]] / total) if len(near) else 0.0
                 scored = np.flatnonzero(known)
                 for b, p in _split(ids[scored] % parts):
                     p = scored[p]
@@ -283,7 +284,7 @@ class StupidBackoff:
                 late = head[(code[head] == _RARE) & known[row[head]]]
                 for b, p in _split((h[late] % U64(parts)).astype(np.int64)):
                     p = late[p]
-                    lot.append((b, _FIRST, pack(h[p], np.diff(ids[row[p]], prepend=0), np.ones(len(p), np.float32), own_word[p])))
+                    lot.append((b, _FIRST, pack(h[p], np.diff(ids[row[p]], prepend=0), np.ones(len(p), np.float32))))
                 # Every pair starts one gram: with the word after it, or with the end of its text.
                 at = np.flatnonzero(row[:-1] == row[1:]) if n else np.zeros(0, np.int64)
                 pair, r, third = _pair(h[at], h[at + 1]), row[at], np.minimum(at + 2, n - 1)
@@ -295,18 +296,17 @@ class StupidBackoff:
                 own_after = np.where(more, own_pair[after], 0)
                 gram = textkit.mix(pair * _MUL + np.where(more, h[third], U64(0)), 5) + more.astype(U64)
                 times, first = _own(gram, r, (own_pair > 1) & (~more | (own_after > 1)))
-                own_last = np.where(more, own_word[third], 0)
                 place = (pair % U64(buckets)).astype(np.int64)
                 first = np.flatnonzero(first)
                 for b, p in _split(place[first]):
                     p = first[p]
                     i = at[p]
-                    lot.append((b, _GRAMS, self._packed(ids, known, r[p], h, [code[i], code[i + 1], last[p]], [i, i + 1, third[p]], [times[p], own_pair[p], own_after[p], own_word[i + 1], own_last[p]])))
+                    lot.append((b, _GRAMS, self._packed(ids, known, r[p], h, [code[i], code[i + 1], last[p]], [i, i + 1, third[p]], [times[p], own_pair[p], own_after[p]])))
                 start = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]) & known[r]) if len(at) else np.zeros(0, np.int64)
                 for b, p in _split(place[start]):
                     p = start[p]
                     i = at[p]
-                    lot.append((b, _SECOND, _missed(code[i], code[i + 1], h[i], h[i + 1], ids[r[p]], np.ones(len(p), np.uint32), own_pair[p], own_word[i], own_word[i + 1])))
+                    lot.append((b, _SECOND, _missed(code[i], code[i + 1], h[i], h[i + 1], ids[r[p]], np.ones(len(p), np.uint32), own_pair[p])))
                 for k in range(0, len(lot), 2000):
                     yield _rows(lot[k : k + 2000])
 
@@ -325,7 +325,7 @@ class StupidBackoff:
         ids, known, local, *rest = unpack(blob)
         ids, local = np.cumsum(ids), np.cumsum(local.astype(np.int64))
         codes = [_decoded(rest[j : j + 3]) for j in (0, 3, 6)]
-        own, rare = rest[9:14], rest[14:]
+        own, rare = rest[9:12], rest[12:]
         u, v, w = (top.hash(c, x) for c, x in zip(codes, rare))
         pair, more = _pair(u, v), codes[2] != _END
         w[~more] = 0
@@ -369,7 +369,7 @@ class StupidBackoff:
                         often = sums > self.least
                         yield _rows([(group.column("bucket")[0].as_py(), _TABLE, pack(keys[often], sums[often]))])
                         continue
-                    (doc, known, _, _, more, (cv, cw), (v, w), (times, own_uv, own_vw, own_v, own_w)), c_uvw, c_uv = found
+                    (doc, known, _, _, more, (cv, cw), (v, w), (times, own_uv, own_vw)), c_uvw, c_uv = found
                     others, asked = c_uvw - times, more & known
                     hit = asked & (others >= self.least) & drop
                     miss, hit = np.flatnonzero(asked & ~hit), np.flatnonzero(hit)
@@ -378,7 +378,7 @@ class StupidBackoff:
                         np.r_[doc[hit], doc[miss]], np.r_[value, times[miss] * (np.log(self.alpha) * drop)],
                         np.r_[np.zeros(len(hit)), times[miss] * float(drop)], np.zeros(len(hit) + len(miss)),
                     )
-                    out.miss(cv[miss], cw[miss], v[miss], w[miss], doc[miss], times[miss], own_vw[miss], own_v[miss], own_w[miss])
+                    out.miss(cv[miss], cw[miss], v[miss], w[miss], doc[miss], times[miss], own_vw[miss])
                     yield from out.leave(2_000_000)
             yield from out.leave()
 
@@ -404,18 +404,18 @@ class StupidBackoff:
                     table.keys, table.sums = unpack(group.column("blob")[0].as_buffer())
                     continue
                 for x in group.column("blob"):
-                    pair, cv, cw, v, w, doc, times, own_vw, own_v, own_w = _unmissed(x.as_buffer(), top)
+                    pair, cv, cw, v, w, doc, times, own_vw = _unmissed(x.as_buffer(), top)
                     others = table.of(pair) - own_vw.astype(np.int64)
                     hit = others >= self.least
                     value = np.where(hit, np.log(np.maximum(1, others)), np.log(self.alpha) - np.log(total)) * times
-                    look, word, own = np.where(hit, cv, cw), np.where(hit, v, w), np.where(hit, own_v, own_w).astype(np.int64)
+                    look, word = np.where(hit, cv, cw), np.where(hit, v, w)
                     sign = np.where(hit, -1.0, 1.0) * times
                     near = look != _RARE
-                    value[near] += sign[near] * np.log(np.maximum(1, top.counts[look[near]] - own[near])) if near.any() else 0.0
+                    value[near] += sign[near] * np.log(top.counts[look[near]]) if near.any() else 0.0
                     # A miss of the longer gram is counted already; a second word's is counted here.
                     out.add(doc, value, (~hit * times) if kind == _SECOND or self.order == 2 else np.zeros(len(doc)), ~hit * times)
                     far = np.flatnonzero(~near)
-                    out.wait(word[far], doc[far], sign[far], own[far])
+                    out.wait(word[far], doc[far], sign[far])
                     yield from out.leave(2_000_000)
             yield from out.leave()
 
@@ -436,8 +436,8 @@ class StupidBackoff:
                     table.keys, table.sums = unpack(group.column("blob")[0].as_buffer())
                     continue
                 for x in group.column("blob"):
-                    word, doc, weight, own = unpack(x.as_buffer())
-                    value = weight * np.log(np.maximum(1, table.of(word) - own.astype(np.int64)))
+                    word, doc, weight = unpack(x.as_buffer())
+                    value = weight * np.log(table.of(word))
                     if kind == _FIRST:
                         value = value - np.log(total)
                     out.add(np.cumsum(doc), value, np.zeros(len(doc)), np.zeros(len(doc)))
@@ -476,10 +476,12 @@ class StupidBackoff:
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         deal = lambda df, *by: df.repartition("bucket").sortWithinPartitions(*by)
         words = materialize(deal(texts.mapInArrow(self._words(parts), ROW), "bucket").mapInArrow(self._count, ROW))
+        release(spark)
         n = int(words.mapInArrow(_totals, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
         total, buckets = float(n) or 1.0, max(4 * parts, -(-n // self.gram_rows))
         top = self._top(words)
         met = materialize(deal(texts.mapInArrow(self._grams(buckets, parts, top, total), ROW), "bucket", "kind").mapInArrow(self._meet(buckets, parts, top), ROW))
+        release(spark)  # the grams have been read for the last time
         of = lambda df, *kinds: df.where(F.col("kind").isin(*kinds))
         second = materialize(deal(of(met, _TABLE, _MISS, _SECOND), "bucket", "kind").mapInArrow(self._second(parts, top, total), ROW))
         late = deal(words.union(of(met, _COUNTED, _FIRST)).union(of(second, _COUNTED)), "bucket", "kind").mapInArrow(self._late(parts, total), ROW)
@@ -496,8 +498,8 @@ def _missed(cv, cw, v, w, doc, times, *own) -> bytes:
 def _unmissed(blob, top: _Top):
     doc, *rest = unpack(blob)
     cv, cw = _decoded(rest[:3]), _decoded(rest[3:6])
-    times, *own = rest[6:10]
-    v, w = top.hash(cv, rest[10]), top.hash(cw, rest[11])
+    times, *own = rest[6:8]
+    v, w = top.hash(cv, rest[8]), top.hash(cw, rest[9])
     return _pair(v, w), cv, cw, v, w, np.cumsum(doc), times.astype(np.float64), *own
 
 

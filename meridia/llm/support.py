@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -61,6 +62,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of results that nothing refers to any more, before the next large step."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only when the counted rows stay within ``limit``; else leave Catalyst to shuffle."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -29,7 +29,7 @@ def brute(rows, order=3, alpha=0.4, least=1):
         c = lambda *g: every[len(g) - 1][g] - own[len(g) - 1][g]
         score, back, single = 0.0, 0, 0
         for k, w in enumerate(v):
-            word = max(1, c(w)) / total
+            word = every[0][w,] / total
             if k == 0:
                 score += math.log(word)
                 continue
@@ -40,7 +40,7 @@ def brute(rows, order=3, alpha=0.4, least=1):
             drop = k > 1 and order == 3
             back += drop or pair < least
             single += pair < least
-            score += math.log(alpha) * (drop + (pair < least)) + math.log(word if pair < least else pair / c(v[k - 1]))
+            score += math.log(alpha) * (drop + (pair < least)) + math.log(word if pair < least else pair / every[0][v[k - 1],])
         had = out.get(i, (0, 0, 0, 0.0))
         out[i] = tuple(a + b for a, b in zip(had, (len(v), back, single, score)))
     return out
