@@ -10,6 +10,7 @@ MODEL_SCHEMA = (
     "order array<int>, seasonal_order array<int>, include_mean boolean, names array<string>, coefs array<double>, "
     "loglik double, aic double, aicc double, bic double, nobs int, status string, message string, model_id string"
 )
+FIELDS = [f.split()[0] for f in MODEL_SCHEMA.split(", ")]
 DIFFUSE = 1e6
 
 
@@ -82,7 +83,7 @@ def system(order, seasonal, mean, coefs):
         T[0, :] = Z
         T[1:k, : k - 1] = np.eye(k - 1)
     P1 = np.zeros((n, n))
-    P1[:k, :k] = DIFFUSE * np.eye(k)
+    P1[:k, :k] = DIFFUSE * var * np.eye(k)
     P1[k:, k:] = x
     return Z, T, R, mu, 0.0, np.zeros(n), P1
 
@@ -92,7 +93,7 @@ def kalman(y: np.ndarray, Z, T, RQR, d, H, a, P):
 
     A NaN is a gap: fitted is given, residuals are NaN, the state only moves on.
     """
-    n = len(y)
+    n, limit = len(y), DIFFUSE / 100 * (Z @ RQR @ Z)  # a variance beyond it is still that of an unknown start
     fitted, resid, std = np.empty(n), np.full(n, np.nan), np.full(n, np.nan)
     like, used, eye = 0.0, 0, np.eye(len(Z))
     for t in range(n):
@@ -106,7 +107,7 @@ def kalman(y: np.ndarray, Z, T, RQR, d, H, a, P):
             i = eye - np.outer(K, Z)
             P = i @ P @ i.T + H * np.outer(K, K)
             resid[t], std[t] = v, v / math.sqrt(f)
-            if f < DIFFUSE / 100:
+            if f < limit:
                 like -= 0.5 * (math.log(2 * math.pi * f) + v * v / f)
             used += 1
         a = T @ a

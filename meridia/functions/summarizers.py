@@ -7,15 +7,20 @@ takes the window, the group form the rank struct that orders rows.
 
 from __future__ import annotations
 
+import hashlib
 import math
+import pickle
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import Any
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
+from meridia.functions import arma as A
 from meridia.span import number, width
 
 
@@ -33,6 +38,7 @@ class Summarizer:
     columns: tuple[str, ...]
     outputs: tuple[Output, ...]
     finish: tuple = field(default=(), compare=False)  # (name, Column) computed after the aggregation; inputs are dropped
+    params: dict = field(default_factory=dict, compare=False)
 
 
 def _plain(label: str, columns: tuple[str, ...], name: str, make: Callable[[], Column], empty=None) -> Summarizer:
@@ -162,16 +168,18 @@ def LinearRegression(*predictors: str, response: str, intercept: bool = True, na
 
 
 def Lags(x: str, p: int, name: str | None = None) -> Summarizer:
-    """Values 1..p rows back; under a group, those behind its last row."""
+    """Values 1..p rows behind the last row of a group or window.  ``summarize`` cuts every group to its last ``p + 1`` rows
+    before they are gathered."""
     if p < 1:
         raise ValueError("p must be 1 or more")
     label = name or f"{x}_lag"
 
     def back(i: int) -> Output:
+        value = F.struct(F.col(x).alias("v"))
         listed = lambda r: F.try_element_at(F.reverse(F.array_sort(F.collect_list(F.struct(r.alias("r"), F.col(x).alias("v"))))), F.lit(i + 1))
-        return Output(f"{label}_{i}", lambda r: listed(r)["v"], lambda w: F.nth_value(x, 1).over(w))
+        return Output(f"{label}_{i}", lambda r: listed(r)["v"], lambda w: F.try_element_at(F.collect_list(value).over(w), F.lit(-i - 1))["v"])
 
-    return Summarizer("Lags", (x,), tuple(back(i) for i in range(1, p + 1)))
+    return Summarizer("Lags", (x,), tuple(back(i) for i in range(1, p + 1)), params={"p": p})
 
 
 def ema_label(x: str, span=None, halflife=None) -> str:
@@ -191,25 +199,72 @@ def ema_label(x: str, span=None, halflife=None) -> str:
 
 
 def EMA(x: str, span=None, halflife=None, name: str | None = None, kind: str = "timestamp_ntz") -> Summarizer:
-    """Exponential average of a group's rows, folded in order; the window form is the operator ``ema``."""
+    """Exponential average of a group's or a window's rows, folded in order.  Running averages go through the operator
+    ``ema``, which doesn't fold anew at every row."""
     label = name or ema_label(x, span, halflife)
+    at = number(F.col("time"), kind).cast("double") if halflife is not None else F.lit(0.0)
 
-    def group(r: Column) -> Column:
-        at = number(F.col("time"), kind).cast("double")
-        rows = F.array_sort(F.collect_list(F.struct(r.alias("r"), at.alias("t"), F.col(x).cast("double").alias("v"))))
-        rows = F.filter(rows, lambda s: s["v"].isNotNull())
+    def fold(rows: Column) -> Column:
         start = F.struct(F.lit(None).cast("double").alias("t"), F.lit(None).cast("double").alias("v"))
 
         def step(s: Column, e: Column) -> Column:
             alpha = F.lit(2.0 / (span + 1)) if span is not None else 1 - F.exp(F.lit(-math.log(2)) * (e["t"] - s["t"]) / F.lit(float(width(halflife, kind))))
             return F.struct(e["t"].alias("t"), F.when(s["v"].isNull(), e["v"]).otherwise(s["v"] + alpha * (e["v"] - s["v"])).alias("v"))
 
-        return F.aggregate(rows, start, step)["v"]
+        return F.aggregate(F.filter(rows, lambda s: s["v"].isNotNull()), start, step)["v"]
 
-    def over(_):
-        raise NotImplementedError("use the operator ema for running averages")
+    value = F.col(x).cast("double").alias("v")
+    group = lambda r: fold(F.array_sort(F.collect_list(F.struct(r.alias("r"), at.alias("t"), value))))
+    over = lambda w: fold(F.collect_list(F.struct(at.alias("t"), value)).over(w))
+    return Summarizer("EMA", (x,), (Output(label, group, over),), params={"span": span, "halflife": halflife, "name": label})
 
-    return Summarizer("EMA", (x,), (Output(label, group, over),))
 
+def FitModel(model: Any, predictors: list[str] | str, response: str, name: str = "model") -> Summarizer:
+    """A model with ``fit(X, y)`` on the complete rows of a group or window, as one binary cell; null without one.
 
-REGISTRY = {f.__name__: f for f in (Count, CountDistinct, Sum, Product, Mean, Min, Max, First, Last, SumPower, Moment, Variance, Std, DotProduct, Correlation, Covariance, LinearRegression, Lags, EMA)}
+    The rows of one fit are gathered into one cell: a fit needs them together.
+    """
+    if not hasattr(model, "fit") or not hasattr(model, "predict"):
+        raise TypeError("a model has fit and predict")
+    xs, blob = [predictors] if isinstance(predictors, str) else list(predictors), cloudpickle.dumps(model)
+    raw = f"#rows_{name}"
+
+    @F.pandas_udf("binary")
+    def fitted(rows: pd.Series) -> pd.Series:
+        out = []
+        for group in rows:
+            got = np.array([[math.nan if v is None else v for v in r["v"]] for r in (group if group is not None else ())], float).reshape(-1, len(xs) + 1)
+            got = got[~np.isnan(got).any(axis=1)]
+            if len(got):
+                m = pickle.loads(blob)
+                m.fit(got[:, :-1], got[:, -1])
+            out.append(cloudpickle.dumps(m) if len(got) else None)
+        return pd.Series(out, dtype=object)
+
+    values = F.array(*[F.col(c).cast("double") for c in (*xs, response)]).alias("v")
+    one = Output(raw, lambda r: F.array_sort(F.collect_list(F.struct(r.alias("r"), values))), lambda w: F.collect_list(F.struct(values)).over(w))
+    bare = F.transform(F.col(raw), lambda s: F.struct(s["v"].alias("v")))
+    return Summarizer("FitModel", (*xs, response), (one,), ((name, fitted(bare)),))
+
+
+def FitARMA(x: str, order=(1, 0, 0), seasonal_order=(0, 0, 0, 0), include_mean: bool = False, name: str = "model") -> Summarizer:
+    """A fitted ARMA model of a group's or a window's rows in order, as the operator ``fit_arma`` gives it; missing values are
+    gaps, and a failed fit says so in its status.  The rows of one fit are gathered into one cell."""
+    A.check(order, seasonal_order)
+    raw = f"#series_{name}"
+
+    @F.pandas_udf(A.MODEL_SCHEMA)
+    def fitted(rows: pd.Series) -> pd.DataFrame:
+        out = []
+        for group in rows:
+            y = np.array([math.nan if v is None else v for v in (group if group is not None else ())], float)
+            ident = hashlib.sha256(repr((tuple(order), tuple(seasonal_order), include_mean, x)).encode() + y.tobytes()).hexdigest()[:16]
+            out.append(A.fit(y, tuple(order), tuple(seasonal_order), include_mean, model_id=ident))
+        return pd.DataFrame(out, columns=A.FIELDS)
+
+    value = F.col(x).cast("double").alias("v")
+    one = Output(raw, lambda r: F.array_sort(F.collect_list(F.struct(r.alias("r"), value))), lambda w: F.collect_list(F.struct(value)).over(w))
+    return Summarizer("FitARMA", (x,), (one,), ((name, fitted(F.transform(F.col(raw), lambda s: s["v"]))),))
+
+
+REGISTRY = {f.__name__: f for f in (Count, CountDistinct, Sum, Product, Mean, Min, Max, First, Last, SumPower, Moment, Variance, Std, DotProduct, Correlation, Covariance, LinearRegression, Lags, EMA, FitModel, FitARMA)}

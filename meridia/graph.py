@@ -126,9 +126,9 @@ class Param:
         if self.kind == "offsets":
             return {k: timedelta(**x) if isinstance(x, dict) else x for k, x in v.items()}
         if self.kind == "summarizers":
-            return [_summarizer(e) for e in v]
+            return [_summarizer(e, env) for e in v]
         if self.kind == "summarizer":
-            return _summarizer(v)
+            return _summarizer(v, env)
         return _plainly(self.kind, v)
 
     def code(self, v: Any) -> str:
@@ -165,15 +165,19 @@ def _summarizer_parts(e: dict) -> tuple[list, dict]:
     return ([columns] if isinstance(columns, str) else list(columns)), {k: timedelta(**v) if isinstance(v, dict) else v for k, v in e.get("options", {}).items()}
 
 
-def _summarizer(e: dict) -> S.Summarizer:
+def _summarizer(e: dict, env: Env) -> S.Summarizer:
     columns, options = _summarizer_parts(e)
+    if "model" in options:  # a model object of the session
+        if options["model"] not in env.models:
+            raise ParameterError(f"the session has no model {options['model']!r}")
+        options["model"] = env.models[options["model"]]
     return S.REGISTRY[e["summarizer"]](*columns, **options)
 
 
 def _summarizer_code(e: dict) -> str:
     columns = e.get("columns", [])
     args = [repr(c) for c in ([columns] if isinstance(columns, str) else columns)]
-    return f"S.{e['summarizer']}({', '.join(args + [f'{k}={_offset_code(v)}' for k, v in e.get('options', {}).items()])})"
+    return f"S.{e['summarizer']}({', '.join(args + [f'{k}=' + (f'MODELS[{v!r}]' if k == 'model' else _offset_code(v) if k == 'halflife' else repr(v)) for k, v in e.get('options', {}).items()])})"
 
 
 @dataclass(frozen=True)
@@ -331,7 +335,7 @@ _kind("fitarma", "timeseries", timeseries.fit_arma, {"column": _p("string", NEED
 _kind("applyarma", "timeseries", timeseries.apply_arma, {"column": _p("string", NEED), "modelcolumn": _p("string", "model"), "key": KEY, "tolerance": _p("offset"), "strict": _p("boolean", False), "horizon": _p("integer", 0), "name": _p("string")}, ("models", "column"), (IN, Port("models")), renamed={"modelcolumn": "column"})
 _kind("arma", "timeseries", timeseries.arma, {"lookback": _p("offset", NEED), "column": _p("string", NEED), **_ORDERS, "key": KEY, "horizon": _p("integer", 0), "name": _p("string")}, ("clock", "lookback", "column"), (Port("clock"), IN))
 _kind("fitonce", "model", timeseries.fit_once, {"context": _p("context", NEED), "summarizer": _p("summarizer", NEED), "key": KEY}, ("context", "summarizer"))
-_kind("fit", "model", timeseries.fit, {"family": _p("string", NEED, "arma", "ar", "model"), "column": _p("string"), **_ORDERS, "p": _p("integer"), "model": _p("model"), "predictors": _p("names"), "response": _p("string"), "fitcontext": _p("context"), "key": KEY}, ("family",), renamed={"fitcontext": "fit_context"}, outputs=("model", "insample"), acausal=("insample",))
+_kind("fit", "model", timeseries.fit, {"family": _p("string", NEED), "column": _p("string"), **_ORDERS, "p": _p("integer"), "model": _p("model"), "predictors": _p("names"), "response": _p("string"), "fitcontext": _p("context"), "key": KEY}, ("family",), renamed={"fitcontext": "fit_context"}, outputs=("model", "insample"), acausal=("insample",))
 _kind("applymodels", "model", timeseries.apply_models, {"predictors": _p("names", NEED), "column": _p("string", "model"), "key": KEY, "tolerance": _p("offset"), "strict": _p("boolean", False), "name": _p("string", "prediction"), "operation": _OPERATION}, ("models", "predictors"), (IN, Port("models")))
 _kind("addpredictions", "model", timeseries.add_predictions, {"lookback": _p("offset", NEED), "model": _p("model", NEED), "predictors": _p("names", NEED), "response": _p("string", NEED), "key": KEY, "name": _p("string", "prediction"), "operation": _OPERATION}, ("clock", "lookback", "model", "predictors", "response"), (Port("clock"), IN))
 _kind("modelreports", "model", timeseries.model_reports, {"column": _p("string", "model"), "name": _p("string", "report")})

@@ -32,6 +32,16 @@ def _emptied(df: DataFrame, ss: list[Summarizer]) -> DataFrame:
     return df.withColumns({o.name: F.coalesce(F.col(o.name), F.lit(o.empty)) for s in ss for o in s.outputs if o.empty is not None})
 
 
+def _last_rows(df: DataFrame, p: Pipeline, key: tuple[str, ...], n: int, parts: int = 64) -> DataFrame:
+    """The last ``n`` rows of each key: of parts of it first, so that a key with very many rows isn't one task's."""
+    part = F.pmod(F.xxhash64(TIME, *[o.lstrip("-") for o in p.order]), F.lit(parts))
+    for by in ((*key, "#part"), key):
+        at = F.row_number().over(Window.partitionBy(*by).orderBy(*p.sort(descending=True)))
+        df = df.withColumn("#part", part) if "#part" in by else df
+        df = df.withColumn("#at", at).where(F.col("#at") <= n).drop("#at")
+    return df.drop("#part")
+
+
 def declared(keyset: DataFrame, key: tuple[str, ...]) -> DataFrame:
     """Declared keys, each once: a given table, broadcast by Catalyst's own size estimate."""
     return keyset.select(*key).distinct()
@@ -43,6 +53,9 @@ def summarize(*ss: Summarizer, key=None) -> Step:
     def build(p: Pipeline) -> Pipeline:
         def step(df, span):
             kind = dict(df.dtypes)[TIME]
+            deep = [s.params["p"] + 1 for s in ss if s.label == "Lags"]
+            if deep and len(deep) == len(ss):
+                df = _last_rows(df, p, names(key), max(deep))
             out = df.groupBy(*names(key)).agg(*_groups(ss, p.rank()))
             return _finished(out, ss).select(literal(span.stop).cast(kind).alias(TIME), "*")
 
@@ -71,6 +84,16 @@ def add_summary_columns(*ss: Summarizer, key=None) -> Step:
     """Running summaries, the current row included.  Without key, those that merge run in blocks of time."""
 
     def build(p: Pipeline) -> Pipeline:
+        averages = [s for s in ss if s.label == "EMA"]
+        if averages:  # the operator streams; a window would fold its rows anew at every row
+            from meridia.operators.timeseries import ema
+
+            rest = [s for s in ss if s.label != "EMA"]
+            out = p | add_summary_columns(*rest, key=key) if rest else p
+            for s in averages:
+                out = out | ema(s.columns[0], key=key, **s.params)
+            return out
+
         def step(df, span):
             if not names(key) and blocks.mergeable(list(ss), p):
                 fresh(df, *[o.name for s in ss for o in s.outputs])

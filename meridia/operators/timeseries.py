@@ -488,25 +488,71 @@ def insample_arma(x: str, order=(1, 0, 0), seasonal_order=(0, 0, 0, 0), include_
     return build
 
 
+#: name -> f(column, key, fit_context, **params) giving the steps ``model`` (causal) and ``insample`` (looks ahead).
+FAMILIES: dict[str, Callable[..., dict[str, Step]]] = {}
+
+
+def family(name: str) -> Callable:
+    """Register a family of fits of one's own."""
+
+    def add(make: Callable[..., dict[str, Step]]):
+        if name in FAMILIES:
+            raise ValueError(f"the family {name} exists")
+        FAMILIES[name] = make
+        return make
+
+    return add
+
+
 def fit(family: str, column: str | None = None, key=None, fit_context: Span | None = None, **params: Any) -> dict[str, Step]:
     """Two outputs: ``model`` (causal) and ``insample`` (looks ahead)."""
-    if family == "arma":
-        spec = {k: params[k] for k in ("order", "seasonal_order", "include_mean") if k in params}
-        made = fit_arma(column, key=key, **spec)
-        return {"model": fit_once(fit_context, made) if fit_context else made, "insample": insample_arma(column, fit_context=fit_context, key=key, **spec)}
-    if family == "ar":
-        p = params["p"]
-        cols = [f"{column}_lag_{i}" for i in range(1, p + 1)]
-        s = LinearRegression(*cols, response=column, name="ar")
-        own = insample(s, fit_context, key, name="ar")
-        shown = lambda pl: pl | lags(column, p, key) | own | (lambda q: q.then(lambda df, _: df.drop(*cols)))
-        made = ar(column, p, key)
-        return {"model": fit_once(fit_context, made) if fit_context else made, "insample": shown}
-    if family == "model":
-        args = (params["model"], params["predictors"], params["response"])
-        made = fit_model(*args, key=key)
-        return {"model": fit_once(fit_context, made) if fit_context else made, "insample": lambda pl: replace(pl | apply_models(_at_start(pl, made, fit_context), params["predictors"], key=key), acausal=True)}
-    raise ValueError("family is arma, ar or model")
+    if family not in FAMILIES:
+        raise ValueError(f"family is one of {', '.join(FAMILIES)}")
+    steps = FAMILIES[family](column, key, fit_context, **{k: v for k, v in params.items() if v is not None})
+    if fit_context is not None:
+        steps = steps | {"model": fit_once(fit_context, steps["model"])}
+    return steps
+
+
+@family("arma")
+def _arma_family(column, key, fit_context, order=(1, 0, 0), seasonal_order=(0, 0, 0, 0), include_mean=False, **_):
+    spec = {"order": order, "seasonal_order": seasonal_order, "include_mean": include_mean}
+    return {"model": fit_arma(column, key=key, **spec), "insample": insample_arma(column, fit_context=fit_context, key=key, **spec)}
+
+
+@family("ar")
+def _ar_family(column, key, fit_context, p, **_):
+    cols = [f"{column}_lag_{i}" for i in range(1, p + 1)]
+    own = insample(LinearRegression(*cols, response=column, name="ar"), fit_context, key, name="ar")
+    shown = lambda pl: pl | lags(column, p, key) | own | (lambda q: q.then(lambda df, _: df.drop(*cols)))
+    return {"model": ar(column, p, key), "insample": shown}
+
+
+@family("model")
+def _model_family(column, key, fit_context, model, predictors, response, **_):
+    made = fit_model(model, predictors, response, key=key)
+    return {"model": made, "insample": insample_model(model, predictors, response, fit_context, key)}
+
+
+def insample_model(model: Any, predictors: list[str], response: str, fit_context: Span | None = None, key=None, operation: str = "predict") -> Step:
+    """Fit over ``fit_context`` (or the window) and apply to every row: ``response_fitted`` and ``response_residual``; an
+    incomplete row has nulls, and predicted classes have no residual."""
+    made = fit_model(model, predictors, response, key=key)
+    fitted = f"{response}_fitted"
+
+    def build(pl: Pipeline) -> Pipeline:
+        applied = pl | apply_models(_at_start(pl, made, fit_context), predictors, key=key, name=fitted, operation=operation)
+
+        def step(df, _):
+            whole = F.col(predictors[0]).isNotNull()
+            for c in predictors[1:]:
+                whole = whole & F.col(c).isNotNull()
+            df = df.withColumn(fitted, F.when(whole, F.col(fitted)))
+            return df.withColumn(f"{response}_residual", F.col(response).cast("double") - F.col(fitted))
+
+        return replace(applied.then(step), acausal=True)
+
+    return build
 
 
 def _at_start(p: Pipeline, fitting: Step, fit_context: Span | None) -> Pipeline:

@@ -159,7 +159,9 @@ class Sink:
 
 
 def write_csv(path: str, **options: Any) -> Sink:
-    return Sink(path, "csv", header=True, **options)
+    """With times to the microsecond, as they are read."""
+    exact = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    return Sink(path, "csv", **({"header": True, "timestampNTZFormat": exact, "timestampFormat": exact + "XXX"} | options))
 
 
 def write_parquet(path: str, **options: Any) -> Sink:
