@@ -11,11 +11,9 @@ import pytest
 
 from meridia.llm import html_extract, quality
 from meridia.llm.minhash import NearDuplicates
-from meridia.llm.nn_descent import NNDescent
 from meridia.llm.piece_codec import PieceCodec, decoded, digest, encoded
 from meridia.llm.suffix_dedup import SuffixDedup
 from meridia.llm.token_counts import TokenCounts, spliced_count
-from meridia.llm.toxicity import toxicity
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, blob string"
@@ -194,33 +192,3 @@ def test_piece_codec_falls_back_to_merges():
     want = {w: [codec.ids[t] for t in codec.merges(w)] for w in words}
     codec.follows = dict.fromkeys([(p, t) for p in codec.ids for t in ("c", "ce", "cd", "bce")], False)
     assert {w: np.frombuffer(b, np.int32).tolist() for w, b in codec.encode_words(words).items()} == want
-
-
-def test_nearest_neighbours(spark):
-    rng = np.random.default_rng(3)
-    x = rng.standard_normal((600, 16)).astype(np.float32)
-    x[300:330] = x[0]  # copies: ties go to the smaller id
-    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] * 16), (1003, [])]
-    got = NNDescent(top=10)(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
-    y, hit, total = x.astype(float), 0, 0
-    by = collections.defaultdict(list)
-    for r in got:
-        by[r["query_id"]].append((r["rank"], r["vec_id"]))
-    for q in range(0, 600, 20):
-        s = y @ y[q]
-        s[q] = -np.inf
-        want = np.lexsort((np.arange(600), -s))[:10]
-        hit += len(set(want) & {v for _, v in by[q]})
-        total += 10
-    assert hit / total >= 0.9 and len(got) == total
-    assert NNDescent()(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
-
-
-def test_pipeline(spark, tmp_path):
-    import corpus_pipeline as cp
-
-    rows = corpus(8, 60)
-    spark.createDataFrame(rows, SCHEMA).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(r[0], 0, 0) for r in rows[:20]], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    out = cp.run(spark, str(tmp_path))
-    assert "piece_ids" in out.columns and out.count() > 0
