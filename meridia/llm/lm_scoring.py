@@ -36,7 +36,8 @@ U64 = np.uint64
 ROW = "bucket int, kind int, blob binary"
 _RARE, _END = 0xFFFFFF, 0xFFFFFE  # codes of a word that isn't frequent, and of a text's end
 _MUL = U64(0xFF51AFD7ED558CCD)
-_AT_ONCE = 24 << 20  # packed grams of a partition that are counted and scored in one go
+_AT_ONCE = 6 << 20  # packed grams of a partition that are counted and scored in one go
+_GATHERED = 600_000  # sums, waiting words and misses that a task holds before they leave
 # Kinds of rows: counts, grams, misses, second words, words that wait for their count, first words, sums, documents.
 _TABLE, _GRAMS, _MISS, _SECOND, _COUNTED, _FIRST, _SUMS, _WORDS = range(8)
 
@@ -204,6 +205,7 @@ class _Gatherer:
         self.held, self.waits, self.misses, self.size = [], [], [], 0
         for at in range(0, len(lot), 2000):
             yield _rows(lot[at : at + 2000])
+        textkit.trim()
 
 
 def _partials(doc, value, backed, single, buckets: int) -> list[tuple[int, int, bytes]]:
@@ -216,7 +218,7 @@ class StupidBackoff:
     """``order``: 3, or 2 for a model of pairs.  ``least``: how often the other texts hold a gram that is used.
     ``gram_rows``: grams of a partition, on average; ``slice_bytes``: text counted together before the shuffle."""
 
-    def __init__(self, order: int = 3, alpha: float = 0.4, least: int = 1, frequent: int = 500_000, gram_rows: int = 400_000, slice_bytes: int = 4 << 20):
+    def __init__(self, order: int = 3, alpha: float = 0.4, least: int = 1, frequent: int = 500_000, gram_rows: int = 300_000, slice_bytes: int = 2 << 20):
         if order not in (2, 3) or least < 1 or not 0 < alpha <= 1 or not 0 <= frequent < _END:
             raise ValueError("order is 2 or 3, least 1 or more, alpha in (0, 1], frequent under 16 million")
         self.order, self.alpha, self.least, self.frequent, self.gram_rows, self.slice_bytes = order, alpha, least, frequent, gram_rows, slice_bytes
@@ -379,7 +381,7 @@ class StupidBackoff:
                         np.r_[np.zeros(len(hit)), times[miss] * float(drop)], np.zeros(len(hit) + len(miss)),
                     )
                     out.miss(cv[miss], cw[miss], v[miss], w[miss], doc[miss], times[miss], own_vw[miss])
-                    yield from out.leave(2_000_000)
+                    yield from out.leave(_GATHERED)
             yield from out.leave()
 
         return batches
@@ -416,7 +418,7 @@ class StupidBackoff:
                     out.add(doc, value, (~hit * times) if kind == _SECOND or self.order == 2 else np.zeros(len(doc)), ~hit * times)
                     far = np.flatnonzero(~near)
                     out.wait(word[far], doc[far], sign[far])
-                    yield from out.leave(2_000_000)
+                    yield from out.leave(_GATHERED)
             yield from out.leave()
 
         return batches
@@ -441,7 +443,7 @@ class StupidBackoff:
                     if kind == _FIRST:
                         value = value - np.log(total)
                     out.add(np.cumsum(doc), value, np.zeros(len(doc)), np.zeros(len(doc)))
-                    yield from out.leave(2_000_000)
+                    yield from out.leave(_GATHERED)
             yield from out.leave()
 
         return batches
