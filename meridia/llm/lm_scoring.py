@@ -218,7 +218,7 @@ class StupidBackoff:
     """``order``: 3, or 2 for a model of pairs.  ``least``: how often the other texts hold a gram that is used.
     ``gram_rows``: grams of a partition, on average; ``slice_bytes``: text counted together before the shuffle."""
 
-    def __init__(self, order: int = 3, alpha: float = 0.4, least: int = 1, frequent: int = 500_000, gram_rows: int = 300_000, slice_bytes: int = 2 << 20):
+    def __init__(self, order: int = 3, alpha: float = 0.4, least: int = 1, frequent: int = 500_000, gram_rows: int = 300_000, slice_bytes: int = 4 << 20):
         if order not in (2, 3) or least < 1 or not 0 < alpha <= 1 or not 0 <= frequent < _END:
             raise ValueError("order is 2 or 3, least 1 or more, alpha in (0, 1], frequent under 16 million")
         self.order, self.alpha, self.least, self.frequent, self.gram_rows, self.slice_bytes = order, alpha, least, frequent, gram_rows, slice_bytes
@@ -234,14 +234,16 @@ class StupidBackoff:
                 for a, b, buf, offs in textkit.chunks(column.slice(lo, hi - lo)):
                     starts, ends, first = textkit.words(buf, offs)
                     hashes.append(textkit.span_hash(textkit.prefix_sums(buf), starts, ends))
-                    rows.append(textkit.row_of(first) + a)
+                    rows.append((textkit.row_of(first) + a).astype(np.int32))
                 yield ids[lo:hi], known[lo:hi], np.concatenate(hashes), np.concatenate(rows)
 
     def _words(self, buckets: int):
         def batches(batches):
-            for _, _, h, _ in self._slices(batches, 4 * self.slice_bytes):
+            for _, _, h, _ in self._slices(batches, 2 * self.slice_bytes):
                 words, counts = np.unique(h, return_counts=True)
                 yield _rows([(b, _WORDS, pack(words[p], counts[p].astype(np.uint32))) for b, p in _split((words % U64(buckets)).astype(np.int64))])
+                del words, counts
+                textkit.trim()
 
         return batches
 
@@ -288,18 +290,18 @@ class StupidBackoff:
                     p = late[p]
                     lot.append((b, _FIRST, pack(h[p], np.diff(ids[row[p]], prepend=0), np.ones(len(p), np.float32))))
                 # Every pair starts one gram: with the word after it, or with the end of its text.
-                at = np.flatnonzero(row[:-1] == row[1:]) if n else np.zeros(0, np.int64)
+                at = (np.flatnonzero(row[:-1] == row[1:]) if n else np.zeros(0)).astype(np.int32)
                 pair, r, third = _pair(h[at], h[at + 1]), row[at], np.minimum(at + 2, n - 1)
                 own_pair, _ = _own(pair, r, (own_word[at] > 1) & (own_word[at + 1] > 1))
                 more = np.zeros(len(at), bool)
                 more[:-1] = r[:-1] == r[1:]
-                last = np.where(more, code[third], _END)
-                after = np.minimum(np.arange(len(at)) + 1, max(0, len(at) - 1))  # the pair v w
-                own_after = np.where(more, own_pair[after], 0)
+                last = np.where(more, code[third], np.int32(_END))
+                own_after = np.where(more, np.append(own_pair[1:], own_pair[:1]), np.uint32(0))  # of the pair v w
                 gram = textkit.mix(pair * _MUL + np.where(more, h[third], U64(0)), 5) + more.astype(U64)
                 times, first = _own(gram, r, (own_pair > 1) & (~more | (own_after > 1)))
-                place = (pair % U64(buckets)).astype(np.int64)
-                first = np.flatnonzero(first)
+                place, first = (pair % U64(buckets)).astype(np.int32), np.flatnonzero(first).astype(np.int32)
+                del pair, gram
+                textkit.trim()
                 for b, p in _split(place[first]):
                     p = first[p]
                     i = at[p]
@@ -311,6 +313,8 @@ class StupidBackoff:
                     lot.append((b, _SECOND, _missed(code[i], code[i + 1], h[i], h[i + 1], ids[r[p]], np.ones(len(p), np.uint32), own_pair[p])))
                 for k in range(0, len(lot), 2000):
                     yield _rows(lot[k : k + 2000])
+                del lot
+                textkit.trim()
 
         return batches
 
