@@ -218,7 +218,7 @@ class StupidBackoff:
     """``order``: 3, or 2 for a model of pairs.  ``least``: how often the other texts hold a gram that is used.
     ``gram_rows``: grams of a partition, on average; ``slice_bytes``: text counted together before the shuffle."""
 
-    def __init__(self, order: int = 3, alpha: float = 0.4, least: int = 1, frequent: int = 500_000, gram_rows: int = 300_000, slice_bytes: int = 4 << 20):
+    def __init__(self, order: int = 3, alpha: float = 0.4, least: int = 1, frequent: int = 500_000, gram_rows: int = 500_000, slice_bytes: int = 4 << 20):
         if order not in (2, 3) or least < 1 or not 0 < alpha <= 1 or not 0 <= frequent < _END:
             raise ValueError("order is 2 or 3, least 1 or more, alpha in (0, 1], frequent under 16 million")
         self.order, self.alpha, self.least, self.frequent, self.gram_rows, self.slice_bytes = order, alpha, least, frequent, gram_rows, slice_bytes
@@ -483,7 +483,7 @@ class StupidBackoff:
         deal = lambda df, *by: df.repartition("bucket").sortWithinPartitions(*by)
         words = materialize(deal(texts.mapInArrow(self._words(parts), ROW), "bucket").mapInArrow(self._count, ROW))
         n = int(words.mapInArrow(_totals, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-        total, buckets = float(n) or 1.0, max(4 * parts, -(-n // self.gram_rows))
+        total, buckets = float(n) or 1.0, max(parts, -(-n // self.gram_rows))
         top = self._top(words)
         met = materialize(deal(texts.mapInArrow(self._grams(buckets, parts, top, total), ROW), "bucket", "kind").mapInArrow(self._meet(buckets, parts, top), ROW))
         of = lambda df, *kinds: df.where(F.col("kind").isin(*kinds))
