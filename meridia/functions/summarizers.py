@@ -125,11 +125,25 @@ def solve_gram(n: float, gram: np.ndarray, xy: np.ndarray, yy: float, intercept:
     return np.append(beta, 1 - rss / tss if tss > 0 else np.nan)
 
 
+def _line(x: str, y: str, prefix: str) -> Summarizer:
+    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    whole = F.col(x).isNotNull() & F.col(y).isNotNull()
+    parts = {"a": F.regr_intercept(b, a), "b": F.regr_slope(b, a), "r2": F.regr_r2(b, a), "syy": F.regr_syy(b, a), "n": F.count(F.lit(1)), "whole": F.count_if(whole)}
+    raw = f"#line_{prefix}{y}_{x}"
+    one = Output(raw, lambda _: F.struct(*[c.alias(n) for n, c in parts.items()]), lambda w: F.struct(*[c.over(w).alias(n) for n, c in parts.items()]))
+    ok = (F.col(raw)["n"] == F.col(raw)["whole"]) & F.col(raw)["b"].isNotNull()
+    shown = {"intercept_beta": F.when(ok, F.col(raw)["a"]), f"{x}_beta": F.when(ok, F.col(raw)["b"]), "r2": F.when(ok & (F.col(raw)["syy"] != 0), F.col(raw)["r2"]), "n": F.col(raw)["n"]}
+    return Summarizer("LinearRegression", (x, y), (one,), tuple((prefix + n, c) for n, c in shown.items()))
+
+
 def LinearRegression(*predictors: str, response: str, intercept: bool = True, name: str | None = None) -> Summarizer:
-    """Least squares by one pass of sums of products, which merge; a tiny solve per output row."""
+    """Least squares by one pass of sums of products, which merge; a tiny solve per output row.  One predictor with an
+    intercept takes the built-in regressions, so running forms stay in the JVM too."""
     if not predictors:
         raise ValueError("needs one predictor at least")
     prefix = f"{name}_" if name else ""
+    if len(predictors) == 1 and intercept:
+        return _line(predictors[0], response, prefix)
     terms = [F.lit(1.0)] * intercept + [F.col(p).cast("double") for p in predictors]
     y, k = F.col(response).cast("double"), len(predictors) + intercept
     pairs = [(i, j) for i in range(k) for j in range(i, k)]

@@ -282,8 +282,8 @@ def _p(kind: str, default: Any = None, *choices: Any) -> Param:
 
 KEY, NEED = _p("names"), REQUIRED
 _READ = {"time": _p("string", "time"), "order": _p("names", ()), "closed": _p("boolean", False)}
-_ASOF = {"key": KEY, "tolerance": _p("offset"), "strict": _p("boolean", False), "leftprefix": _p("string"), "rightprefix": _p("string"), "righttime": _p("string")}
-_ASOF_NAMES = {"leftprefix": "left_prefix", "rightprefix": "right_prefix", "righttime": "right_time"}
+_ASOF = {"key": KEY, "tolerance": _p("offset"), "strict": _p("boolean", False), "leftprefix": _p("string"), "rightprefix": _p("string"), "righttime": _p("string"), "splitkeys": _p("boolean", False)}
+_ASOF_NAMES = {"splitkeys": "split_keys", "leftprefix": "left_prefix", "rightprefix": "right_prefix", "righttime": "right_time"}
 _ORDERS = {"order": _p("integers", (1, 0, 0)), "seasonal_order": _p("integers", (0, 0, 0, 0)), "include_mean": _p("boolean", False)}
 _SELECT = {"columns": _p("names", ()), "match": _p("string")}
 _SS = _p("summarizers", NEED)
@@ -311,7 +311,7 @@ _kind("head", "rows", rows.head, {"n": _p("integer", NEED)}, ("n",))
 _kind("settime", "rows", rows.set_time, {"spec": _p("expression", NEED)}, ("spec",))
 _kind("lastrow", "rows", rows.last_row, {"key": KEY})
 _kind("sortcycles", "rows", rows.sort_cycles, {"by": _p("names", NEED), "rev": _p("boolean", False)}, star="by")
-_kind("forwardfill", "rows", rows.forward_fill, {"columns": _p("names", NEED), "key": KEY, "tolerance": _p("offset")}, star="columns")
+_kind("forwardfill", "rows", rows.forward_fill, {"columns": _p("names", NEED), "key": KEY, "tolerance": _p("offset"), "splitkeys": _p("boolean", False)}, star="columns", renamed={"splitkeys": "split_keys"})
 _kind("fillmissing", "rows", rows.fill_missing, {"values": _p("values", NEED)}, spread="values")
 _kind("summarize", "summarize", summarize.summarize, {"summarizers": _SS, "key": KEY}, star="summarizers")
 _kind("summarizecycles", "summarize", summarize.summarize_cycles, {"summarizers": _SS, "key": KEY, "keyset": _p("rows")}, star="summarizers")

@@ -1,8 +1,8 @@
 """Running windows without a key, in blocks of time.
 
 A window without partition keys would send every row to one task.  Here the evaluation window is cut into ``BLOCKS``
-equal blocks of time, each block is scanned by itself, and what it needs from the blocks before it comes from a
-table of one row per block, which is broadcast (its size depends on ``BLOCKS``, not on the data).  Rows outside the
+or more equal blocks of time, each block is scanned by itself, and what it needs from the blocks before it comes from a
+table of one row per block, which is broadcast (its size depends on their number, not on the data).  Rows outside the
 window, moved there by an operator, join the first or the last block.  Rows that crowd into a small part of the
 window share fewer blocks.
 """
@@ -20,7 +20,14 @@ from meridia.functions.summarizers import Summarizer
 from meridia.pipeline import TIME, Pipeline
 from meridia.span import Span, number, width
 
-BLOCKS = 1024
+BLOCKS, MOST = 1024, 8192
+
+
+def count_of(df: DataFrame) -> int:
+    """Blocks of a window: more on a session with more shuffle partitions, as it expects more data."""
+    return max(BLOCKS, min(MOST, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 BEFORE = (Window.unboundedPreceding, -1)
 #: How a running value goes on from the value of all blocks before.
 MERGES = {"Count": "add", "Sum": "add", "SumPower": "add", "DotProduct": "add", "Product": "times", "Min": "least", "Max": "greatest", "First": "first", "Last": "last"}
@@ -38,8 +45,9 @@ def dealt(df: DataFrame, span: Span) -> DataFrame:
     lo, hi = _edge(span.start), _edge(span.stop)
     if not (math.isfinite(lo) and math.isfinite(hi) and hi > lo):
         return df.withColumn("#b", F.lit(0).cast("long"))
-    at = F.floor((number(F.col(TIME), dict(df.dtypes)[TIME]).cast("double") - lo) * (BLOCKS / (hi - lo)))
-    return df.withColumn("#b", F.coalesce(F.greatest(F.least(at, F.lit(BLOCKS)), F.lit(-1)), F.lit(-1)).cast("long"))
+    n = count_of(df)
+    at = F.floor((number(F.col(TIME), dict(df.dtypes)[TIME]).cast("double") - lo) * (n / (hi - lo)))
+    return df.withColumn("#b", F.coalesce(F.greatest(F.least(at, F.lit(n)), F.lit(-1)), F.lit(-1)).cast("long"))
 
 
 def haloed(df: DataFrame, span: Span, back: Any) -> DataFrame:
@@ -48,7 +56,7 @@ def haloed(df: DataFrame, span: Span, back: Any) -> DataFrame:
     reach = float(width(back, dict(df.dtypes)[TIME]))
     if not (math.isfinite(lo) and math.isfinite(hi) and hi > lo and reach >= 0):
         return df.withColumn("#b", F.lit(0).cast("long"))
-    n = max(1, min(BLOCKS, int((hi - lo) / reach))) if reach > 0 else BLOCKS
+    n = max(1, min(count_of(df), int((hi - lo) / reach))) if reach > 0 else count_of(df)
     at = F.greatest(F.least(F.floor((F.col("_at").cast("double") - F.lit(lo)) * F.lit(n / (hi - lo))), F.lit(n - 1)), F.lit(-1)).cast("long")
     rows = df.withColumn("#b", F.explode(F.array(at, at + 1)))
     return rows.withColumn("_own", F.col("_own") & (F.col("#b") == at))
@@ -56,20 +64,28 @@ def haloed(df: DataFrame, span: Span, back: Any) -> DataFrame:
 
 def _grid(df: DataFrame, per_block: DataFrame) -> DataFrame:
     """Every block, with its row if it has one."""
-    return df.sparkSession.range(-1, BLOCKS + 1).select(F.col("id").alias("#b")).join(per_block, "#b", "left")
+    return df.sparkSession.range(-1, count_of(df) + 1).select(F.col("id").alias("#b")).join(per_block, "#b", "left")
+
 
+def last_seen(df: DataFrame, value: Column, out: str, sort: list[Column], reverse: list[Column], span: Span, forward: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """The last value (a struct) not null at or before each row; ``forward``: the first at or after it.
 
-def last_seen(df: DataFrame, value: Column, out: str, sort: list[Column], reverse: list[Column], span: Span, forward: bool = False) -> DataFrame:
-    """The last value (a struct) not null at or before each row; ``forward``: the first at or after it."""
+    ``by``: of each key, whose rows are scanned in blocks too, so that a key with very many rows is many tasks'.
+    """
     df = dealt(df, span).withColumn("#v", value)
-    w = Window.partitionBy("#b").orderBy(*sort)
+    keys = ["#b"]
+    if by:
+        df, keys = df.withColumn("#k", F.struct(*by)), ["#k", "#b"]  # equal where keys are null, too
+    w = Window.partitionBy(*keys).orderBy(*sort)
     own = F.first("#v", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)) if forward else F.last("#v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    end = F.row_number().over(Window.partitionBy("#b").orderBy(*(sort if forward else reverse)))
-    ends = df.where(F.col("#v").isNotNull()).withColumn("#n", end).where(F.col("#n") == 1).select("#b", F.col("#v").alias("#c"))
-    across = Window.orderBy("#b")
+    end = F.row_number().over(Window.partitionBy(*keys).orderBy(*(sort if forward else reverse)))
+    ends = df.where(F.col("#v").isNotNull()).withColumn("#n", end).where(F.col("#n") == 1).select(*keys, F.col("#v").alias("#c"))
+    present = df.select(*keys).distinct().join(ends, keys, "left") if by else _grid(df, ends)
+    across = (Window.partitionBy("#k") if by else Window).orderBy("#b")
     carry = F.first("#c", ignorenulls=True).over(across.rowsBetween(1, Window.unboundedFollowing)) if forward else F.last("#c", ignorenulls=True).over(across.rowsBetween(*BEFORE))
-    carried = _grid(df, ends).select("#b", carry.alias("#c"))
-    return df.join(F.broadcast(carried), "#b").withColumn(out, F.coalesce(own, F.col("#c"))).drop("#b", "#v", "#c")
+    carried = present.select(*keys, carry.alias("#c"))
+    joined = df.join(carried if by else F.broadcast(carried), keys)
+    return joined.withColumn(out, F.coalesce(own, F.col("#c"))).drop(*keys, "#v", "#c")
 
 
 def lagged(df: DataFrame, x: str, offsets: dict[str, int], p: Pipeline, span: Span) -> DataFrame:

@@ -16,17 +16,20 @@ from meridia.span import number, width
 Step = Callable[[Pipeline], Pipeline]
 
 
-def asof_join(right: Pipeline, key=None, tolerance: Any = None, strict: bool = False, left_prefix: str | None = None, right_prefix: str | None = None, right_time: str | None = None) -> Step:
-    """The latest right row not after (``strict``: before) each left row, not older than ``tolerance``."""
-    return _asof(right, key, tolerance, strict, left_prefix, right_prefix, right_time, forward=False)
+def asof_join(right: Pipeline, key=None, tolerance: Any = None, strict: bool = False, left_prefix: str | None = None, right_prefix: str | None = None, right_time: str | None = None, split_keys: bool = False) -> Step:
+    """The latest right row not after (``strict``: before) each left row, not older than ``tolerance``.
+
+    ``split_keys``: scan a key's rows in blocks of time, for keys that hold a large part of all rows.
+    """
+    return _asof(right, key, tolerance, strict, left_prefix, right_prefix, right_time, split_keys, forward=False)
 
 
-def future_join(right: Pipeline, key=None, tolerance: Any = None, strict: bool = False, left_prefix: str | None = None, right_prefix: str | None = None, right_time: str | None = None) -> Step:
+def future_join(right: Pipeline, key=None, tolerance: Any = None, strict: bool = False, left_prefix: str | None = None, right_prefix: str | None = None, right_time: str | None = None, split_keys: bool = False) -> Step:
     """The earliest right row not before (``strict``: after) each left row."""
-    return _asof(right, key, tolerance, strict, left_prefix, right_prefix, right_time, forward=True)
+    return _asof(right, key, tolerance, strict, left_prefix, right_prefix, right_time, split_keys, forward=True)
 
 
-def _asof(right, key, tolerance, strict, left_prefix, right_prefix, right_time, forward) -> Step:
+def _asof(right, key, tolerance, strict, left_prefix, right_prefix, right_time, split_keys, forward) -> Step:
     by = names(key)
 
     def build(p: Pipeline) -> Pipeline:
@@ -49,13 +52,13 @@ def _asof(right, key, tolerance, strict, left_prefix, right_prefix, right_time,
             rrows = other.select(TIME, *by, F.lit(side_right).alias("_side"), F.lit(None).cast(lrows.schema["_l"].dataType).alias("_l"), F.struct(TIME, *fields).alias("_r"), *order)
             ties = [F.col(f"_o{i}").desc() if o.startswith("-") else F.col(f"_o{i}").asc() for i, o in enumerate(r for r in right.order if r.lstrip("-") in other.columns)]
             sort = [F.col(TIME), F.col("_side"), *ties]
-            if by:
+            if by and not split_keys:
                 w = Window.partitionBy(*by).orderBy(*sort)
                 seen = F.first("_r", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)) if forward else F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
                 both = lrows.unionByName(rrows).withColumn("_m", seen)
             else:
                 back = [F.col(f"_o{i}").asc() if o.startswith("-") else F.col(f"_o{i}").desc() for i, o in enumerate(r for r in right.order if r.lstrip("-") in other.columns)]
-                both = blocks.last_seen(lrows.unionByName(rrows), F.col("_r"), "_m", sort, [F.col(TIME).desc(), F.col("_side").desc(), *back], wide, forward)
+                both = blocks.last_seen(lrows.unionByName(rrows), F.col("_r"), "_m", sort, [F.col(TIME).desc(), F.col("_side").desc(), *back], wide, forward, by)
             both = both.where(F.col("_l").isNotNull())
             match = F.col("_m")
             if tolerance is not None:
@@ -71,10 +74,10 @@ def _asof(right, key, tolerance, strict, left_prefix, right_prefix, right_time,
     return build
 
 
-def lookup_join(table: DataFrame, key, unmatched: str = "missing", left_prefix: str | None = None, right_prefix: str | None = None, check_unique: bool = True, broadcast_rows: int = 1_000_000) -> Step:
+def lookup_join(table: DataFrame, key, unmatched: str = "missing", left_prefix: str | None = None, right_prefix: str | None = None, check_unique: bool = True) -> Step:
     """Columns of a table without time, by key; ``unmatched``: missing, drop or error.
 
-    The table is broadcast only when its counted rows stay within ``broadcast_rows``.
+    A repeated key fails when the rows are read.  Which side is broadcast, if any, Spark decides by the sizes it finds.
     """
     by = names(key)
     if TIME in table.columns:
@@ -90,11 +93,9 @@ def lookup_join(table: DataFrame, key, unmatched: str = "missing", left_prefix:
             fresh(df, *fields.values())
             right = table.withColumnsRenamed(fields)
             if check_unique:
-                dup = right.groupBy(*by).count().where("count > 1").limit(1).count()
-                if dup:
-                    raise ValueError("the lookup table repeats a key")
-            if right.limit(broadcast_rows + 1).count() <= broadcast_rows:
-                right = F.broadcast(right)
+                one = right.groupBy(*by).agg(F.count(F.lit(1)).alias("#n"), F.first(F.struct(*fields.values())).alias("#r"))
+                only = F.when(F.col("#n") > 1, F.raise_error(F.lit("the lookup table repeats a key")).cast("boolean")).otherwise(True)
+                right = one.where(only).select(*by, *[F.col("#r")[c].alias(c) for c in fields.values()])
             if unmatched == "drop":
                 return df.join(right, list(by), "inner").select(*df.columns, *fields.values())
             out = df.join(right.withColumn("_hit", F.lit(True)), list(by), "left")

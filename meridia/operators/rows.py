@@ -136,18 +136,21 @@ def sort_cycles(*by: str, rev: bool = False) -> Step:
     return lambda p: replace(p, order=(*(f"-{b}" if rev else b for b in by), *(o for o in p.order if o.lstrip("-") not in by)))
 
 
-def forward_fill(*columns: str, key=None, tolerance: Any = None) -> Step:
-    """Missing values become the last seen before (of the key), not older than ``tolerance``."""
+def forward_fill(*columns: str, key=None, tolerance: Any = None, split_keys: bool = False) -> Step:
+    """Missing values become the last seen before (of the key), not older than ``tolerance``.
+
+    ``split_keys``: scan a key's rows in blocks of time, for keys that hold a large part of all rows.
+    """
 
     def build(p: Pipeline) -> Pipeline:
         def step(df, span):
             kind, out, all_columns = dict(df.dtypes)[TIME], {}, df.columns
             for c in columns:
                 held = F.when(F.col(c).isNotNull(), F.struct(TIME, c))
-                if names(key):
+                if names(key) and not split_keys:
                     seen = F.last(held, ignorenulls=True).over(p.running(names(key)))
                 else:
-                    df = blocks.last_seen(df, held, f"#seen_{c}", p.sort(), p.sort(descending=True), span)
+                    df = blocks.last_seen(df, held, f"#seen_{c}", p.sort(), p.sort(descending=True), span, by=names(key))
                     seen = F.col(f"#seen_{c}")
                 value = seen[c]
                 if tolerance is not None:

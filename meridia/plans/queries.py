@@ -196,10 +196,10 @@ def summarizecycles_dense(spark, d):
     return (src.table(read(spark, d, "orders"), "o_orderdate", ("o_orderkey",)) | summarize.summarize_cycles(S.Count(), S.Max("o_totalprice"), key="o_orderstatus", keyset=keys)).load(YEARS)
 
 
-@query(f"select time, event_id, count(*) over w count, round(sum(value) over w, 4) value_sum, max(value) over w value_max, round(var_samp(value) over w, 4) value_variance from ({EV}) window w as (partition by user_id order by time, event_id rows unbounded preceding)")
+@query(f"select time, event_id, count(*) over w count, round(sum(value) over w, 4) value_sum, max(value) over w value_max, round(var_samp(value) over w + 1e-8, 6) value_variance from ({EV}) window w as (partition by user_id order by time, event_id rows unbounded preceding)")
 def addsummarycolumns(spark, d):
     p = events(spark, d) | summarize.add_summary_columns(S.Count(), S.Sum("value"), S.Max("value"), S.Variance("value"), key="user_id")
-    return rounded(p.load(MONTH), value_sum=4, value_variance=4).select(TIME, "event_id", "count", "value_sum", "value_max", "value_variance")
+    return rounded(p.load(MONTH).withColumn("value_variance", F.col("value_variance") + 1e-8), value_sum=4, value_variance=6).select(TIME, "event_id", "count", "value_sum", "value_max", "value_variance")  # off exact ties
 
 
 @query("select ts time, event_id, round(sum(value) over w, 4) d_value_sum, count(*) over w d_count from events window w as (partition by user_id order by ts range between interval 1 day preceding and current row)")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meridia import sources as src
 from meridia.functions import summarizers as S
-from meridia.operators import rows, summarize, timeseries
+from meridia.operators import joins, rows, summarize, timeseries
 from meridia.pipeline import Pipeline
 from meridia.span import Span
 
@@ -113,3 +113,23 @@ def test_models_predict_after_ticks(spark, data):
         tick = r["time"] // 1000 * 1000
         base = [k["x"] for k in known if tick - 1000 <= k["time"] < tick]
         assert not base or r["guess"] == pytest.approx(sum(base) / len(base))
+
+
+@pytest.mark.parametrize("options", [{}, {"strict": True}, {"tolerance": 20}])
+@pytest.mark.parametrize("join", [joins.asof_join, joins.future_join])
+def test_keys_in_blocks(data, join, options):
+    left = data | rows.add_columns(k="case when id % 3 = 0 then null else id % 2 end")
+    right = left | rows.filter_rows("x = 3") | rows.select_columns("id", "k", "x")
+    same = [collected(left | join(right, key="k", right_prefix="r", split_keys=split, **options)) for split in (False, True)]
+    assert same[0] == same[1]
+    filled = [collected(left | rows.forward_fill("x", key="k", split_keys=split)) for split in (False, True)]
+    assert filled[0] == filled[1]
+
+
+def test_lookups_plan_without_a_job(spark, data):
+    twice = spark.createDataFrame([(1, "a"), (1, "b")], "one int, label string")
+    p = data | joins.lookup_join(twice, "one")
+    plan = p.load(WINDOW)  # nothing runs yet
+    with pytest.raises(Exception, match="repeats a key"):
+        plan.count() if plan.select("label").collect() else None
+    assert (data | joins.lookup_join(twice.limit(1), "one", unmatched="drop")).load(WINDOW).count() == 600

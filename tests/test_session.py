@@ -130,7 +130,7 @@ def test_kinds_with_more_ports(session, tmp_path):
 
 
 def test_all_kinds_are_registered():
-    assert len(G.REGISTRY) == 49
+    assert len([k for k in G.REGISTRY.values() if k.group != "own"]) == 49
     for kind in G.REGISTRY.values():
         json.dumps(kind.schema())
 
