@@ -133,7 +133,7 @@ class _Top:
         return {"hashes": self.hashes, "counts": self.counts, "slots": None}
 
     def _table(self) -> None:
-        self.bits = max(4, (4 * len(self.hashes)).bit_length())
+        self.bits = max(4, (2 * len(self.hashes)).bit_length())
         self.slots = np.full(1 << self.bits, -1, np.int32)
         left = np.arange(len(self.hashes), dtype=np.int32)
         at = (self.hashes >> U64(64 - self.bits)).astype(np.int64)
@@ -218,7 +218,7 @@ class StupidBackoff:
     """``order``: 3, or 2 for a model of pairs.  ``least``: how often the other texts hold a gram that is used.
     ``gram_rows``: grams of a partition, on average; ``slice_bytes``: text counted together before the shuffle."""
 
-    def __init__(self, order: int = 3, alpha: float = 0.4, least: int = 1, frequent: int = 500_000, gram_rows: int = 500_000, slice_bytes: int = 4 << 20):
+    def __init__(self, order: int = 3, alpha: float = 0.4, least: int = 1, frequent: int = 1_000_000, gram_rows: int = 500_000, slice_bytes: int = 4 << 20):
         if order not in (2, 3) or least < 1 or not 0 < alpha <= 1 or not 0 <= frequent < _END:
             raise ValueError("order is 2 or 3, least 1 or more, alpha in (0, 1], frequent under 16 million")
         self.order, self.alpha, self.least, self.frequent, self.gram_rows, self.slice_bytes = order, alpha, least, frequent, gram_rows, slice_bytes
