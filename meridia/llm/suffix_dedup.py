@@ -152,7 +152,7 @@ class SuffixDedup:
     is no source for others.
     """
 
-    def __init__(self, length: int = 50, sampling: str = "content", bucket_bytes: int = 16 << 20, crowd: int = 256, block: int = 4096, bytes_limit: int = 32 << 20):
+    def __init__(self, length: int = 50, sampling: str = "content", bucket_bytes: int = 16 << 20, crowd: int = 512, block: int = 8192, bytes_limit: int = 32 << 20):
         if sampling not in ("content", "residues") or length < 32:
             raise ValueError("sampling is content or residues, and length 32 or more")
         self.length, self.sampling, self.bucket_bytes, self.crowd, self.block, self.bytes_limit = length, sampling, bucket_bytes, crowd, block, bytes_limit
