@@ -175,10 +175,11 @@ class SuffixDedup:
                         row = np.searchsorted(offs, p, "right") - 1
                         a, b = np.maximum(p - before, offs[row]), np.minimum(p + length, offs[row + 1])
                         ctx = textkit.span_hash(textkit.prefix_sums(buf), a, b, 9) + (p - a).astype(U64) * U64(0x9E3779B97F4A7C15)
-                        found.append((h, ctx, row + lo, p - offs[row], a - offs[row], b - offs[row]))
+                        found.append((h, ctx, *(v.astype(np.int32) for v in (row + lo, p - offs[row], a - offs[row], b - offs[row]))))
                 if not found:
                     continue
                 seed, ctx, doc, pos, lo_b, hi_b = map(np.concatenate, zip(*found))
+                del found
                 order = np.lexsort((ctx, seed))  # stable; rows ascend by document already
                 k, c, x = seed[order], ctx[order], ids[doc[order]]
                 first = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])
@@ -189,24 +190,31 @@ class SuffixDedup:
                 for run in _runs(doc[local]):
                     part = local[run]
                     r = doc[part[0]]
-                    rows.append((int(ids[r] % buckets), _SPAN, int(ids[r]), int(twins[r]), _spans(*merge(lo_b[part], hi_b[part]))))
-                ship = np.flatnonzero(~tied)
-                _, group, times = np.unique(seed[ship], return_inverse=True, return_counts=True)
-                crowded = times[group] > self.crowd
-                home = (seed[ship] % U64(buckets)).astype(np.int64)
-                hot = np.unique(seed[ship[crowded]])
-                for h in hot.tolist():
+                    rows.append((int(ids[r] % buckets), _SPAN, int(ids[r]), int(twins[r]), _spans(*merge(lo_b[part].astype(np.int64), hi_b[part].astype(np.int64)))))
+                by_seed = order[~tied[order]]
+                k = seed[by_seed]
+                new = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool)
+                many = np.diff(np.append(np.flatnonzero(new), len(k))) > self.crowd
+                for h in k[new][many].tolist():
                     rows.append((h % buckets, _HOT, None, None, np.uint64(h).tobytes()))
-                apart = (textkit.mix(seed[ship] ^ ctx[ship], 1) % U64(buckets)).astype(np.int64)
+                crowded = np.zeros(len(seed), bool)
+                crowded[by_seed[many[np.cumsum(new) - 1]]] = True
+                ship = np.flatnonzero(~tied).astype(np.int32)
+                crowded = crowded[ship]
+                del order, by_seed, k, c, x, new, first
+                home = (seed[ship] % U64(buckets)).astype(np.int32)
+                apart = (textkit.mix(seed[ship] ^ ctx[ship], 1) % U64(buckets)).astype(np.int32) if crowded.any() else home
                 for kind, mine, bucket in ((_SAMPLE, ~crowded, home), (_SPREAD, crowded, apart)):
                     part, bucket = ship[mine], bucket[mine]
                     order = np.argsort(bucket, kind="stable")
                     part, bucket = part[order], bucket[order]
                     for run in _runs(bucket):
                         i = part[run]
-                        rows.append((int(bucket[run[0]]), kind, None, None, _pack(seed[i], ctx[i], ids[doc[i]], pos[i], twins[doc[i]])))
+                        rows.append((int(bucket[run[0]]), kind, None, None, _pack(seed[i], ctx[i], ids[doc[i]], pos[i].astype(np.int64), twins[doc[i]])))
                 for at in range(0, len(rows), 5000):
                     yield _rows(rows[at : at + 5000], ["bucket", "kind", "doc", "twin", "blob"])
+                del rows, seed, ctx, doc, pos, lo_b, hi_b
+                textkit.trim()
 
         return batches
 

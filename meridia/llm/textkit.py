@@ -25,8 +25,6 @@ CHUNK_BYTES = 1 << 18
 
 
 _LIBC = ctypes.CDLL(None)
-if hasattr(_LIBC, "mallopt"):
-    _LIBC.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD: what large arrays held goes back when they are freed
 
 
 def trim() -> None:
