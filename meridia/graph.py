@@ -328,8 +328,8 @@ _kind("lags", "timeseries", timeseries.lags, {"column": _p("string", NEED), "p":
 _kind("difference", "timeseries", timeseries.difference, {"column": _p("string", NEED), "order": _p("integer", 1), "lag": _p("integer", 1), "key": KEY, "name": _p("string")}, ("column",))
 _kind("logtransform", "timeseries", timeseries.log_transform, {"column": _p("string", NEED), "name": _p("string")}, ("column",))
 _kind("boxcox", "timeseries", timeseries.box_cox, {"column": _p("string", NEED), "lambda": _p("number", NEED), "name": _p("string")}, ("column", "lambda"))
-_kind("ema", "timeseries", timeseries.ema, {"column": _p("string", NEED), "span": _p("number"), "halflife": _p("offset"), "key": KEY, "name": _p("string")}, ("column",))
-_kind("macd", "timeseries", timeseries.macd, {"column": _p("string", NEED), "fast": _p("integer", 12), "slow": _p("integer", 26), "signal": _p("integer", 9), "name": _p("string", "macd"), "key": KEY}, ("column",))
+_kind("ema", "timeseries", timeseries.ema, {"column": _p("string", NEED), "span": _p("number"), "halflife": _p("offset"), "key": KEY, "name": _p("string"), "splitkeys": _p("boolean", False)}, ("column",), renamed={"splitkeys": "split_keys"})
+_kind("macd", "timeseries", timeseries.macd, {"column": _p("string", NEED), "fast": _p("integer", 12), "slow": _p("integer", 26), "signal": _p("integer", 9), "name": _p("string", "macd"), "key": KEY, "splitkeys": _p("boolean", False)}, ("column",), renamed={"splitkeys": "split_keys"})
 _kind("ar", "timeseries", timeseries.ar, {"column": _p("string", NEED), "p": _p("integer", NEED), "key": KEY, "name": _p("string", "ar")}, ("column", "p"))
 _kind("fitarma", "timeseries", timeseries.fit_arma, {"column": _p("string", NEED), **_ORDERS, "name": _p("string", "model"), "key": KEY}, ("column",))
 _kind("applyarma", "timeseries", timeseries.apply_arma, {"column": _p("string", NEED), "modelcolumn": _p("string", "model"), "key": KEY, "tolerance": _p("offset"), "strict": _p("boolean", False), "horizon": _p("integer", 0), "name": _p("string")}, ("models", "column"), (IN, Port("models")), renamed={"modelcolumn": "column"})

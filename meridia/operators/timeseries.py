@@ -166,27 +166,32 @@ def _ema(values: np.ndarray, alpha: np.ndarray | float, s: float) -> tuple[np.nd
     return out, s
 
 
-def _in_blocks(pl: Pipeline, df: DataFrame, span: Span, take: tuple[str, ...], outs: list[str], make, fold: Callable[[Column, Column], Column], start: Column, carried: str) -> DataFrame:
-    """``df`` with the columns ``outs`` of a scan that starts anew in every block of the window, and ``carried``: what the
-    blocks before left behind, ``fold``ed over their last rows.  A block is one task's, whatever the window's length."""
-    rows = blocks.dealt(df, span)
-    scan = lambda d: _streamed(d, ("#b",), pl.sort(), take, outs, make)
+def _in_blocks(pl: Pipeline, df: DataFrame, span: Span, by: tuple[str, ...], take: tuple[str, ...], outs: list[str], make, fold: Callable[[Column, Column], Column], start: Column, carried: str) -> DataFrame:
+    """``df`` with the columns ``outs`` of a scan that starts anew in every block of the window (of every key), and
+    ``carried``: what the blocks before left behind, ``fold``ed over their last rows.  A block is one task's, whatever the
+    window's length and however many rows a key has."""
+    rows, keys = blocks.dealt(df, span), ["#b"]
+    if by:
+        rows, keys = rows.withColumn("#k", F.struct(*by)), ["#k", "#b"]  # equal where keys are null, too
+    scan = lambda d: _streamed(d, (*by, "#b"), pl.sort(), take, outs, make)
     ties = [o.lstrip("-") for o in pl.order]
-    narrow = rows.select("#b", TIME, *dict.fromkeys(c for c in (*ties, *take) if c != TIME))
-    at = F.row_number().over(Window.partitionBy("#b").orderBy(*pl.sort(descending=True)))
-    ends = scan(narrow).withColumn("#n", at).where(F.col("#n") == 1).select("#b", F.struct(*outs).alias("#e"))
+    narrow = rows.select(*keys, TIME, *dict.fromkeys(c for c in (*by, *ties, *take) if c != TIME))
+    at = F.row_number().over(Window.partitionBy(*keys).orderBy(*pl.sort(descending=True)))
+    ends = scan(narrow).withColumn("#n", at).where(F.col("#n") == 1).select(*keys, F.struct(*outs).alias("#e"))
     held = F.array_sort(F.collect_list(F.struct("#b", "#e")))  # a row a block
     step = lambda acc, x: F.struct(fold(acc["s"], x["#e"]).alias("s"), F.array_append(acc["l"], F.struct(x["#b"].alias("#b"), acc["s"].alias(carried))).alias("l"))
     nothing = F.slice(F.array(F.struct(F.lit(0).cast("long").alias("#b"), start.alias(carried))), 1, 0)
-    carry = ends.agg(F.aggregate(held, F.struct(start.alias("s"), nothing.alias("l")), step)["l"].alias("l")).select(F.inline("l"))
-    return scan(rows).join(F.broadcast(carry), "#b").drop("#b")
+    folded = F.aggregate(held, F.struct(start.alias("s"), nothing.alias("l")), step)["l"].alias("l")
+    carry = ends.groupBy(*keys[:-1]).agg(folded).select(*keys[:-1], F.inline("l"))
+    return scan(rows).join(carry if by else F.broadcast(carry), keys).drop(*keys)
 
 
-def ema(x: str, span: float | None = None, halflife: Any = None, key=None, name: str | None = None) -> Step:
+def ema(x: str, span: float | None = None, halflife: Any = None, key=None, name: str | None = None, split_keys: bool = False) -> Step:
     """Exponential average; null leaves it unchanged and shows it, null until the first value.
 
-    A key's rows are one task's stream.  Without key the window is scanned in blocks: after a block's first value the
-    average is p s + q of the state s there, which the blocks before decide.
+    A key's rows are one task's stream.  Without key, and with ``split_keys`` (for keys that hold a large part of all rows),
+    the window is scanned in blocks: after a block's first value the average is p s + q of the state s there, which the
+    blocks before decide.
     """
     label = name or ema_label(x, span, halflife)
 
@@ -207,7 +212,7 @@ def ema(x: str, span: float | None = None, halflife: Any = None, key=None, name:
                     seen = t[ok][-1]
                 return alpha, seen
 
-            if names(key):
+            if names(key) and not split_keys:
 
                 def make():
                     def run(part, state):
@@ -247,7 +252,7 @@ def ema(x: str, span: float | None = None, halflife: Any = None, key=None, name:
             start = F.struct(F.lit(None).cast("double").alias("s"), F.lit(None).cast("double").alias("t"))
             fold = lambda s, e: F.struct(after(s, e).alias("s"), F.coalesce(e["#t2"], s["t"]).alias("t"))
             outs = ["#p", "#q", "#v1", "#t1", "#t2"]
-            out = _in_blocks(pl, rows, window, ("#v", "#t"), outs, make, fold, start, "#c")
+            out = _in_blocks(pl, rows, window, names(key), ("#v", "#t"), outs, make, fold, start, "#c")
             return out.withColumn(label, after(F.col("#c"), {o: F.col(o) for o in outs})).drop("#c", "#v", "#t", *outs)
 
         return pl.then(step)
@@ -255,9 +260,9 @@ def ema(x: str, span: float | None = None, halflife: Any = None, key=None, name:
     return build
 
 
-def macd(x: str, fast: int = 12, slow: int = 26, signal: int = 9, name: str = "macd", key=None) -> Step:
-    """Fast less slow average, its own average, and their difference.  A key's rows are one task's stream; without key
-    the window is scanned in blocks, in which all three are linear in the state before."""
+def macd(x: str, fast: int = 12, slow: int = 26, signal: int = 9, name: str = "macd", key=None, split_keys: bool = False) -> Step:
+    """Fast less slow average, its own average, and their difference.  A key's rows are one task's stream; without key, and
+    with ``split_keys``, the window is scanned in blocks, in which all three are linear in the state before."""
     if not 1 <= fast < slow or signal < 1:
         raise ValueError("needs 1 <= fast < slow and signal >= 1")
 
@@ -278,7 +283,7 @@ def macd(x: str, fast: int = 12, slow: int = 26, signal: int = 9, name: str = "m
 
                 return run
 
-            if names(key):
+            if names(key) and not split_keys:
                 return _streamed(rows, names(key), pl.sort(), ("#v",), outs, make).drop("#v")
 
             def linear():
@@ -310,7 +315,7 @@ def macd(x: str, fast: int = 12, slow: int = 26, signal: int = 9, name: str = "m
 
             start = F.struct(*[F.lit(None).cast("double").alias(n) for n in "fsg"])
             fold = lambda c, e: F.struct(*[v.alias(n) for n, v in zip("fsg", after(c, e))])
-            out = _in_blocks(pl, rows, window, ("#v",), parts, linear, fold, start, "#c")
+            out = _in_blocks(pl, rows, window, names(key), ("#v",), parts, linear, fold, start, "#c")
             f, s, g = after(F.col("#c"), {o: F.col(o) for o in parts})
             return out.withColumns({outs[0]: f - s, outs[1]: g, outs[2]: f - s - g}).drop("#c", "#v", *parts)
 

@@ -122,6 +122,8 @@ def test_keys_in_blocks(data, join, options):
     right = left | rows.filter_rows("x = 3") | rows.select_columns("id", "k", "x")
     same = [collected(left | join(right, key="k", right_prefix="r", split_keys=split, **options)) for split in (False, True)]
     assert same[0] == same[1]
+    for step in (lambda split: timeseries.ema("x", span=4, key="k", split_keys=split), lambda split: timeseries.ema("x", halflife=9, key="k", split_keys=split), lambda split: timeseries.macd("x", 3, 5, 2, key="k", split_keys=split)):
+        assert collected(left | step(False)) == collected(left | step(True))
     filled = [collected(left | rows.forward_fill("x", key="k", split_keys=split)) for split in (False, True)]
     assert filled[0] == filled[1]
 
