@@ -141,22 +141,6 @@ def test_quality_bound_and_rules(spark):
     assert sum(good) / len(good) > 0.98 and not any(out[i] for i in out if i % 4 == 0)
 
 
-def test_toxicity(spark):
-    rnd = random.Random(6)
-    rows, labels = [], []
-    for i in range(1500):
-        w = [rnd.choice(["calm", "sunny", "paper", "window", "river"]) for _ in range(30)]
-        if i % 5 == 0:
-            w[rnd.randrange(30)] = rnd.choice(["gromful", "snarkish"])
-        rows.append((i, " ".join(w) + "."))
-        labels.append((i, int(i % 5 == 0)))
-    rows += [(5000, None), (5001, ""), (None, "gromful")]
-    out = toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
-    assert len(out) == len(rows) and all(0 <= r["score"] <= 1 for r in out)
-    held = [r for r in out if r["held_out"] and r["doc_id"] < 1500]
-    assert all(r["predicted"] == (r["doc_id"] % 5 == 0) for r in held)
-
-
 def test_html():
     page = '<body><nav>menu</nav><div class="x1">a &lt; b<br>c <b>d</b><p>e<p>f 3 < 4 <a href="x">link</a></div><div id="comments">zz</div><span class="ad">q</span> tail<script>var x="</p>"</script><footer>f</footer>'
     assert html_extract.main_text(page) == "a < b c d\ne\nf 3 < 4 link"
