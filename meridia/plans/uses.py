@@ -14,7 +14,7 @@ from meridia import sources as src
 from meridia import streaming
 from meridia.functions import diagnostics as D
 from meridia.functions import summarizers as S
-from meridia.operators import rows, summarize, timeseries
+from meridia.operators import summarize, timeseries
 from meridia.pipeline import TIME, Pipeline
 from meridia.plans import queries as Q
 from meridia.session import Session
