@@ -30,14 +30,17 @@ TOPICS = {
 }
 
 
-def topic(words: Column, topics: dict[str, tuple[str, ...]] | None = None) -> Column:
-    """Of an array of lower-case words."""
-    topics = topics or TOPICS
+def with_topic(df: DataFrame, text: Column, out: str, words: str, topics: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """``df`` with the topic of a text as ``out`` and its lower-case words as ``words``.  Each step is a column of its own, so
+    that a text is split once."""
+    topics, found, counts = topics or TOPICS, free_name(df, "found_words"), free_name(df, "topic_counts")
     every = sorted({w for lot in topics.values() for w in lot})
-    found = F.array_intersect(words, F.array(*map(F.lit, every)))
-    counts = {t: F.size(F.array_intersect(found, F.array(*map(F.lit, lot)))) for t, lot in topics.items()}
-    most = F.greatest(*counts.values(), F.lit(0))
-    return reduce(lambda c, t: c.when(counts[t] == most, t), topics, F.when(most == 0, "general"))
+    df = df.withColumn(words, F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SPACE), ""))
+    df = df.withColumn(found, F.array_intersect(words, F.array(*map(F.lit, every))))
+    df = df.withColumn(counts, F.array(*[F.size(F.array_intersect(found, F.array(*map(F.lit, lot)))) for lot in topics.values()]))
+    most = F.array_max(counts)
+    name = reduce(lambda c, it: c.when(F.col(counts)[it[0]] == most, it[1]), enumerate(topics), F.when(most == 0, "general"))
+    return df.withColumn(out, name).drop(found, counts)
 
 
 class Raking:
@@ -68,8 +71,8 @@ class Raking:
             F.coalesce(F.col("lang").cast("string"), F.lit("(none)")).alias("lang"),
             F.col("text").cast("string").alias("text"),
         )
-        rows = rows.withColumn("words", F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), SPACE), ""))
-        return rows.select("doc_id", "source", "lang", topic(F.col("words")).alias("topic"), F.size("words").cast("long").alias("tokens"), Raking.uniform("doc_id", "text").alias("u"))
+        rows = with_topic(rows, F.col("text"), "topic", "words")
+        return rows.select("doc_id", "source", "lang", "topic", F.size("words").cast("long").alias("tokens"), Raking.uniform("doc_id", "text").alias("u"))
 
     def _goal(self, cells: DataFrame, dim: str) -> DataFrame:
         sums = cells.groupBy(dim).agg(F.sum("tokens").alias("t"))
@@ -133,10 +136,8 @@ class Raking:
         """The sampled rows of ``docs``, with its columns, whatever their names."""
         names = {n: free_name(docs, n) for n in ("cell_source", "cell_lang", "cell_topic", "cell_p")}
         cells = self.cells(self.described(docs)).select(*(F.col(d).alias(names[f"cell_{d}"]) for d in DIMS), F.col("p").alias(names["cell_p"]))
-        words = F.array_remove(F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), SPACE), "")
-        own = {names["cell_topic"]: topic(words)}
-        own |= {names[f"cell_{d}"]: F.coalesce(F.col(d).cast("string"), F.lit("(none)")) for d in ("source", "lang")}
-        out = docs.withColumns(own).join(sized(cells, 100_000), [names[f"cell_{d}"] for d in DIMS])
+        own = {names[f"cell_{d}"]: F.coalesce(F.col(d).cast("string"), F.lit("(none)")) for d in ("source", "lang")}
+        out = with_topic(docs, F.col("text").cast("string"), names["cell_topic"], free_name(docs, "cell_words")).withColumns(own).join(sized(cells, 100_000), [names[f"cell_{d}"] for d in DIMS])
         return out.where(self.uniform("doc_id", "text") < F.col(names["cell_p"])).select(*docs.columns)
 
     def sql(self, rounds: int = 40) -> str:

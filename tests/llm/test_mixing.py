@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from meridia.llm.mixing import DIMS, Raking, topic
+from meridia.llm.mixing import DIMS, Raking, with_topic
 from tests.llm.test_operators import SCHEMA, corpus
 
 
@@ -49,7 +49,7 @@ def test_short_supply_is_kept_whole_and_reported(spark):
 
 def test_topics(spark):
     rows = [("the license and its copyright",), ("data file price",), ("price of this offer",), ("nothing here",), ("",)]
-    got = spark.createDataFrame(rows, "t string").select(topic(F.split("t", " ")).alias("topic")).collect()
+    got = with_topic(spark.createDataFrame(rows, "t string"), F.col("t"), "topic", "words").collect()
     assert [r["topic"] for r in got] == ["law", "technology", "commerce", "general", "general"]
 
 
