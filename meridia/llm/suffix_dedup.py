@@ -152,7 +152,7 @@ class SuffixDedup:
     is no source for others.
     """
 
-    def __init__(self, length: int = 50, sampling: str = "content", bucket_bytes: int = 16 << 20, crowd: int = 512, block: int = 8192, bytes_limit: int = 32 << 20):
+    def __init__(self, length: int = 50, sampling: str = "content", bucket_bytes: int = 16 << 20, crowd: int = 256, block: int = 4096, bytes_limit: int = 32 << 20):
         if sampling not in ("content", "residues") or length < 32:
             raise ValueError("sampling is content or residues, and length 32 or more")
         self.length, self.sampling, self.bucket_bytes, self.crowd, self.block, self.bytes_limit = length, sampling, bucket_bytes, crowd, block, bytes_limit
@@ -309,7 +309,7 @@ class SuffixDedup:
 
     def _split(self, texts: DataFrame, asked: DataFrame) -> DataFrame:
         """Spans of the windows around hot seeds that a smaller document has as well."""
-        rows = materialize(self._joined(texts, asked, "inner").mapInArrow(self._windows, "seed long, window long, doc long, twin long, start long"))
+        rows = self._joined(texts, asked, "inner").mapInArrow(self._windows, "seed long, window long, doc long, twin long, start long")  # worked out twice
         least = rows.groupBy("seed", "window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
         hits = rows.join(sized(materialize(least)), ["seed", "window"]).where("doc > least").select("doc", "twin", "start")
         return hits.repartition("doc", "twin").sortWithinPartitions("doc", "twin").mapInArrow(self._starts, _SPANS)
