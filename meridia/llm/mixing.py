@@ -40,7 +40,7 @@ def with_topic(df: DataFrame, text: Column, out: str, words: str, topics: dict[s
     df = df.withColumn(counts, F.array(*[F.size(F.array_intersect(found, F.array(*map(F.lit, lot)))) for lot in topics.values()]))
     most = F.array_max(counts)
     name = reduce(lambda c, it: c.when(F.col(counts)[it[0]] == most, it[1]), enumerate(topics), F.when(most == 0, "general"))
-    return df.withColumn(out, name).drop(found, counts)
+    return df.withColumn(out, name.otherwise("general")).drop(found, counts)  # never null: a join would filter by it, spelt out
 
 
 class Raking:
