@@ -104,9 +104,10 @@ def _floats(column, kind=np.float32) -> np.ndarray:
 
 
 class NNDescent:
-    def __init__(self, top=20, k=40, starts=8, group=6, rate=0.5, part=64, found=10, descents=12, settled=0.015, steps=8, width=24, beam=192, seed=7):
+    def __init__(self, top=20, k=40, starts=8, group=6, rate=0.5, part=64, found=10, descents=12, settled=0.015, steps=8, width=24, beam=192, broadcast_bytes=32 << 20, seed=7):
         self.top, self.k, self.starts, self.group, self.rate, self.part, self.found = top, k, starts, group, rate, part, found
         self.descents, self.settled, self.steps, self.width, self.beam, self.seed = descents, settled, steps, width, beam, seed
+        self.broadcast_bytes = broadcast_bytes
         self.shares: list[float] = []  # changed neighbours of each step of the last build
 
     # nodes
@@ -288,13 +289,17 @@ class NNDescent:
         start = queries.select(F.col("node").alias("q")).distinct()
         known = materialize(start.join(nodes.withColumnRenamed("node", "q"), "q").withColumnRenamed("vec", "qvec"))
         own = both.join(start.withColumnRenamed("q", "u"), "u", "left_semi")
+        one = nodes.select(F.length("vec").alias("b")).first()
+        most = self.broadcast_bytes // ((one["b"] if one else 0) + 32)  # asked nodes, each with its query's vector
         beam, done = materialize(own), None
         for _ in range(self.steps):
             state = beam.join(done, "u", "left") if done is not None else beam.withColumn("done", F.lit(None).cast("binary"))
             front = materialize(state.mapInArrow(self._frontier, "q long, node long"))
-            if front.limit(1).count() == 0:
+            asked = front.count()
+            if asked == 0:
                 break
-            ask = sized(front.join(known, "q").withColumnRenamed("node", "u"))
+            ask = front.join(known, "q").withColumnRenamed("node", "u")
+            ask = F.broadcast(ask) if asked <= most else ask
             found = lists.join(ask, "u").mapInArrow(self._expand, LIST)
             beam = self._merged(beam.union(found), self.beam)
             packed = front.groupBy(F.col("q").alias("u")).agg(F.collect_list("node").alias("n"))  # `width` at most

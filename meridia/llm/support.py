@@ -39,7 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = kept.rstrip("/") if kept else "file://" + tempfile.mkdtemp(prefix="meridia-")
         sc._meridia_dir = f"{base}/meridia-{sc.applicationId}"
-        atexit.register(clean, spark)
+        atexit.register(_at_exit, spark)
     return sc._meridia_dir
 
 
@@ -52,6 +52,13 @@ def clean(spark: SparkSession) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _at_exit(spark: SparkSession) -> None:
+    try:
+        clean(spark)
+    except Exception:  # noqa: BLE001  the JVM has gone first
+        pass
+
+
 #: Shuffle files go when the execution that made them ends.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
