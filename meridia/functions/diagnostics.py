@@ -463,13 +463,18 @@ def residual_panel(p: Pipeline, df: DataFrame, x: str, lags: int = 40, dof: int
     return DiagnosticResult("residuals", panels=panels, summary=halves | told, warnings=list(dict.fromkeys(warn)))
 
 
+def column_rows(p: Pipeline, df: DataFrame, *columns: str, key: str | None = None) -> DataFrame:
+    """Columns in order as rows, of the rows with the key: any number, as none comes to the driver."""
+    return keyed(df, key).orderBy(*p.sort()).select(*dict.fromkeys(columns))
+
+
 def column_vectors(p: Pipeline, df: DataFrame, *columns: str, key: str | None = None) -> dict[str, list]:
-    """Columns in order as lists, of the rows with the key; ``DRIVER_ROWS`` rows at most."""
-    wanted = list(dict.fromkeys(columns))
-    got = keyed(df, key).orderBy(*p.sort()).select(*wanted).limit(DRIVER_ROWS + 1).toArrow()
+    """:func:`column_rows` as lists for a client; ``DRIVER_ROWS`` rows at most."""
+    rows = column_rows(p, df, *columns, key=key)
+    got = rows.limit(DRIVER_ROWS + 1).toArrow()
     if got.num_rows > DRIVER_ROWS:
         raise ValueError(f"more than {DRIVER_ROWS} rows don't come to the driver")
-    return {c: got.column(i).to_pylist() for i, c in enumerate(wanted)}
+    return {c: got.column(i).to_pylist() for i, c in enumerate(rows.columns)}
 
 
 def key_values(df: DataFrame, key: str | list[str], limit: int = 1000) -> list:

@@ -28,3 +28,11 @@ def test_logtransform_of_odd_values(spark, tmp_path):
     inf = float("inf")
     got, want = both(spark, "logtransform", tables(spark, tmp_path, [None, -2.5, 0.0, -0.0, 1.0, 3.7, float("nan"), inf, -inf, 1e-300]))
     assert list(map(repr, got)) == list(map(repr, want))
+
+
+def test_columnvectors_beyond_the_driver(spark, tmp_path):
+    n = 60_000
+    folder = tables(spark, tmp_path, [i / 100 for i in range(n)], "purchase", timedelta(seconds=10))
+    got, want = both(spark, "columnvectors", folder)
+    assert len(got) == n and got == want
+    assert [r["event_id"] for r in entry.queries()["columnvectors"](spark, folder).take(3)] == [0, 1, 2]
