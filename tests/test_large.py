@@ -3,8 +3,11 @@
 from datetime import datetime, timedelta
 
 import duckdb
+import numpy as np
+import pytest
 
 import __spark_entry__ as entry
+from meridia.functions import arma as A
 
 START = datetime(2024, 1, 5)
 
@@ -36,3 +39,41 @@ def test_columnvectors_beyond_the_driver(spark, tmp_path):
     got, want = both(spark, "columnvectors", folder)
     assert len(got) == n and got == want
     assert [r["event_id"] for r in entry.queries()["columnvectors"](spark, folder).take(3)] == [0, 1, 2]
+
+
+SHAPES = [((1, 0, 1), (0, 0, 0, 0), [5, 0.6, 0.3, 1.0]), ((2, 1, 1), (0, 0, 0, 0), [5, 0.3, 0.1, 0.3, 1.0]), ((1, 0, 1), (1, 1, 0, 4), [5, 0.6, 0.3, 0.2, 2.0])]
+
+
+@pytest.mark.parametrize("order, seasonal, coefs", SHAPES)
+def test_settled_filter_is_the_filter(monkeypatch, order, seasonal, coefs):
+    y = np.random.default_rng(1).standard_normal(2500).cumsum()
+    y[100:103] = y[1400] = np.nan
+    system = A.system(order, seasonal, True, coefs)
+    fast = A.kalman(y, *system)
+    calls = []
+    monkeypatch.setattr(A, "_settled", lambda *a: calls.append(len(a[0])))
+    monkeypatch.setattr(A, "SETTLED_ROWS", len(y) + 1)
+    slow = A.kalman(y, *system)
+    assert not calls
+    for a, b in zip(fast[:3], slow[:3]):
+        np.testing.assert_allclose(a, b, rtol=0, atol=1e-8)
+    assert fast[3] == pytest.approx(slow[3], rel=1e-10) and fast[4] == slow[4]
+    np.testing.assert_allclose(fast[5][0], slow[5][0], atol=1e-8)
+
+
+def test_white_noise_has_its_closed_form():
+    y = np.r_[np.random.default_rng(2).standard_normal(1_000_000) + 3, np.nan]
+    m = A.fit(y, (0, 0, 0), mean=True)
+    var = np.nanvar(y)
+    assert m["nobs"] == 1_000_000 and m["coefs"] == pytest.approx([np.nanmean(y), var], rel=1e-12)
+    assert m["loglik"] == pytest.approx(-0.5e6 * (np.log(2 * np.pi * var) + 1), rel=1e-12)
+    assert A.fit([1e200, -1e200], (0, 0, 0))["status"] == "failed" and A.fit([2.0, 2.0], (0, 0, 0), mean=True)["status"] == "ok"
+
+
+def test_long_series_are_fitted():
+    """A pass over the rows one by one for each likelihood would take hours."""
+    rng = np.random.default_rng(3)
+    e, y = rng.standard_normal(300_000), np.zeros(300_000)
+    for t in range(1, len(y)):
+        y[t] = 0.6 * y[t - 1] + e[t] + 0.3 * e[t - 1]
+    assert A.fit(y, (1, 0, 1))["coefs"] == pytest.approx([0.6, 0.3, 1.0], abs=0.01)
