@@ -77,3 +77,11 @@ def test_long_series_are_fitted():
     for t in range(1, len(y)):
         y[t] = 0.6 * y[t - 1] + e[t] + 0.3 * e[t - 1]
     assert A.fit(y, (1, 0, 1))["coefs"] == pytest.approx([0.6, 0.3, 1.0], abs=0.01)
+
+
+def test_fits_in_hopping_windows(spark, tmp_path):
+    """Counts and estimates of 40000 rows, each in one or two windows (a loop over them took minutes)."""
+    values = np.random.default_rng(4).exponential(50, 40_000).round(2).tolist()
+    got, want = both(spark, "fitarma_summarizer", tables(spark, tmp_path, values, step=timedelta(seconds=30)))
+    assert [r[:3] for r in got] == [r[:3] for r in want] and sum(r[2] for r in got) > 40_000
+    np.testing.assert_allclose([r[3:] for r in got], [r[3:] for r in want], atol=2e-3)
