@@ -7,7 +7,11 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from meridia import sources as src
 from meridia.functions import arma as A
+from meridia.functions import summarizers as S
+from meridia.operators import summarize
+from meridia.span import Span
 
 START = datetime(2024, 1, 5)
 
@@ -85,3 +89,33 @@ def test_fits_in_hopping_windows(spark, tmp_path):
     got, want = both(spark, "fitarma_summarizer", tables(spark, tmp_path, values, step=timedelta(seconds=30)))
     assert [r[:3] for r in got] == [r[:3] for r in want] and sum(r[2] for r in got) > 40_000
     np.testing.assert_allclose([r[3:] for r in got], [r[3:] for r in want], atol=2e-3)
+
+
+MERGING = (S.Count(), S.Sum("x"), S.Mean("x"), S.Min("x"), S.Max("y"), S.SumPower("x", 2), S.DotProduct("x", "y"), S.Product("x"))
+
+
+@pytest.mark.parametrize("span", [Span(0, 5000), Span(0, 40), Span(-(10**7), 10**7)])
+def test_trailing_pieces_as_with_a_key(spark, span):
+    rng = np.random.default_rng(5)
+    at = np.where(rng.random(500) < 0.3, rng.integers(0, 40, 500), rng.integers(0, 5000, 500)).tolist()
+    rows = [(t, i, 1, None if i % 9 == 0 else float(rng.integers(1, 4)), i % 13) for i, t in enumerate(at)]
+    p = src.table(spark.createDataFrame(rows, "time long, id long, one int, x double, y long"), order=("id",))
+    roll = lambda key: summarize.add_rolling_columns({"a": 1, "b": 37, "c": 1501, "d": 10**6}, *MERGING, key=key)
+    got, want = ((p | roll(k)).load(span) for k in (None, "one"))
+    assert got.schema.simpleString() == want.schema.simpleString() and "RangeFrame, -1501" not in got._jdf.queryExecution().optimizedPlan().toString()
+    near = lambda df: sorted(tuple(f"{v:.9g}" if isinstance(v, float) else v for v in r) for r in df.drop("x").collect())
+    assert repr(near(got)) == repr(near(want))
+    ends = (p | summarize.add_rolling_columns({"b": 37}, S.First("y"), S.Last("y"))).load(span).collect()
+    inside = sorted(r for r in rows if span.start - 37 <= r[0] < span.stop)
+    for r in ends:
+        window = [q for q in inside if r["time"] - 37 <= q[0] <= r["time"]]
+        assert (r["b_y_first"], r["b_y_last"]) == (window[0][4], window[-1][4])
+
+
+def test_trailing_window_of_crowded_time(spark, tmp_path):
+    """No frame slides over a window's rows: their number would count at every row."""
+    values = np.random.default_rng(6).exponential(50, 20_000).round(2).tolist()
+    folder = tables(spark, tmp_path, values, step=timedelta(milliseconds=500))
+    got, want = both(spark, "addrollingcolumns_unkeyed", folder)
+    assert got == want
+    assert "RangeFrame, -21600000000" not in entry.queries()["addrollingcolumns_unkeyed"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
