@@ -1,8 +1,10 @@
 """Thresholds: the guarantee holds over many draws, and rows of all kinds."""
 
 import random
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from meridia.llm import quality
@@ -48,3 +50,37 @@ def test_rows_of_all_kinds(spark):
     nothing = spark.createDataFrame([], SCHEMA)
     assert quality.quality_rules(nothing, labels).count() == 0
     assert quality.quality_rules(docs, labels.where("false")).where("rule_failed").count() == 0
+
+
+def test_order_statistics_are_exact(spark):
+    rng = np.random.default_rng(9)
+    x = np.r_[rng.standard_normal(3000), -0.0, 0.0, 1e-300, -1e300, np.repeat(0.25, 500)]
+    rows = [(i % 3, float(v), -float(v) / 3) for i, v in enumerate(x)]
+    got = quality.order_statistics(spark.createDataFrame(rows, "g int, a double, b double").repartition(5), ["a", "b"], (0.0, 0.5, 0.9, 0.999, 1.0))
+    for (g, j), values in got.items():
+        want = [np.quantile([r[1 + j] for r in rows if r[0] == g], q, method="higher") for q in (0.0, 0.5, 0.9, 0.999, 1.0)]
+        assert values == want
+    assert len(got) == 6
+
+
+def test_every_labelled_row_counts(spark):
+    """120000 labelled rows: the cutoffs are those of all of them (a sample of 100000 gave others)."""
+    n = 120_000
+    rng = np.random.default_rng(10)
+    words = rng.integers(20, 3000, n)
+    rows = {c: (rng.random(n) * words).astype(np.int64) for c in (*quality.COUNTS, *quality.EXTRA)} | {"n_words": words, "n_repeat_words": (rng.random(n) * 0.2 * words).astype(np.int64)}
+    good = rng.random(n) < 0.8
+    rows["n_digits"] = np.where(good, rows["n_digits"] // 9, rows["n_digits"])
+    table = pa.table({"doc_id": np.arange(n), **rows})
+    feats, labels = spark.createDataFrame(table), spark.createDataFrame(pa.table({"doc_id": np.arange(n), "quality": good.astype(np.int64)}))
+    made = quality.RiskControlledRules().fit(feats, labels)
+    hold = np.array([zlib.crc32(str(i).encode()) % 2 for i in range(n)]) == 1
+    stratum = np.where(words < 100, "short", np.where(words < 1000, "middle", "long"))
+    for name in quality.STRATA:
+        x = {r: s * rows[a] / np.maximum(1, rows[b].astype(float)) for r, (a, b, s) in quality.RULES.items()}
+        pick = lambda m: {r: v[(stratum == name) & m] for r, v in x.items()}  # noqa: B023, E731
+        rules = quality.chain(pick(~hold), good[(stratum == name) & ~hold], made.quantiles)
+        kept, bound = quality.admitted(rules, pick(hold & good), made.alpha, made.delta / 3)
+        assert {r: c for (s, r), c in made.cutoffs.items() if s == name} == dict(kept)
+        assert not kept or made.bounds[name] == pytest.approx(bound)
+    assert len(made.cutoffs) >= 3
