@@ -28,6 +28,7 @@ from meridia.llm.support import materialize, sized
 
 U64 = np.uint64
 LIST = "u long, ids binary, scores binary, fresh binary"
+_FILE = 4 << 20
 _OLD, _NEW, _FOUND = 0, 1, 2  # of a neighbour: joined before, not yet joined, found in this step
 
 
@@ -108,6 +109,7 @@ class NNDescent:
         self.top, self.k, self.starts, self.group, self.rate, self.part, self.found = top, k, starts, group, rate, part, found
         self.descents, self.settled, self.steps, self.width, self.beam, self.seed = descents, settled, steps, width, beam, seed
         self.broadcast_bytes = broadcast_bytes
+        self.files = 0  # most files of a table written on the way; 0: one for each partition
         self.shares: list[float] = []  # changed neighbours of each step of the last build
 
     # nodes
@@ -148,8 +150,17 @@ class NNDescent:
         u, ids, scores = map(np.concatenate, zip(*parts))
         return _best(u, ids, scores, np.full(len(u), _FOUND, np.uint8), self.k)
 
+    def _gathered(self, df: DataFrame) -> DataFrame:
+        """Neighbouring partitions in one task: a small table on many partitions isn't as many files, each with its own folder."""
+        return df.coalesce(self.files) if self.files else df
+
+    def _size(self, df: DataFrame, n: int) -> None:
+        """Files of 4 MB of lists, and two for each core at least."""
+        self.files = max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-n * self.k * 13 // _FILE))
+
     def _merged(self, lists: DataFrame, k: int) -> DataFrame:
-        return materialize(lists.repartition("u").sortWithinPartitions("u").mapInArrow(_merge(k), LIST))
+        rows = self._gathered(lists.repartition("u").sortWithinPartitions("u"))  # a list's rows stay together, and in order
+        return materialize(rows.mapInArrow(_merge(k), LIST))
 
     # descent
     def _picked(self, u: np.ndarray, v: np.ndarray, step: int) -> np.ndarray:
@@ -218,13 +229,14 @@ class NNDescent:
     def graph(self, nodes: DataFrame) -> DataFrame:
         """(u, ids, scores, fresh): the k best neighbours found for each node of (node, vec)."""
         n = nodes.count()
+        self._size(nodes, n)
         graph, self.shares = self.start(nodes, n), []
         for step in range(self.descents):
             known = nodes.join(graph.mapInArrow(self._worst, "node long, worst float"), "node")
             edges = graph.mapInArrow(self._edges(step), "center long, node long, new int").groupBy("center", "node").agg(F.max("new").alias("new"))
-            edges = materialize(edges)
+            edges = materialize(self._gathered(edges))
             crowds = edges.groupBy("center").count().where(F.col("count") > 1.5 * self.part).select("center", F.ceil(F.col("count") / self.part).alias("parts"))
-            crowds = sized(materialize(crowds))
+            crowds = sized(materialize(self._gathered(crowds)))
             salt = F.pmod(F.xxhash64("node", F.lit(step)), F.coalesce("parts", F.lit(1))).cast("int")
             edges = edges.join(crowds, "center", "left").select("center", "node", "new", salt.alias("salt"))
             rows = edges.join(known, "node").select("center", "salt", "node", "new", "worst", "vec")
@@ -285,7 +297,7 @@ class NNDescent:
         both = self._merged(graph.union(graph.mapInArrow(self._reverse, LIST)), self.k + self.k // 4)
         pairs = both.mapInArrow(_pairs, "u long, node long")
         rows = pairs.join(nodes, "node").select("u", "node", "vec").repartition("u").sortWithinPartitions("u")
-        lists = materialize(rows.mapInArrow(self._adjacent, "u long, ids binary, vecs binary"))
+        lists = materialize(rows.mapInArrow(self._adjacent, "u long, ids binary, vecs binary"))  # far larger than the graph
         start = queries.select(F.col("node").alias("q")).distinct()
         known = materialize(start.join(nodes.withColumnRenamed("node", "q"), "q").withColumnRenamed("vec", "qvec"))
         own = both.join(start.withColumnRenamed("q", "u"), "u", "left_semi")
@@ -294,7 +306,7 @@ class NNDescent:
         beam, done = materialize(own), None
         for _ in range(self.steps):
             state = beam.join(done, "u", "left") if done is not None else beam.withColumn("done", F.lit(None).cast("binary"))
-            front = materialize(state.mapInArrow(self._frontier, "q long, node long"))
+            front = materialize(self._gathered(state).mapInArrow(self._frontier, "q long, node long"))
             asked = front.count()
             if asked == 0:
                 break
@@ -307,7 +319,7 @@ class NNDescent:
             if done is not None:
                 old = done.withColumnRenamed("done", "was")
                 new = new.join(old, "u", "full").select("u", F.concat(F.coalesce("done", F.unhex(F.lit(""))), F.coalesce("was", F.unhex(F.lit("")))).alias("done"))
-            done = materialize(new)
+            done = materialize(self._gathered(new))
         return beam
 
     def __call__(self, vectors: DataFrame, is_query=None) -> DataFrame:

@@ -75,3 +75,23 @@ def test_vectors_of_all_kinds(spark):
         assert by[q] == want
     assert NNDescent()(spark.createDataFrame([], SCHEMA)).count() == 0
     assert [r["vec_id"] for r in NNDescent()(spark.createDataFrame(rows[:3], SCHEMA)).orderBy("rank").collect()] == sorted([1, 2], key=lambda i: -float(x[0] @ x[i]))
+
+
+def test_small_tables_are_few_files(spark):
+    """Many partitions of few rows: what is written on the way isn't a file, and a folder, for each."""
+    rng = np.random.default_rng(12)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(400)]
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        made = NNDescent(descents=2)
+        vectors = made.valid(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+        nodes = vectors.select(F.col("vec_id").alias("node"), "v").mapInArrow(made._packed(8, 1.0), "node long, vec binary")
+        graph = made.graph(nodes)
+        assert len(graph.inputFiles()) <= 2 * spark.sparkContext.defaultParallelism
+        lists = graph.collect()
+        assert sorted(r["u"] for r in lists) == list(range(400)) and all(len(r["ids"]) == 40 * 8 for r in lists)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
