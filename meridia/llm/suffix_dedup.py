@@ -41,6 +41,7 @@ from meridia.llm.support import BROADCAST_ROWS, free_name, materialize, sized
 U64 = np.uint64
 _PIECE = 1 << 22
 _TIE_BYTES = 8 << 20  # text whose ties are settled before the shuffle
+_ROWS = 500  # rows of blobs that leave a worker at once: both sides hold a batch whole
 _ROW = "bucket int, kind int, doc long, twin long, blob binary"
 _SPANS = "kind int, doc long, twin long, blob binary"
 _HOT, _SPAN, _SAMPLE, _SPREAD = 0, 1, 2, 3  # kinds of rows dealt: hot seeds, spans, samples, samples of hot seeds
@@ -211,8 +212,8 @@ class SuffixDedup:
                     for run in _runs(bucket):
                         i = part[run]
                         rows.append((int(bucket[run[0]]), kind, None, None, _pack(seed[i], ctx[i], ids[doc[i]], pos[i].astype(np.int64), twins[doc[i]])))
-                for at in range(0, len(rows), 5000):
-                    yield _rows(rows[at : at + 5000], ["bucket", "kind", "doc", "twin", "blob"])
+                for at in range(0, len(rows), _ROWS):
+                    yield _rows(rows[at : at + _ROWS], ["bucket", "kind", "doc", "twin", "blob"])
                 del rows, seed, ctx, doc, pos, lo_b, hi_b
                 textkit.trim()
 
@@ -256,8 +257,8 @@ class SuffixDedup:
                 for run in _runs(cut):
                     i = at[run]
                     rows.append((out, int(doc[i[0]]), int(twin[i[0]]), pos[i].astype(np.int64 if out == _STARTS else np.uint32).tobytes()))
-            for at in range(0, len(rows), 20_000):
-                yield _rows(rows[at : at + 20_000], names)
+            for at in range(0, len(rows), _ROWS):
+                yield _rows(rows[at : at + _ROWS], names)
 
     # 3: contexts of the samples to compare
     def _contexts(self, batches):
@@ -284,6 +285,7 @@ class SuffixDedup:
                         ],
                         names=["seed", "doc", "twin", "pos", "llen", "rlen", "text"],
                     )
+        textkit.trim()
 
     # 3, for hot seeds: their windows
     def _windows(self, batches):
@@ -301,6 +303,7 @@ class SuffixDedup:
                     start, seed = start[ok], seed[ok]
                     arrays = [seed.view(np.int64), textkit.span_hash(sums, start, start + self.length, 9).view(np.int64), np.full(len(start), doc, np.int64), np.full(len(start), twin, np.int64), start]
                     yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["seed", "window", "doc", "twin", "start"])
+        textkit.trim()
 
     def _starts(self, batches):
         for group in textkit.sorted_groups(batches, ["doc", "twin"]):
