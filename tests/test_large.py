@@ -91,6 +91,31 @@ def test_fits_in_hopping_windows(spark, tmp_path):
     np.testing.assert_allclose([r[3:] for r in got], [r[3:] for r in want], atol=2e-3)
 
 
+@pytest.mark.parametrize("mean", [True, False])
+def test_white_noise_is_told_from_sums(spark, mean):
+    """The same models as from the rows, whose plan gathers no rows of a fit."""
+    inf, nan = float("inf"), float("nan")
+    groups = [[1.5, 2.0, None, 7.25, nan, -3.0], [4.0], [4.0, 4.0, 4.0], [None, nan, inf], [1e200, -1e200], [1e308, 1e308], [0.1] * 7 + [-inf], [2.0, 3.0, 5.0], [5.0, 2.0, None, 3.0]]
+    rows = [(i, g, v) for g, vs in enumerate(groups) for i, v in enumerate(vs)]
+    p = src.table(spark.createDataFrame(rows, "time long, g long, v double"))
+    out = (p | summarize.summarize(S.FitARMA("v", (0, 0, 0), include_mean=mean), key="g")).load(Span(0, 100))
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [f.simpleString() for f in out.schema["model"].dataType] == [f.simpleString() for f in spark.createDataFrame([], A.MODEL_SCHEMA).schema]
+    got = {r["g"]: r["model"].asDict() for r in out.collect()}
+    assert set(got) == set(range(len(groups)))
+    for g, vs in enumerate(groups):
+        want = A.fit([nan if v is None else v for v in vs], (0, 0, 0), mean=mean)
+        for f in A.FIELDS[:-1]:
+            if want[f] is None or isinstance(want[f], (str, bool)) or f in ("order", "seasonal_order", "names", "nobs"):
+                assert got[g][f] == want[f], (g, f)
+            else:
+                assert got[g][f] == pytest.approx(want[f], rel=1e-9, abs=1e-290, nan_ok=True), (g, f)
+    ids = [got[g]["model_id"] for g in range(len(groups))]
+    assert all(len(i) == 16 for i in ids) and ids[7] == ids[8] and len(set(ids)) == len(ids) - 1
+    none = p.then(lambda df, _: df.where("false")) | summarize.summarize(S.FitARMA("v", (0, 0, 0), include_mean=mean))
+    assert [(r["model"]["status"], r["model"]["nobs"]) for r in none.load(Span(0, 100)).collect()] == [("failed", 0)]
+
+
 MERGING = (S.Count(), S.Sum("x"), S.Mean("x"), S.Min("x"), S.Max("y"), S.SumPower("x", 2), S.DotProduct("x", "y"), S.Product("x"))
 
 
