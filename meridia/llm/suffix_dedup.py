@@ -41,6 +41,7 @@ from meridia.llm.support import BROADCAST_ROWS, free_name, materialize, sized
 U64 = np.uint64
 _PIECE = 1 << 22
 _TIE_BYTES = 8 << 20  # text whose ties are settled before the shuffle
+_CUT_BYTES = 1 << 20  # text that leaves a worker at once when it is cut
 _ROWS = 500  # rows of blobs that leave a worker at once: both sides hold a batch whole
 _ROW = "bucket int, kind int, doc long, twin long, blob binary"
 _SPANS = "kind int, doc long, twin long, blob binary"
@@ -415,6 +416,32 @@ class SuffixDedup:
         rows = self._joined(texts, self.spans(texts), "left").select("doc_id", "text", "blob")
         return rows.mapInArrow(self._digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
+    @staticmethod
+    def _cuts(at: int):
+        """Batches without their last column, the spans, which are cut out of column ``at``; they leave in parts."""
+
+        def batches(batches):
+            for batch in batches:
+                for part in _parts(batch, batch.column(at), _CUT_BYTES):
+                    column, blobs = part.column(at).cast(pa.string()), part.column(part.num_columns - 1)
+                    if blobs.null_count < len(blobs):
+                        texts = column.to_pylist()
+                        for i, blob in enumerate(blobs.to_pylist()):
+                            if blob and texts[i]:
+                                raw = texts[i].encode()
+                                s = np.frombuffer(blob, np.int64).reshape(-1, 2)
+                                edges = [0, *np.minimum(s, len(raw)).ravel().tolist(), len(raw)]
+                                texts[i] = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])).decode("utf-8", "ignore")
+                        column = pa.array(texts, pa.string())
+                        del texts
+                    arrays = [column if j == at else part.column(j) for j in range(part.num_columns - 1)]
+                    yield pa.RecordBatch.from_arrays(arrays, names=part.schema.names[:-1])
+                    del part, column, blobs, arrays
+            batch = None
+            textkit.trim()
+
+        return batches
+
     def rewrite(self, docs: DataFrame) -> DataFrame:
         """``docs`` with the ranges cut out of ``text``; a cut character's other bytes go too; all columns stay, whatever
         their names."""
@@ -427,27 +454,19 @@ class SuffixDedup:
         same = (docs["doc_id"].cast("long") == F.col(doc)) & ((F.col(twin) == 0) | (F.col(twin) == F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))))
         rows = docs.join(own, same, "left").select(*[docs[c] for c in docs.columns], F.col(blob))
         at = docs.columns.index("text")
+        return rows.mapInArrow(self._cuts(at), T.StructType([T.StructField("text", T.StringType()) if j == at else f for j, f in enumerate(docs.schema.fields)]))
 
-        def batches(batches):
-            for batch in batches:
-                texts = batch.column(at).to_pylist()
-                for i, blob in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                    if blob and texts[i]:
-                        raw = texts[i].encode()
-                        s = np.frombuffer(blob, np.int64).reshape(-1, 2)
-                        edges = [0, *np.minimum(s, len(raw)).ravel().tolist(), len(raw)]
-                        texts[i] = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])).decode("utf-8", "ignore")
-                arrays = [pa.array(texts, pa.string()) if j == at else batch.column(j) for j in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names[:-1])
 
-        return rows.mapInArrow(batches, T.StructType([T.StructField("text", T.StringType()) if j == at else f for j, f in enumerate(docs.schema.fields)]))
+def _parts(batch: pa.RecordBatch, column: pa.Array, limit: int):
+    """Slices of about ``limit`` bytes of a text column, in whole rows."""
+    for lo, hi, _, _ in textkit.chunks(textkit.filled(column), limit):
+        yield batch.slice(lo, hi - lo)
 
 
 def _slices(batches, limit: int):
     """Record batches of about ``limit`` bytes of text, in whole rows."""
     for batch in batches:
-        for lo, hi, _, _ in textkit.chunks(textkit.text_column(batch, "text"), limit):
-            yield batch.slice(lo, hi - lo)
+        yield from _parts(batch, batch.column(batch.schema.get_field_index("text")), limit)
 
 
 def _pack(seed: np.ndarray, ctx: np.ndarray, doc: np.ndarray, pos: np.ndarray, twin: np.ndarray) -> bytes:

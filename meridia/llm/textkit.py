@@ -35,7 +35,11 @@ def trim() -> None:
 
 
 def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:
-    column = batch.column(batch.schema.get_field_index(name))
+    return filled(batch.column(batch.schema.get_field_index(name)))
+
+
+def filled(column: pa.Array) -> pa.Array:
+    """A text column as large_string, nulls as empty texts."""
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 

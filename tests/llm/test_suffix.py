@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from meridia.llm import suffix_dedup
@@ -83,6 +84,25 @@ def test_residues_are_a_cover():
     assert {(a - b) % 31 for a in at for b in at} == set(range(31))
 
 
+def test_texts_are_cut_and_leave_in_parts():
+    """A batch of long texts is held once: what has been cut leaves before the rest is."""
+    rnd = random.Random(3)
+    texts = [None, "", *("".join(rnd.choices("abé ", k=4000)) for _ in range(2500)), "x" * 5_000_000, "é" * 30]
+    spans = [None if i % 3 == 0 or not t else np.array([[3, 60], [100, 1 << 40]] if i % 2 else [[1, 2]], np.int64).tobytes() for i, t in enumerate(texts)]
+    fields = {"doc_id": pa.array(range(len(texts))), "text": pa.array(texts), "blob": pa.array(spans, pa.binary())}
+    out = list(SuffixDedup._cuts(1)(iter([pa.RecordBatch.from_pydict(fields)])))
+    assert all(b.schema.names == ["doc_id", "text"] for b in out)
+    assert max(b.column(1).nbytes for b in out if len(b) > 1) < 2 << 20 and len(out) > 5
+    want = []
+    for t, s in zip(texts, spans):
+        raw = (t or "").encode()
+        for a, b in reversed(np.frombuffer(s or b"", np.int64).reshape(-1, 2).tolist()):
+            raw = raw[:a] + raw[b:]
+        want.append(t if t is None else raw.decode("utf-8", "ignore"))
+    got = pa.Table.from_batches(out)
+    assert got.column("text").to_pylist() == want and got.column("doc_id").to_pylist() == list(range(len(texts)))
+
+
 def test_empty_table(spark):
     nothing = spark.createDataFrame([], SCHEMA)
     assert SuffixDedup().digest(nothing).count() == 0 and SuffixDedup().rewrite(nothing).schema == nothing.schema
