@@ -25,7 +25,8 @@ from pyspark.sql import types as T
 from meridia.llm import textkit
 
 MARK = "▁"
-_MODELS: dict[str, PieceCodec] = {}
+_MODELS: dict[str, PieceCodec] = {}  # with the words they met
+textkit.KEPT.append(_MODELS)
 
 
 class PieceCodec:

@@ -166,6 +166,7 @@ class SuffixDedup:
         length, before = self.length, self.before
 
         def batches(batches):
+            textkit.forget()
             for batch in _slices(batches, _TIE_BYTES):
                 batch = batch.filter(batch.column("doc_id").is_valid())
                 batch = batch.take(pa.array(np.argsort(batch.column("doc_id").to_numpy(), kind="stable")))

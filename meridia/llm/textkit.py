@@ -34,6 +34,17 @@ def trim() -> None:
         _LIBC.malloc_trim(0)
 
 
+#: What operators keep in a worker from one task to the next.
+KEPT: list[dict] = []
+
+
+def forget() -> None:
+    """Drop what other operators kept in this worker: it may have gone on to another stage."""
+    for kept in KEPT:
+        kept.clear()
+    trim()
+
+
 def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return filled(batch.column(batch.schema.get_field_index(name)))
 

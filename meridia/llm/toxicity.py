@@ -306,6 +306,7 @@ class ToxicityGrammar:
         of = self._scorer()
 
         def batches(batches):
+            textkit.forget()
             for batch in batches:
                 yield batch.filter(pa.array(of(batch) < below))
 

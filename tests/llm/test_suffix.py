@@ -5,10 +5,11 @@ import random
 import re
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from meridia.llm import suffix_dedup
+from meridia.llm import piece_codec, suffix_dedup
 from meridia.llm.suffix_dedup import RESIDUES, SuffixDedup
 
 SCHEMA = "doc_id long, text string, twin long, blob string, __doc long, n_removed int"
@@ -103,6 +104,14 @@ def test_texts_are_cut_and_leave_in_parts():
     assert got.column("text").to_pylist() == want and got.column("doc_id").to_pylist() == list(range(len(texts)))
 
 
+def test_workers_drop_the_codec():
+    """The words that an encoder met don't stay beside the samples."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    assert piece_codec.codec(path).encode(["some words"]) and piece_codec.codec(path) is piece_codec.codec(path)
+    assert not list(SuffixDedup()._samples(4)(iter([]))) and not piece_codec._MODELS
+    assert piece_codec.codec(path).decode(piece_codec.codec(path).encode(["some words"])[0]) == "some words"
+
+
 def test_empty_table(spark):
     nothing = spark.createDataFrame([], SCHEMA)
     assert SuffixDedup().digest(nothing).count() == 0 and SuffixDedup().rewrite(nothing).schema == nothing.schema
